@@ -545,15 +545,15 @@ def human_size(size) -> Column:
     out = F.when(F.coalesce(s, F.lit(0.0)) <= 0, F.lit(SIZE_UNKNOWN)).when(
         s < 1024, F.concat(s.cast("bigint").cast("string"), F.lit(" B")))
     for i, unit in enumerate(["KB", "MB", "GB", "TB"], 1):
-        out = out.when(s < 1024.0 ** (i + 1), F.format_string(f"%.1f {unit}", s / (1024.0 ** i)))
-    return out.otherwise(F.format_string("%.1f PB", s / 1024.0 ** 5))
+        out = out.when(s < 1024.0 ** (i + 1), F.format_string(f"%.1f {unit}", F.bround(s / (1024.0 ** i), 1)))
+    return out.otherwise(F.format_string("%.1f PB", F.bround(s / 1024.0 ** 5, 1)))
 
 
 def human_duration(seconds) -> Column:
     s = _c(seconds).cast("double")
     return (F.when(s < 0, "--").when(s < 60, F.format_string("%s秒", F.bround(s, 0).cast("bigint")))
             .when(s < 3600, F.format_string("%s分钟", F.bround(s / 60, 0).cast("bigint")))
-            .otherwise(F.format_string("%.1f小时", s / 3600)))
+            .otherwise(F.format_string("%.1f小时", F.bround(s / 3600, 1))))
 
 
 def clock(seconds) -> Column:
@@ -564,8 +564,8 @@ def clock(seconds) -> Column:
 def human_speed(speed) -> Column:
     s = _c(speed).cast("double")
     return (F.when(s < 1024, F.format_string("%s B/s", F.bround(s, 0).cast("bigint")))
-            .when(s < 1024 * 1024, F.format_string("%.1f KB/s", s / 1024))
-            .otherwise(F.format_string("%.1f MB/s", s / (1024 * 1024))))
+            .when(s < 1024 * 1024, F.format_string("%.1f KB/s", F.bround(s / 1024, 1)))
+            .otherwise(F.format_string("%.1f MB/s", F.bround(s / (1024 * 1024), 1))))
 
 
 def status_label(status) -> Column:

@@ -36,13 +36,14 @@ def breach_runs(samples: DataFrame, thresholds: DataFrame, order: list[str] = ("
     both are running aggregates, so no metric has to fit one task.
     """
     order = list(order)
-    rows = O.numbered(classify(samples, thresholds), ["name"], order, "_pos", rows_per_chunk)
+    rows = O.chunked_or_whole(classify(samples, thresholds), ["name"], order, rows_per_chunk)
+    rows = O.numbered(rows, ["name"], order, "_pos", rows_per_chunk)
     normal_at = F.when(F.col("severity") == "normal", F.col("_pos"))
     rows = O.running(rows, ["name"], order, {"_normal": O.Running("max", normal_at)}, rows_per_chunk)
     run = F.col("_pos") - F.coalesce(F.col("_normal"), F.lit(0))
     return (rows.withColumn("run", run)
             .withColumn("fires", (F.col("severity") != "normal") & (F.col("run") >= F.col("consecutive_failures")))
-            .drop("_pos", "_normal"))
+            .drop("_pos", "_normal", O.CHUNK))
 
 
 def cooldown_step(cooldown_seconds: float = COOLDOWN_SECONDS):
@@ -91,11 +92,15 @@ def alert_events(samples: DataFrame, thresholds: DataFrame, rules: DataFrame,
     """W10, W11 and J5 in one: the alert rows with threshold, message and action."""
     runs = breach_runs(samples, thresholds, order, rows_per_chunk)
     sent = cooldown(runs, order, rows_per_chunk=rows_per_chunk).filter("alert")
+    return first_matching_rule(as_events(sent), rules)
+
+
+def as_events(sent: DataFrame) -> DataFrame:
+    """Alert samples with threshold, id and message."""
     limit = F.when(F.col("severity") == "critical", F.col("critical")).otherwise(F.col("warning"))
-    events = (sent.withColumn("threshold_value", limit)
-              .withColumn("event_id", F.concat("name", F.lit("_"), F.unix_seconds("ts").cast("string")))
-              .withColumn("message", F.format_string("指标 %s 异常: 当前值 %s", "name", F.col("value").cast("string"))))
-    return first_matching_rule(events, rules)
+    return (sent.withColumn("threshold_value", limit)
+            .withColumn("event_id", F.concat("name", F.lit("_"), F.unix_seconds("ts").cast("string")))
+            .withColumn("message", F.format_string("指标 %s 异常: 当前值 %s", "name", F.col("value").cast("string"))))
 
 
 def token_bucket_step(rate: float, capacity: float):

@@ -50,6 +50,8 @@ def chunked(df: DataFrame, keys: list[str], order: list[str],
     The numbers come from the partition a row landed in, so they are fixed by
     a checkpoint before anything is computed from them.
     """
+    if CHUNK in df.columns:
+        return df
     n = math.ceil(df.count() / rows_per_chunk)
     if n <= 1:
         return None
@@ -57,6 +59,13 @@ def chunked(df: DataFrame, keys: list[str], order: list[str],
     return checkpointed(ranged.withColumn(CHUNK, F.spark_partition_id()))
 
 
+def chunked_or_whole(df: DataFrame, keys: list[str], order: list[str],
+                     rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+    """The rows chunked once for several scans over the same keys and order; unchanged when they are few."""
+    parts = chunked(df, keys, order, rows_per_chunk)
+    return df if parts is None else parts
+
+
 _COMBINE = {"sum": lambda a, b: a + b, "max": F.greatest, "min": F.least}
 
 
@@ -198,7 +207,7 @@ def fold(df: DataFrame, keys: list[str], order: list[str], step: Step, init: dic
     types = dict(p.split() for p in state_schema.split(","))
     start = [F.lit(init[n]).cast(types[n]).alias(e) for n, e in zip(state_names, entry_cols)]
     chunks = checkpointed(parts.select(*keys, CHUNK).distinct().select("*", *start))
-    todo, exits = chunks, None
+    todo, exits, rounds = chunks, None, 0
     while True:
         work = parts.join(todo, [*keys, CHUNK])
         fresh = work.groupBy(*keys, CHUNK).applyInPandas(exit_of, out_schema)
@@ -219,6 +228,16 @@ def fold(df: DataFrame, keys: list[str], order: list[str], step: Step, init: dic
         both = checkpointed(both.withColumn("_same", same))
         chunks = both.select(*keys, CHUNK, *entry_cols)
         todo = both.filter(~F.col("_same")).select(*keys, CHUNK, *entry_cols)
+        rounds += 1
+        if rounds > 1:
+            # most guesses are settled now; of what is left only the first chunk per key has a
+            # final entry, so later ones wait instead of being run once per round
+            first = todo.groupBy(*keys).agg(F.min(CHUNK).alias("_first"))
+            chunks = chunks.join(first, keys, "left")
+            waits = F.col(CHUNK) > F.coalesce("_first", F.lit(MAX_CHUNKS))
+            chunks = checkpointed(chunks.join(old, [*keys, CHUNK]).select(*keys, CHUNK, *[
+                F.when(waits, F.col(f"_old{e}")).otherwise(F.col(e)).alias(e) for e in entry_cols]))
+            todo = todo.join(first, keys).filter(F.col(CHUNK) == F.col("_first")).drop("_first")
         if todo.isEmpty():
             break
     work = parts.join(chunks, [*keys, CHUNK])
