@@ -56,18 +56,18 @@ def strip_tags(text: Column) -> Column:
 
 
 def attributes(piece: Column) -> Column:
-    """``struct<names,values>`` of the attributes a piece of markup starts with."""
+    """``struct<names,values>`` of the attributes a piece of markup starts with, values decoded."""
     text = F.regexp_extract(piece, _ATTR_TEXT, 1)
-    return F.struct(
-        F.transform(F.regexp_extract_all(text, F.lit(_ATTR), F.lit(1)), F.lower).alias("names"),
-        F.transform(F.regexp_extract_all(text, F.lit(_ATTR), F.lit(2)),
-                    lambda v: F.regexp_replace(v, r"""^["']|["']$""", "")).alias("values"))
+    return U.let(text, lambda x: F.struct(
+        F.transform(F.regexp_extract_all(x, F.lit(_ATTR), F.lit(1)), F.lower).alias("names"),
+        F.transform(F.regexp_extract_all(x, F.lit(_ATTR), F.lit(2)),
+                    lambda v: decode_entities(F.regexp_replace(v, r"""^["']|["']$""", ""))).alias("values")))
 
 
 def attr(attrs: Column, name: str) -> Column:
-    """Decoded value of an attribute; '' when empty, null when missing."""
+    """Value of an attribute; '' when empty, null when missing."""
     at = F.array_position(attrs["names"], F.lit(name)).cast("int")
-    return decode_entities(F.get(attrs["values"], at - 1))
+    return F.get(attrs["values"], at - 1)
 
 
 def attr_text(attrs: Column, name: str) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import images as I
 from ..functions import urls as U
+from .columns import computed
 
 # What the images can be sorted by.
 SORT_COLUMNS = {"size": "file_size", "name": "filename", "url": "url", "format": "format"}
@@ -19,17 +20,17 @@ def apply_rules(images: DataFrame, options: dict | None = None, config: dict | N
     ``extra_rules`` are further Columns that give a reason or null.
     """
     rules = I.merge_rules(options, config)
-    size = I.known_size("url", "width", "height")
-    rows = images.withColumn("_size", size)
+    rows = computed(images, _size=I.known_size("url", "width", "height"))
     w, h = F.col("_size.width"), F.col("_size.height")
     score = I.quality_score("url", "filename", "alt_text", w, h) if rules["min_quality_score"] > 0 else F.lit(1.0)
-    rows = rows.withColumn("score", score)
-    text = I.image_text("url", "filename", "alt_text", "title", "css_class", "element_id")
+    text = F.col("_text")
+    rows = computed(rows, score=score, _text=I.image_text(
+        "url", "filename", "alt_text", "title", "css_class", "element_id"))
     found = [I.dimension_reason("url", w, h, rules), I.file_size_reason("file_size", rules),
              I.format_reason("url", "content_type", rules), I.keyword_reason(text, rules),
              I.domain_reason("url", rules), I.quality_reason(F.col("score"), rules), I.url_reason("url"),
              *(extra_rules or {}).values()]
-    rows = rows.withColumn("reasons", F.array_compact(F.array(*found))).drop("_size")
+    rows = computed(rows, reasons=F.array_compact(F.array(*found))).drop("_size", "_text")
     return rows.withColumn("passed", F.size("reasons") == 0)
 
 

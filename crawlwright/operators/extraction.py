@@ -20,6 +20,7 @@ from ..functions import images as I
 from ..functions import links as L
 from ..functions import markup as M
 from ..functions import urls as U
+from .columns import computed
 from .dedupe import dedupe_by_priority, keep_first
 
 # Selectors, in order, and the tier limit.
@@ -38,22 +39,32 @@ ANCHOR_SCHEMA = (
     "ancestors array<struct<tag:string,css_class:string,id:string,ord:int>>")
 
 
+_PARTS = ("scheme", "netloc", "path", "params", "query", "fragment")
+BASE = {p: f"base_{p}" for p in _PARTS}
+
+
 def with_base(pages: DataFrame) -> DataFrame:
-    """Add the split page url, so that it is split once per page."""
-    return pages.withColumn("base", U.url_parts("url"))
+    """Add the split page url as flat columns, so that it is split once per page."""
+    parts = {"scheme": U.scheme, "netloc": U.netloc, "path": U.path, "params": U.params, "query": U.query,
+             "fragment": U.fragment}
+    return pages.select("*", *[f("url").alias(BASE[p]) for p, f in parts.items()])
+
+
+def base() -> dict[str, Column]:
+    """The split page url of a row, as :func:`urls.join_parts` takes it."""
+    return {p: F.col(c) for p, c in BASE.items()}
 
 
 # ------------------------------------------------------------------- anchors
 
 def anchors(pages: DataFrame) -> DataFrame:
     """Every ``a`` tag with its attributes and text, in document order."""
-    base = with_base(pages).select(
-        "page_id", "url", "base", F.posexplode(M.pieces(M.visible("html"), "a")).alias("pos", "piece"))
-    tags = base.select("page_id", "url", "base", "pos", M.attributes(F.col("piece")).alias("attrs"),
-                       M.inner_text(F.col("piece"), "a").alias("text"))
-    a = F.col("attrs")
+    found = F.transform(M.pieces(M.visible("html"), "a"), lambda p: F.struct(
+        M.attributes(p).alias("attrs"), M.inner_text(p, "a").alias("text")))
+    tags = with_base(pages).select("page_id", "url", *BASE.values(), F.posexplode(found).alias("pos", "tag"))
+    a = F.col("tag.attrs")
     return tags.select(
-        "page_id", "url", "base", "pos", M.attr(a, "href").alias("href"), "text",
+        "page_id", "url", *BASE.values(), "pos", M.attr(a, "href").alias("href"), F.col("tag.text").alias("text"),
         M.attr_text(a, "title").alias("title"), M.attr_text(a, "rel").alias("rel"),
         M.attr_text(a, "target").alias("target"), M.attr_text(a, "class").alias("css_class"),
         M.attr_text(a, "id").alias("element_id")).filter("href is not null")
@@ -122,10 +133,12 @@ def _parse_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out.astype({"pagination": "Int32"})
 
 
-def scoped_anchors(pages: DataFrame, mentions: str) -> DataFrame:
-    """Anchors with their ancestors; pages that do not mention a region stay in the JVM."""
+def scoped_anchors(pages: DataFrame, mentions: str, others: bool = True) -> DataFrame:
+    """Anchors with their ancestors; pages that do not mention a region stay in the JVM, or are left out."""
     wanted = F.coalesce(F.col("html").rlike(mentions), F.lit(False))
     inside = pages.filter(wanted).select("page_id", "url", "html").mapInPandas(_parse_anchors, ANCHOR_SCHEMA)
+    if not others:
+        return with_base(inside)
     none = "array<struct<tag:string,css_class:string,id:string,ord:int>>"
     outside = anchors(pages.filter(~wanted)).select(
         "page_id", "url", "pos", "href", "text", "title", "css_class", "element_id",
@@ -148,43 +161,58 @@ def page_links(pages: DataFrame) -> DataFrame:
     """H4: all links but empty and fragment ones; duplicates stay."""
     href = U.strip("href")
     a = anchors(pages).withColumn("href", href).filter((F.col("href") != "") & ~F.col("href").startswith("#"))
-    return a.select("page_id", F.col("url").alias("page_url"), "base", "pos",
-                    U.join_parts(F.col("base"), "href").alias("url"), "text", "title", "rel", "target",
+    a = computed(a.withColumnRenamed("url", "page_url"), url=U.join_parts(base(), "href"))
+    return a.select("page_id", "page_url", *BASE.values(), "pos", "url", "text", "title", "rel", "target",
                     F.col("href").alias("original_href"))
 
 
 _LINK_COLS = ["page_id", "page_url", "url", "link_text", "title", "page_type", "priority",
               "branch", "selector", "element", "pos"]
+_HITS = "array<struct<branch:int,page_type:string,priority:int,selector:int,element:int>>"
+_PAGINATION, _RELATED, _CATEGORY = 0, 1, 2
 
 
-def _sub_links(a: DataFrame) -> DataFrame:
-    """Absolute, same-host links with the columns priority de-duplication needs."""
-    a = (a.withColumn("href", U.strip("href")).filter("href <> ''")
-         .withColumn("page_url", F.col("url")).withColumn("url", U.join_parts(F.col("base"), "href"))
-         .withColumnRenamed("text", "link_text"))
-    return a.filter(U.has_url_prefix("url") & (F.lower(U.netloc("url")) == F.lower(F.col("base.netloc"))))
+def _hit(branch: int, page_type: str, priority: Column, selector: int, element: Column) -> Column:
+    return F.struct(F.lit(branch).alias("branch"), F.lit(page_type).alias("page_type"), priority.alias("priority"),
+                    F.lit(selector).alias("selector"), element.alias("element"))
 
 
-def pagination_links(a: DataFrame) -> DataFrame:
-    """H11, from an anchor table."""
-    hits = _sub_links(a.filter(L.is_pagination("text", "title", "href")))
-    return (hits.withColumn("page_type", F.lit("pagination"))
-            .withColumn("priority", L.pagination_priority("link_text", "title"))
-            .withColumn("branch", F.lit(0)).withColumn("selector", F.lit(0)).withColumn("element", F.lit(0))
-            .select(_LINK_COLS))
+def pagination_hits() -> Column:
+    """H11 on an anchor row: one hit or none."""
+    one = F.array(_hit(_PAGINATION, "pagination", L.pagination_priority("text", "title"), 0, F.lit(0)))
+    return F.when(L.is_pagination("text", "title", "href"), one).otherwise(F.array()).cast(_HITS)
 
 
-def region_links(a: DataFrame, selectors: list[str], page_type: str, branch: int) -> DataFrame:
-    """One row per selector and element an anchor lies in."""
+def region_hits(selectors: list[str], page_type: str, branch: int) -> Column:
+    """H12 and H13 on an anchor row: one hit per selector and element it lies in."""
+    priority = L.type_priority(F.lit(page_type))
     def hits(i, s):
-        return F.transform(F.filter(F.col("ancestors"), lambda e: _selects(s, e)), lambda e: F.struct(
-            F.lit(i).alias("selector"), e["ord"].alias("element")))
-    found = a.withColumn("hits", F.flatten(F.array(*[hits(i, s) for i, s in enumerate(selectors)])))
-    rows = _sub_links(found.filter(F.size("hits") > 0)).filter(~U.is_current_page("url", "page_url"))
-    return (rows.withColumn("hit", F.explode("hits"))
-            .withColumn("page_type", F.lit(page_type)).withColumn("priority", L.type_priority("page_type"))
-            .withColumn("branch", F.lit(branch)).withColumn("selector", F.col("hit.selector"))
-            .withColumn("element", F.col("hit.element")).select(_LINK_COLS))
+        return F.transform(F.filter(F.col("ancestors"), lambda e: _selects(s, e)),
+                           lambda e: _hit(branch, page_type, priority, i, e["ord"]))
+    return F.flatten(F.array(*[hits(i, s) for i, s in enumerate(selectors)])).cast(_HITS)
+
+
+def _hit_links(a: DataFrame) -> DataFrame:
+    """Absolute, same-host links, one row per hit; only paging links may lead to the page itself.
+
+    All kinds of hits of an anchor come from one pass over the anchor table.
+    """
+    a = a.withColumn("href", U.strip("href")).filter("href <> ''").withColumnRenamed("text", "link_text").withColumnRenamed(
+        "url", "page_url")
+    a = a.select("page_id", "page_url", *BASE.values(), "pos", "href", "link_text", "title", F.explode("_hits").alias("hit"))
+    a = computed(a, url=U.join_parts(base(), "href"))
+    same = U.has_url_prefix("url") & (F.lower(U.netloc("url")) == F.lower(F.col(BASE["netloc"])))
+    kept = a.filter(same & ((F.col("hit.branch") == _PAGINATION) | ~U.is_current_page("url", "page_url")))
+    return kept.select("*", "hit.*").select(_LINK_COLS)
+
+
+def _with_hits(a: DataFrame, hits: Column) -> DataFrame:
+    return computed(a, _hits=hits).filter(F.size("_hits") > 0)
+
+
+def pagination_links(pages: DataFrame) -> DataFrame:
+    """H11."""
+    return _hit_links(_with_hits(anchors(pages), pagination_hits()))
 
 
 def _mentions(selectors: list[str]) -> str:
@@ -194,41 +222,42 @@ def _mentions(selectors: list[str]) -> str:
 
 def related_links(pages: DataFrame) -> DataFrame:
     """H12."""
-    return region_links(scoped_anchors(pages, _mentions(RELATED_SELECTORS)), RELATED_SELECTORS, "related", 1)
+    hits = region_hits(RELATED_SELECTORS, "related", _RELATED)
+    return _hit_links(_with_hits(scoped_anchors(pages, _mentions(RELATED_SELECTORS), False), hits))
 
 
 def category_links(pages: DataFrame) -> DataFrame:
     """H13."""
-    return region_links(scoped_anchors(pages, _mentions(CATEGORY_SELECTORS)), CATEGORY_SELECTORS, "category", 2)
+    hits = region_hits(CATEGORY_SELECTORS, "category", _CATEGORY)
+    return _hit_links(_with_hits(scoped_anchors(pages, _mentions(CATEGORY_SELECTORS), False), hits))
 
 
 def subpages_by_priority(pages: DataFrame) -> DataFrame:
     """Pagination, related and category links, de-duplicated by priority."""
     a = scoped_anchors(pages, _mentions(RELATED_SELECTORS + CATEGORY_SELECTORS))
-    rows = (pagination_links(a)
-            .unionByName(region_links(a, RELATED_SELECTORS, "related", 1))
-            .unionByName(region_links(a, CATEGORY_SELECTORS, "category", 2)))
-    return dedupe_by_priority(rows)
+    hits = F.concat(pagination_hits(), region_hits(RELATED_SELECTORS, "related", _RELATED),
+                    region_hits(CATEGORY_SELECTORS, "category", _CATEGORY))
+    return dedupe_by_priority(_hit_links(_with_hits(a, hits)))
 
 
 def _tiers(a: DataFrame, sections: list[str]) -> DataFrame:
     """Absolute links with the tests of every sub-page tier."""
-    a = a.withColumn("link", U.join_parts(F.col("base"), "href"))
-    a = (a.withColumn("content", L.is_content_link("link", sections))
-         .withColumn("contained", L.is_container_link("link", F.col("base"), sections)))
+    a = computed(a, link=U.join_parts(base(), "href"))
+    a = computed(a, content=L.is_content_link("link", sections),
+                 contained=L.is_container_link("link", base(), sections))
     box = F.exists("ancestors", lambda e: (e["tag"] == F.col("container"))
                    & F.array_contains(F.split(e["css_class"], r"\s+"), "container"))
     paging = F.exists("ancestors", lambda e: e["ord"] == F.col("pagination"))
     current = F.array_contains(F.split("css_class", r"\s+"), CURRENT_CLASS)
     href = F.col("href")
-    return a.select(
-        "page_id", "url", "pos", "link",
-        (box & (href != "") & F.col("content") & F.col("contained")).alias("in_container"),
-        (F.coalesce(paging, F.lit(False)) & ~current & ~F.col("text").contains(NEXT_PAGE_TEXT) & F.col("content"))
-        .alias("in_pagination"),
-        (href.startswith("/") & ~href.startswith("//") & ~href.contains("://") & F.col("content") & F.col("contained"))
-        .alias("relative"),
-        (L.is_neighbour_page("link", F.col("base")) & F.col("content")).alias("neighbour"))
+    return computed(
+        a,
+        in_container=box & (href != "") & F.col("content") & F.col("contained"),
+        in_pagination=F.coalesce(paging, F.lit(False)) & ~current & ~F.col("text").contains(NEXT_PAGE_TEXT) & F.col("content"),
+        relative=(href.startswith("/") & ~href.startswith("//") & ~href.contains("://") & F.col("content")
+                  & F.col("contained")),
+        neighbour=L.is_neighbour_page("link", base()) & F.col("content"),
+    ).select("page_id", "url", "pos", "link", "in_container", "in_pagination", "relative", "neighbour")
 
 
 _TIER_MENTIONS = "(?i)container|pagination"
@@ -254,9 +283,9 @@ def relative_links(pages: DataFrame, sections: list[str] = L.SECTIONS) -> DataFr
     """Root-relative links; no nesting needed, so always JVM-side."""
     a = anchors(pages)
     href = F.col("href")
-    rows = a.filter(href.startswith("/") & ~href.startswith("//") & ~href.contains("://")).withColumn(
-        "link", U.join_parts(F.col("base"), "href"))
-    rows = rows.filter(L.is_content_link("link", sections) & L.is_container_link("link", F.col("base"), sections))
+    rows = computed(a.filter(href.startswith("/") & ~href.startswith("//") & ~href.contains("://")),
+                    link=U.join_parts(base(), "href"))
+    rows = rows.filter(L.is_content_link("link", sections) & L.is_container_link("link", base(), sections))
     return keep_first(rows.select("page_id", F.col("url").alias("page_url"), F.col("link").alias("url"), "pos"),
                       ["page_id", "url"], ["pos"])
 
@@ -280,8 +309,8 @@ def simple_subpages(pages: DataFrame) -> DataFrame:
     """Folded same-host links that end in a number; distinct."""
     href = U.strip("href")
     a = anchors(pages).withColumn("href", href).filter((F.col("href") != "") & ~F.col("href").startswith("#"))
-    rows = a.withColumn("link", U.fold_url(U.join_parts(F.col("base"), "href"))).filter(
-        L.is_simple_subpage("link", F.col("base.netloc")))
+    a = computed(computed(a, full=U.join_parts(base(), "href")), link=U.fold_url("full"))
+    rows = a.filter(L.is_simple_subpage("link", F.col(BASE["netloc"])))
     return rows.select("page_id", F.col("url").alias("page_url"), F.col("link").alias("url")).distinct()
 
 
@@ -290,7 +319,7 @@ def simple_subpages(pages: DataFrame) -> DataFrame:
 def image_tags(pages: DataFrame) -> DataFrame:
     """Every ``img`` tag with its attributes, in document order."""
     rows = with_base(pages).select(
-        "page_id", "url", "base", F.posexplode(M.tag_attributes(M.visible("html"), "img")).alias("pos", "attrs"))
+        "page_id", "url", *BASE.values(), F.posexplode(M.tag_attributes(M.visible("html"), "img")).alias("pos", "attrs"))
     return rows
 
 
@@ -299,9 +328,9 @@ def page_images(pages: DataFrame) -> DataFrame:
     a = F.col("attrs")
     lazy = F.coalesce(*[F.nullif(M.attr(a, n), F.lit("")) for n in M.LAZY_SRC_ATTRS[1:]], F.lit(""))
     src = U.strip(M.attr_text(a, "src"))
-    rows = image_tags(pages).withColumn("src", F.when(src != "", src).otherwise(U.strip(lazy))).filter("src <> ''")
+    rows = computed(image_tags(pages), src=F.when(src != "", src).otherwise(U.strip(lazy))).filter("src <> ''")
     return rows.select(
-        "page_id", F.col("url").alias("page_url"), "pos", U.join_parts(F.col("base"), "src").alias("url"),
+        "page_id", F.col("url").alias("page_url"), "pos", U.join_parts(base(), "src").alias("url"),
         M.attr_text(a, "alt").alias("alt_text"), M.attr_text(a, "title").alias("title"),
         U.parse_dimension(M.attr(a, "width")).alias("width"), U.parse_dimension(M.attr(a, "height")).alias("height"),
         M.attr_text(a, "class").alias("css_class"), F.col("src").alias("original_src"))
@@ -316,20 +345,18 @@ def content_images(pages: DataFrame, filtered: bool = True) -> DataFrame:
 
     Tests that depend on the url alone run before the de-duplication shuffle.
     """
-    a, base = F.col("attrs"), F.col("base")
-    rows = image_tags(pages)
-    for i, n in enumerate(M.LAZY_SRC_ATTRS):
-        v = M.attr_text(a, n)
-        rows = rows.withColumn(f"u{i}", F.when(v != "", U.join_parts(base, v)))
-    picked = F.coalesce(*[F.when(U.is_image_url(f"u{i}"), F.col(f"u{i}")) for i in range(len(M.LAZY_SRC_ATTRS))])
+    a, parts = F.col("attrs"), base()
+    refs = F.filter(F.array(*[M.attr_text(a, n) for n in M.LAZY_SRC_ATTRS]), lambda v: v != "")
+    urls = F.transform(refs, lambda v: U.join_parts(parts, v))
+    rows = computed(image_tags(pages), picked=F.get(F.filter(urls, lambda u: U.is_image_url(u)), 0)).filter("picked is not null")
+    rows = computed(rows, filename=U.filename_from_url("picked")).filter("filename is not null")
     w, h = M.attr(a, "width"), M.attr(a, "height")
     width = _int_attr(w)
     readable = w.isNull() | width.isNotNull()
     rows = rows.select(
-        "page_id", F.col("url").alias("page_url"), "pos", picked.alias("url"),
+        "page_id", F.col("url").alias("page_url"), "pos", F.col("picked").alias("url"),
         F.nullif(width, F.lit(0)).alias("width"),
-        F.when(readable, F.nullif(_int_attr(h), F.lit(0))).alias("height")).filter("url is not null")
-    rows = rows.withColumn("filename", U.filename_from_url("url")).filter("filename is not null")
+        F.when(readable, F.nullif(_int_attr(h), F.lit(0))).alias("height"), "filename")
     if filtered:
         rows = rows.filter(I.has_plain_name("filename") & I.is_large("url"))
     first = keep_first(rows, ["page_id", "url"], ["pos"])
@@ -343,8 +370,8 @@ def rich_tag_images(pages: DataFrame) -> DataFrame:
     a = F.col("attrs")
     srcs = [F.when((U.strip(M.attr_text(a, n)) != "") & ~M.attr_text(a, n).startswith("data:"),
                    U.strip(M.attr(a, n))) for n in M.RICH_SRC_ATTRS]
-    rows = image_tags(pages).withColumn("src", F.coalesce(*srcs)).filter("src is not null")
-    rows = rows.withColumn("image_url", U.join_parts(F.col("base"), "src")).filter(U.is_image_url("image_url", "rich"))
+    rows = computed(image_tags(pages), src=F.coalesce(*srcs)).filter("src is not null")
+    rows = computed(rows, image_url=U.join_parts(base(), "src")).filter(U.is_image_url("image_url", "rich"))
     meta = ["loading", "decoding", "sizes", "srcset"]
     return rows.select(
         "page_id", F.col("url").alias("page_url"), F.lit(0).alias("branch"), "pos", F.col("image_url").alias("url"),
@@ -359,7 +386,7 @@ def css_urls(pages: DataFrame) -> DataFrame:
     shown = F.regexp_replace("html", M._COMMENTS, "")
     sheets = F.regexp_extract_all(shown, F.lit(r"(?is)<style(?:\s[^>]*)?>(.*?)(?:</style\s*>|\z)"), F.lit(1))
     return with_base(pages).select(
-        "page_id", "url", "base",
+        "page_id", "url", *BASE.values(),
         F.posexplode(F.concat(
             F.transform(F.flatten(F.transform(sheets, lambda s: F.regexp_extract_all(s, F.lit(M.CSS_URL), F.lit(1)))),
                         lambda u: F.struct(F.lit("sheet").alias("kind"), u.alias("ref"))),
@@ -377,7 +404,7 @@ def css_images(pages: DataFrame) -> DataFrame:
     """H8."""
     ref = U.strip("hit.ref")
     rows = css_urls(pages).withColumn("ref", ref).filter("ref <> '' and not startswith(ref, 'data:')")
-    rows = rows.withColumn("image_url", U.join_parts(F.col("base"), "ref")).filter(U.is_image_url("image_url", "rich"))
+    rows = computed(rows, image_url=U.join_parts(base(), "ref")).filter(U.is_image_url("image_url", "rich"))
     return rows.select("page_id", F.col("url").alias("page_url"), F.lit(1).alias("branch"), "pos",
                        F.col("image_url").alias("url"))
 
@@ -385,7 +412,7 @@ def css_images(pages: DataFrame) -> DataFrame:
 def link_images(pages: DataFrame) -> DataFrame:
     """H9: links whose target is an image."""
     a = anchors(pages).withColumn("href", U.strip("href")).filter("href <> ''")
-    a = a.withColumn("link", U.join_parts(F.col("base"), "href")).filter(U.is_image_url("link", "rich"))
+    a = computed(a, link=U.join_parts(base(), "href")).filter(U.is_image_url("link", "rich"))
     return a.select("page_id", F.col("url").alias("page_url"), F.lit(2).alias("branch"), "pos",
                     F.col("link").alias("url"), F.col("text").alias("link_text"), "title")
 
@@ -400,11 +427,11 @@ def all_images(pages: DataFrame) -> DataFrame:
 
 def simple_images(pages: DataFrame) -> DataFrame:
     """Img src and style attribute urls; distinct."""
-    tags = image_tags(pages).select("page_id", "url", "base", U.strip(M.attr_text(F.col("attrs"), "src")).alias("ref"))
-    styles = with_base(pages).select("page_id", "url", "base", F.explode(
+    tags = image_tags(pages).select("page_id", "url", *BASE.values(), U.strip(M.attr_text(F.col("attrs"), "src")).alias("ref"))
+    styles = with_base(pages).select("page_id", "url", *BASE.values(), F.explode(
         style_attribute_urls(M.visible("html"), M.SIMPLE_CSS_URL)).alias("ref")).withColumn("ref", U.strip("ref"))
     rows = tags.filter("ref <> ''").unionByName(styles)
-    rows = rows.withColumn("link", U.join_parts(F.col("base"), "ref")).filter(U.is_image_url("link", "simple"))
+    rows = computed(rows, link=U.join_parts(base(), "ref")).filter(U.is_image_url("link", "simple"))
     return rows.select("page_id", F.col("url").alias("page_url"), F.col("link").alias("url")).distinct()
 
 
@@ -412,7 +439,7 @@ def simple_images(pages: DataFrame) -> DataFrame:
 
 def page_info(pages: DataFrame) -> DataFrame:
     """H1 to H3, one row per page."""
-    rows = pages.withColumn("metas", M.metas("html"))
+    rows = computed(pages, metas=M.metas("html"))
     return rows.select("page_id", M.page_info("url", "html", F.col("metas")).alias("info"),
                        M.title("html").alias("title_or_null"), M.description(F.col("metas")).alias("summary"))
 

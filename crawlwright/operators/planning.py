@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import links as L
 from ..functions import urls as U
 from . import ordered as O
+from .columns import computed
 from .dedupe import keep_first
 from .joins import with_directory_flag, with_task_flag
 
@@ -44,11 +45,11 @@ def expanded_patterns(patterns: DataFrame, name_template: str | None = None) ->
     The first url that cannot be crawled stops the rest of its pattern: it
     stays as a row with an error, the ones after it are left out.
     """
-    rows = patterns.withColumn("_urls", U.expand_pattern("base_url", "pattern"))
+    rows = computed(patterns, _urls=U.expand_pattern("base_url", "pattern"))
     good = lambda u: U.is_crawlable(U.preprocess(u))
     bad_at = F.coalesce(F.get(F.filter(F.transform(F.col("_urls"), lambda u, i: F.when(~good(u), i)),
                                        lambda i: i.isNotNull()), 0), F.size("_urls"))
-    rows = rows.withColumn("_bad", bad_at).select(
+    rows = computed(rows, _bad=bad_at).select(
         "base_url", "index", "pattern", "_bad", F.posexplode("_urls").alias("_i", "raw_url")).filter("_i <= _bad")
     url = U.preprocess("raw_url")
     name = F.lit(None).cast("string") if name_template is None else F.replace(F.replace(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from .columns import computed
 
 # Fixed values: (pattern, finding, level) per category, advice and weakness ids.
 PATTERNS = {
@@ -112,8 +113,8 @@ def scan_texts(texts: DataFrame, path: str = "path", text: str = "text") -> Data
                 F.lit(CWE[category]).alias("cwe_id"), _matches(F.col(text), pattern).alias("lines"))
             found.append(F.when(F.col(text).rlike(f"(?imd){pattern}"), hit))
             at += 1
-    rows = texts.withColumn("_hit", F.explode(F.array_compact(F.array(*found))))
-    rows = rows.select("*", "_hit.*").select("*", F.posexplode("lines").alias("match_no", "line_number"))
+    rows = computed(texts, _hits=F.array_compact(F.array(*found))).select("*", F.inline("_hits")).drop("_hits")
+    rows = rows.select("*", F.posexplode("lines").alias("match_no", "line_number"))
     line = F.get(F.split(F.col(text), "\n"), F.col("line_number") - 1)
     seed = F.concat_ws("_", F.col(path).cast("string"), F.col("line_number").cast("string"), "pattern")
     return rows.select(
@@ -136,6 +137,6 @@ def scan_file_names(files: DataFrame, path: str = "path") -> DataFrame:
             F.lit(kind).alias("kind"), F.lit(title).alias("title"),
             F.concat(F.lit(text), F.col(path)).alias("description"), F.lit(level).alias("level"),
             F.lit(advice).alias("recommendation"))))
-    rows = files.withColumn("_hit", F.explode(F.array_compact(F.array(*found)))).select(F.col(path), "_hit.*")
+    rows = computed(files, _hits=F.array_compact(F.array(*found))).select(path, F.inline("_hits"))
     return rows.withColumn("issue_id", F.concat(
         F.col("kind"), F.lit("_"), F.substr(F.md5(F.col(path)), F.lit(1), F.lit(8))))

@@ -273,9 +273,9 @@ def page_descriptions(t: Tables):
 WITH seeds AS (SELECT c_nationkey AS main, CAST(c_custkey AS VARCHAR) AS k, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS pos FROM customer),
 gen AS (SELECT main, concat('http://n', CAST(main AS VARCHAR), '.example.com/set', CAST(k::BIGINT + i AS VARCHAR), '.html') AS url, pos, i
         FROM seeds, generate_series(0, 19) AS g(i) WHERE pos < 3),
-once AS (SELECT main, url, min(pos * 100 + i) AS at FROM gen GROUP BY ALL),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY main ORDER BY at) - 1 AS pos FROM once),
-head AS (SELECT *, pos < 30 AND at % 3 = 0 AS keep FROM ranked WHERE pos < 50),
+once AS (SELECT main, url, min(pos * 100 + i) AS place FROM gen GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY main ORDER BY place) - 1 AS pos FROM once),
+head AS (SELECT *, pos < 30 AND place % 3 = 0 AS keep FROM ranked WHERE pos < 50),
 checked AS (SELECT * FROM (SELECT *, count(*) FILTER (keep) OVER (PARTITION BY main) AS n FROM head) WHERE keep OR (pos >= 30 AND n < 10)),
 found AS (SELECT main, concat('http://n', CAST(main AS VARCHAR), '.example.com/found', k, '.html') AS url, pos FROM seeds WHERE pos < main % 30),
 counts AS (SELECT main, count(*) AS f FROM found GROUP BY main),
