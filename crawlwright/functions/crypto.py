@@ -7,6 +7,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import urls as U
 
@@ -14,7 +15,7 @@ from . import urls as U
 PBKDF2_ROUNDS = 100_000
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _blake2b(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else hashlib.blake2b(v.encode("utf-8")).hexdigest())
 

@@ -39,35 +39,41 @@ def is_gallery_path(low_path: Column, sections: list[str] = SECTIONS) -> Column:
     return low_path.rlike(_any(own + GALLERY_PATH_PATTERNS))
 
 
-def is_content_link(url, sections: list[str] = SECTIONS) -> Column:
+def _split(url, at: dict[str, Column] | None) -> tuple[Column, Column]:
+    """Path and host of a url; from ``at`` where they were computed before."""
+    return (at["path"], at["host"]) if at else (U.path(url), U.netloc(url))
+
+
+def is_content_link(url, sections: list[str] = SECTIONS, at: dict[str, Column] | None = None) -> Column:
     """no advertisement, an html page, and a path that looks like content."""
-    low = F.lower(U.path(url))
-    name = U.stem(U.basename(U.path(url)))
+    p, _ = _split(url, at)
+    low = F.lower(p)
+    name = U.stem(U.basename(p))
     looks = (name.rlike(r"^_?[0-9]+$") | low.rlike(_any([s.lower() for s in sections]))
              | low.rlike(_any(CONTENT_PATH_PATTERNS)))
     return F.when(U._c(url).rlike("(?i)" + _any(AD_PATTERNS)), is_gallery_path(low, sections)).otherwise(
         U.is_html_path(low) & ~low.rlike(_any(AD_PATHS)) & looks)
 
 
-def is_container_link(url, base, sections: list[str] = SECTIONS) -> Column:
+def is_container_link(url, base, sections: list[str] = SECTIONS, at: dict[str, Column] | None = None) -> Column:
     """F15 against a base split by ``url_parts``."""
-    p = U.path(url)
+    p, host = _split(url, at)
     digit = p.rlike(r"\d")
     exact = p.rlike(_any([f"^/{s}/{s}\\d+\\.html$" for s in sections]))
     numbered = U.is_numbered_stem(U.stem(U.basename(p)), U.stem(U.basename(base["path"])))
     keyword = F.lower(p).rlike(_any([s.lower() for s in sections])) & digit
-    section_dir = (U.netloc(url) == base["netloc"]) & p.rlike(_any([f"/{s}/" for s in sections])) & digit
+    section_dir = (host == base["netloc"]) & p.rlike(_any([f"/{s}/" for s in sections])) & digit
     return U.is_html_path(p) & (exact | numbered | keyword | section_dir)
 
 
-def is_neighbour_page(url, base) -> Column:
+def is_neighbour_page(url, base, at: dict[str, Column] | None = None) -> Column:
     """F16: same host and html page; series number in range, or one directory inside the other."""
-    p = U.path(url)
+    p, host = _split(url, at)
     numbered = U.is_numbered_stem(U.stem(U.basename(p)), U.stem(U.basename(base["path"])))
     last = F.regexp_extract(p, r"(\d+)\D*$", 1).try_cast("bigint")
     a, b = U.dirname(p), U.dirname(base["path"])
     near = a.startswith(b) | b.startswith(a)
-    return (U.netloc(url) == base["netloc"]) & U.is_html_path(p) & F.when(
+    return (host == base["netloc"]) & U.is_html_path(p) & F.when(
         numbered, F.coalesce(last.between(SERIES_MIN, SERIES_MAX), F.lit(False))).otherwise(near)
 
 

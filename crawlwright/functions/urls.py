@@ -70,34 +70,58 @@ def tidy(url) -> Column:
     return F.regexp_replace(_c(url), r"^[\x00-\x20]+|[\t\r\n]", "")
 
 
+def _scheme(u: Column) -> Column:
+    return F.lower(F.regexp_extract(u, _SCHEME, 1))
+
+
+def _netloc(u: Column) -> Column:
+    return F.regexp_extract(u, _PREFIX + r"//([^/?#]*)", 1)
+
+
+def _raw_path(u: Column) -> Column:
+    return F.regexp_extract(u, _PREFIX + r"(?://[^/?#]*)?([^?#]*)", 1)
+
+
+def _path(raw: Column) -> Column:
+    return F.regexp_extract(raw, r"^((?:.*/)?[^/;]*)", 1)
+
+
+def _params(raw: Column) -> Column:
+    return F.regexp_extract(raw, r"^(?:.*/)?[^/;]*;(.*)$", 1)
+
+
+def _query(u: Column) -> Column:
+    return F.regexp_extract(u, r"^[^?#]*\?([^#]*)", 1)
+
+
+def _fragment(u: Column) -> Column:
+    return F.regexp_extract(u, r"^[^#]*#(.*)$", 1)
+
+
 def scheme(url) -> Column:
-    return F.lower(F.regexp_extract(tidy(url), _SCHEME, 1))
+    return _scheme(tidy(url))
 
 
 def netloc(url) -> Column:
     """U4: host with port and user info, original case."""
-    return F.regexp_extract(tidy(url), _PREFIX + r"//([^/?#]*)", 1)
-
-
-def raw_path(url) -> Column:
-    return F.regexp_extract(tidy(url), _PREFIX + r"(?://[^/?#]*)?([^?#]*)", 1)
+    return _netloc(tidy(url))
 
 
 def path(url) -> Column:
     """Path without the ``;params`` of its last segment."""
-    return F.regexp_extract(raw_path(url), r"^((?:.*/)?[^/;]*)", 1)
+    return _path(_raw_path(tidy(url)))
 
 
 def params(url) -> Column:
-    return F.regexp_extract(raw_path(url), r"^(?:.*/)?[^/;]*;(.*)$", 1)
+    return _params(_raw_path(tidy(url)))
 
 
 def query(url) -> Column:
-    return F.regexp_extract(tidy(url), r"^[^?#]*\?([^#]*)", 1)
+    return _query(tidy(url))
 
 
 def fragment(url) -> Column:
-    return F.regexp_extract(tidy(url), r"^[^#]*#(.*)$", 1)
+    return _fragment(tidy(url))
 
 
 def basename(p: Column) -> Column:
@@ -115,11 +139,14 @@ def stem(name: Column) -> Column:
     return F.regexp_replace(name, r"^(\.*[^.].*?)\.[^.]*$", "$1")
 
 
+URL_PARTS = ("scheme", "netloc", "path", "params", "query", "fragment")
+
+
 def url_parts(url) -> Column:
     """The split url as one struct column."""
-    return F.struct(
-        scheme(url).alias("scheme"), netloc(url).alias("netloc"), path(url).alias("path"),
-        params(url).alias("params"), query(url).alias("query"), fragment(url).alias("fragment"))
+    return let(tidy(url), lambda u: F.struct(
+        _scheme(u).alias("scheme"), _netloc(u).alias("netloc"), _path(_raw_path(u)).alias("path"),
+        _params(_raw_path(u)).alias("params"), _query(u).alias("query"), _fragment(u).alias("fragment")))
 
 
 # --------------------------------------------------------------- predicates

@@ -39,15 +39,12 @@ ANCHOR_SCHEMA = (
     "ancestors array<struct<tag:string,css_class:string,id:string,ord:int>>")
 
 
-_PARTS = ("scheme", "netloc", "path", "params", "query", "fragment")
-BASE = {p: f"base_{p}" for p in _PARTS}
+BASE = {p: f"base_{p}" for p in U.URL_PARTS}
 
 
 def with_base(pages: DataFrame) -> DataFrame:
     """Add the split page url as flat columns, so that it is split once per page."""
-    parts = {"scheme": U.scheme, "netloc": U.netloc, "path": U.path, "params": U.params, "query": U.query,
-             "fragment": U.fragment}
-    return pages.select("*", *[f("url").alias(BASE[p]) for p, f in parts.items()])
+    return pages.select("*", F.inline(F.array(U.url_parts("url"))).alias(*BASE.values()))
 
 
 def base() -> dict[str, Column]:
@@ -243,8 +240,10 @@ def subpages_by_priority(pages: DataFrame) -> DataFrame:
 def _tiers(a: DataFrame, sections: list[str]) -> DataFrame:
     """Absolute links with the tests of every sub-page tier."""
     a = computed(a, link=U.join_parts(base(), "href"))
-    a = computed(a, content=L.is_content_link("link", sections),
-                 contained=L.is_container_link("link", base(), sections))
+    a = computed(a, link_path=U.path("link"), link_host=U.netloc("link"))
+    at = {"path": F.col("link_path"), "host": F.col("link_host")}
+    a = computed(a, content=L.is_content_link("link", sections, at),
+                 contained=L.is_container_link("link", base(), sections, at))
     box = F.exists("ancestors", lambda e: (e["tag"] == F.col("container"))
                    & F.array_contains(F.split(e["css_class"], r"\s+"), "container"))
     paging = F.exists("ancestors", lambda e: e["ord"] == F.col("pagination"))
@@ -256,7 +255,7 @@ def _tiers(a: DataFrame, sections: list[str]) -> DataFrame:
         in_pagination=F.coalesce(paging, F.lit(False)) & ~current & ~F.col("text").contains(NEXT_PAGE_TEXT) & F.col("content"),
         relative=(href.startswith("/") & ~href.startswith("//") & ~href.contains("://") & F.col("content")
                   & F.col("contained")),
-        neighbour=L.is_neighbour_page("link", base()) & F.col("content"),
+        neighbour=L.is_neighbour_page("link", base(), at) & F.col("content"),
     ).select("page_id", "url", "pos", "link", "in_container", "in_pagination", "relative", "neighbour")
 
 
@@ -285,7 +284,9 @@ def relative_links(pages: DataFrame, sections: list[str] = L.SECTIONS) -> DataFr
     href = F.col("href")
     rows = computed(a.filter(href.startswith("/") & ~href.startswith("//") & ~href.contains("://")),
                     link=U.join_parts(base(), "href"))
-    rows = rows.filter(L.is_content_link("link", sections) & L.is_container_link("link", base(), sections))
+    rows = computed(rows, link_path=U.path("link"), link_host=U.netloc("link"))
+    at = {"path": F.col("link_path"), "host": F.col("link_host")}
+    rows = rows.filter(L.is_content_link("link", sections, at) & L.is_container_link("link", base(), sections, at))
     return keep_first(rows.select("page_id", F.col("url").alias("page_url"), F.col("link").alias("url"), "pos"),
                       ["page_id", "url"], ["pos"])
 

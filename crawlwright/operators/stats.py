@@ -426,6 +426,14 @@ def log_error_rate(lines: DataFrame, n: int = 100, keys: list[str] = ("file",))
     return tail.groupBy(*keys).agg((F.avg(F.col("line").contains("ERROR").cast("double")) * 100).alias("error_rate"))
 
 
+def keyword_lines(lines: DataFrame, words: list[str], n: int = 5, keys: list[str] = ("file",)) -> DataFrame:
+    """of the last n lines of a file those with any of the words."""
+    hit = F.lit(False)
+    for w in words:
+        hit = hit | F.col("line").contains(w)
+    return last_rows(lines, list(keys), ["line_no"], n).filter(hit)
+
+
 def parser_statistics(runs: DataFrame, n: int = 100, order: list[str] = ("ts", "seq")) -> DataFrame:
     """Requests, successes and their rate, and times over the last n runs."""
     totals = runs.agg(F.count("*").alias("requests"), F.count_if("success").alias("successes"),

@@ -137,7 +137,7 @@ def metrics(t: Tables) -> DataFrame:
 _LOG_COLUMNS = """
     concat('u', CAST(user_id AS STRING)) AS host, ts, event_id AS seq,
     CASE event_type WHEN 'error' THEN 502 WHEN 'click' THEN 404 WHEN 'signup' THEN 500 ELSE 200 END AS status,
-    value AS response_ms, CAST(value * 100 AS BIGINT) AS bytes
+    value AS response_ms, CAST(round(value * 100) AS BIGINT) AS bytes
 """
 LOG_SQL = f"log AS (SELECT {_LOG_COLUMNS.replace('STRING', 'VARCHAR')} FROM events)"
 
@@ -163,7 +163,7 @@ def reports(t: Tables) -> DataFrame:
 
 _PROGRESS_COLUMNS = """
     concat('http://i.example.com/', CAST(user_id AS STRING), '.jpg') AS url, user_id % 20 AS task_id, ts, event_id AS seq,
-    CAST(value * 1000 AS BIGINT) AS downloaded, CAST(500000 AS BIGINT) AS total,
+    CAST(round(value * 1000) AS BIGINT) AS downloaded, CAST(500000 AS BIGINT) AS total,
     CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'completed' WHEN 'signup' THEN 'pending'
          ELSE 'downloading' END AS status
 """

@@ -32,6 +32,8 @@ class Query:
 
     def __call__(self, spark: SparkSession, folder: str) -> DataFrame:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        # time stamps without a zone are read as UTC instants
+        spark.conf.set("spark.sql.parquet.inferTimestampNTZ.enabled", "false")
         return self.build(Tables(spark, folder))
 
 

@@ -49,8 +49,8 @@ def due_tasks(t: Tables):
 
 @query("T6", f"""
 WITH {D.TASKS_SQL}
-SELECT task_id, concat(name, ' (重复)') AS name, epoch_us(completed_time) + repeat_minutes * 60000000 AS next_time FROM tasks
-WHERE status = 'completed' AND repeat_minutes > 0 AND epoch_us(completed_time) + repeat_minutes * 60000000 <= epoch_us(TIMESTAMP '1998-01-01 00:00:00')""")
+SELECT task_id, concat(name, ' (重复)') AS name, epoch_us(completed_time) + repeat_minutes * 60000000::BIGINT AS next_time FROM tasks
+WHERE status = 'completed' AND repeat_minutes > 0 AND epoch_us(completed_time) + repeat_minutes * 60000000::BIGINT <= epoch_us(TIMESTAMP '1998-01-01 00:00:00')""")
 def due_repeats(t: Tables):
     return planning.due_repeats(D.tasks(t), "1998-01-01 00:00:00").select("task_id", "name", F.unix_micros("next_time").alias("next_time"))
 
