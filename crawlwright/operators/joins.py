@@ -19,6 +19,8 @@ IMAGE_CONTENT_TYPES = ["image/jpeg", "image/png", "image/gif", "image/webp"]
 
 _GRAM = 4
 _ONE_EDIT_MAX = 100
+_SALTS = 16
+_EDIT_STEPS = (1, 2, 4, 8, 16, 32, 64, 256)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -91,30 +93,45 @@ def _grams(step: int) -> Column:
 def _by_rare_grams(probe: DataFrame, known: DataFrame) -> DataFrame:
     """Longer paths: d edits leave all but d of the known path's blocks untouched.
 
-    So it is enough to look for its d + 1 rarest blocks, near their place.
-    Common beginnings and endings of a large host are never looked for unless
-    a path has nothing rarer.
+    So it is enough to look for d + 1 of them, near their place, and those are
+    chosen that fewest probe paths hold. Common beginnings and endings of a
+    large host are never looked for unless a path has nothing rarer.
     """
     longest = F.floor(F.length("path") / 0.9 + 1)
     usable = F.length("path") >= 19
     blocks = known.filter(usable).select("host", "path", F.explode(_grams(_GRAM)).alias("b")).select(
         "host", "path", "b.*")
-    seen = blocks.groupBy("host", "at", "gram").agg(F.count("*").alias("n"))
-    ranked = blocks.join(seen, ["host", "at", "gram"]).withColumn("rank", F.row_number().over(
-        Window.partitionBy("host", "path").orderBy("n", "at")))
-    index = ranked.filter(F.col("rank") <= _max_edits(longest) + 1).select(
-        "host", "gram", F.col("at").alias("k_at"), F.col("path").alias("k_path"))
     near = _max_edits(longest)
     looked = probe.filter(usable).select(
-        "host", "path", F.explode(_grams(1)).alias("g")).select(
-        "host", "path", F.col("g.gram").alias("gram"), F.explode(F.filter(
+        "host", "path", (F.pmod(F.xxhash64("path"), F.lit(_SALTS))).cast("int").alias("salt"),
+        F.explode(_grams(1)).alias("g")).select(
+        "host", "path", "salt", F.col("g.gram").alias("gram"), F.explode(F.filter(
             F.sequence(F.greatest(F.col("g.at") - near, F.lit(1)), F.col("g.at") + near),
             lambda i: i % _GRAM == 1)).alias("k_at"))
-    longer = F.greatest(F.length("path"), F.length("k_path"))
-    gap = F.abs(F.length("path") - F.length("k_path"))
-    pairs = looked.join(index, ["host", "gram", "k_at"]).filter(gap <= _max_edits(longer))
-    close = U.path_similarity(F.col("path"), F.col("k_path")) > SIMILAR
-    return pairs.filter(close).select("host", "path").distinct()
+    seen = looked.groupBy("host", "gram", "k_at").agg(F.count("*").alias("n")).withColumnRenamed("k_at", "at")
+    order = Window.partitionBy("host", "path").orderBy(F.coalesce("n", F.lit(0)), "at")
+    ranked = blocks.join(seen, ["host", "at", "gram"], "left").withColumn("rank", F.row_number().over(order))
+    index = ranked.filter((F.col("rank") <= _max_edits(longest) + 1) & F.col("n").isNotNull()).select(
+        "host", "gram", F.col("at").alias("k_at"), F.col("path").alias("k_path"))
+    # a block many paths share is spread over salts: the known side is repeated, the probe side split
+    index = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    on = ["host", "gram", "k_at", "salt"]
+    # comparing costs far more than the rows weigh, so the width must not shrink with their size
+    width = int(probe.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left, right = looked.repartition(width, *on).alias("l"), index.repartition(width, *on).alias("r")
+    cond = _close(F.col("l.path"), F.col("r.k_path"))
+    for c in on:
+        cond = (F.col(f"l.{c}") == F.col(f"r.{c}")) & cond
+    return left.join(right, cond, "left_semi").select("host", "path").distinct()
+
+
+def _close(a: Column, b: Column) -> Column:
+    """Similarity above 0.9, as a bound on the edits; the banded distance stops beyond the bound."""
+    most = _max_edits(F.greatest(F.length(a), F.length(b)))
+    out = F
+    for step in _EDIT_STEPS:
+        out = out.when(most <= step, F.levenshtein(a, b, step).between(F.lit(0), most))
+    return (F.abs(F.length(a) - F.length(b)) <= most) & out.otherwise(F.levenshtein(a, b) <= most)
 
 
 def with_task_flag(urls: DataFrame, tasks: DataFrame, url: str = "url", task_url: str = "base_url") -> DataFrame:

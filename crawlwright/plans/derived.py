@@ -203,7 +203,7 @@ _GALLERY_URL = "concat('http://g', CAST(p_size AS STRING), '.example.com/g/', CA
 
 def galleries(t: Tables) -> DataFrame:
     """Gallery pages with images, styles, containers and paging, one per part."""
-    return t.part.select(F.col("p_partkey").alias("page_id"), F.expr(_GALLERY_URL).alias("url"),
+    return t.spread(t.part, "p_partkey").select(F.col("p_partkey").alias("page_id"), F.expr(_GALLERY_URL).alias("url"),
                          F.expr(_GALLERY).alias("html"))
 
 

@@ -19,7 +19,7 @@ _URL = "url"
 
 
 def _links(t: Tables):
-    return X.page_links(t.pages)
+    return X.page_links(t.html_pages)
 
 
 # ----------------------------------------------------------------------- urls
@@ -136,7 +136,7 @@ kept AS (SELECT * FROM r WHERE rn = 1 AND NOT regexp_matches(lower(text), '{_EXC
 @query("H11 H12 H13 H20 W3 F17 U2 U26 U38", _PRIORITY_SQL + """
 SELECT page_id, link AS url, text AS link_text, page_type, CAST(priority AS BIGINT) AS priority FROM kept""")
 def subpages_by_priority(t: Tables):
-    rows = X.subpages_by_priority(t.pages)
+    rows = X.subpages_by_priority(t.html_pages)
     return rows.select("page_id", "url", "link_text", "page_type", F.col("priority").cast("bigint").alias("priority"))
 
 
@@ -144,7 +144,7 @@ def subpages_by_priority(t: Tables):
 SELECT {S.netloc('link')} AS domain, page_type, count(*) AS links FROM kept GROUP BY ALL""")
 def curated_domains(t: Tables):
     """The first query end to end: extract, resolve, normalise, rank, filter, count per domain."""
-    rows = X.subpages_by_priority(t.pages)
+    rows = X.subpages_by_priority(t.html_pages)
     return rows.groupBy(U.netloc("url").alias("domain"), "page_type").agg(F.count("*").alias("links"))
 
 
@@ -154,7 +154,7 @@ SELECT page_id, trim(replace(replace(replace(replace(regexp_extract(html, '<titl
   regexp_extract(url, '//([^/?#]*)', 1) AS domain, CAST(NULL AS VARCHAR) AS summary, '' AS canonical_url, 0 AS og_entries
 FROM pages""")
 def page_info(t: Tables):
-    rows = X.page_info(t.pages)
+    rows = X.page_info(t.html_pages)
     return rows.select("page_id", "info.title", "info.language", F.lower("info.charset").alias("charset"), "info.domain",
                        "summary", "info.canonical_url", F.size("info.og_info").alias("og_entries"))
 
@@ -171,7 +171,7 @@ SELECT page_id, link AS url, min(pos) AS pos FROM (SELECT *, {S.path('link')} AS
 WHERE starts_with(href, '/') AND {_CONTENT} AND regexp_matches(lower(p), '{_SECTIONS}') AND regexp_matches(p, '[0-9]')
 GROUP BY ALL""")
 def relative_subpages(t: Tables):
-    return X.relative_links(t.pages).select("page_id", "url", F.col("pos").cast("bigint").alias("pos"))
+    return X.relative_links(t.html_pages).select("page_id", "url", F.col("pos").cast("bigint").alias("pos"))
 
 
 @query("H18 U7 F18", f"""
@@ -180,7 +180,7 @@ f AS (SELECT DISTINCT page_id, page_url, lower(regexp_replace(concat({S.site('li
 SELECT page_id, url FROM f WHERE regexp_matches(url, '^https?://') AND {S.netloc('url')} = {S.netloc('page_url')}
   AND regexp_matches(url, '/[0-9]+\\.html$|page-[0-9]+|/[0-9]+/?')""")
 def simple_subpages(t: Tables):
-    return X.simple_subpages(t.pages).select("page_id", "url")
+    return X.simple_subpages(t.html_pages).select("page_id", "url")
 
 
 @query("H21", """
@@ -263,7 +263,7 @@ SELECT concat('page_ ', title, '.txt') AS filename,
   concat('页面标题: page: ', title, chr(10), '原始链接: ', url, chr(10), '提取时间: 2024-01-31 00:00:00', chr(10), chr(10),
          '—————— 套图描述 ——————', chr(10), chr(10), 'language ', lang) AS body FROM r""")
 def page_descriptions(t: Tables):
-    rows = X.page_info(t.pages).select(
+    rows = X.page_info(t.html_pages).select(
         "info.url", F.concat(F.lit("page: "), F.col("page_id").cast("string")).alias("title"),
         F.concat(F.lit(" language "), "info.language").alias("description"))
     return writers.page_descriptions(rows, "2024-01-31 00:00:00").select("filename", "body")

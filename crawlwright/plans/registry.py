@@ -22,6 +22,22 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, df: DataFrame, key: str) -> DataFrame:
+        """Rows over all cores when the input has fewer splits than that; a large input stays as it is.
+
+        For work that costs far more per row than the row's size, such as parsing pages.
+        """
+        cores = self.spark.sparkContext.defaultParallelism
+        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+    @property
+    def html_pages(self) -> DataFrame:
+        return self.spread(self.pages, "page_id")
+
+    @property
+    def texts(self) -> DataFrame:
+        return self.spread(self.documents, "doc_id")
+
 
 @dataclass(frozen=True)
 class Query:

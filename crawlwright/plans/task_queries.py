@@ -287,8 +287,8 @@ SELECT id, regexp_matches(lower(text), '{_XSS}') AS xss, regexp_matches(lower(te
 def text_risk(t: Tables):
     n = lambda c: F.col(c).cast("string")
     x = (t.conversations.select(F.concat(F.lit("c"), n("conv_id"), F.lit("-"), n("turn")).alias("id"), "text")
-         .unionByName(t.pages.select(F.concat(F.lit("p"), n("page_id")).alias("id"), F.col("html").alias("text")))
-         .unionByName(t.documents.select(F.concat(F.lit("d"), n("doc_id")).alias("id"), "text")))
+         .unionByName(t.html_pages.select(F.concat(F.lit("p"), n("page_id")).alias("id"), F.col("html").alias("text")))
+         .unionByName(t.texts.select(F.concat(F.lit("d"), n("doc_id")).alias("id"), "text")))
     return x.select("id", V.has_xss("text").alias("xss"), V.has_sql_injection("text").alias("sql_injection"),
                     V.has_shell_injection("text").alias("shell"), V.validate("text", "user_input")["valid"].alias("valid"))
 
@@ -347,7 +347,7 @@ lines AS (SELECT *, 1 + length(regexp_replace(array_to_string(parts[1:k], ''), '
 SELECT doc_id, category, level, CAST(line_number AS BIGINT) AS line_number, trim(string_split(text, chr(10))[line_number]) AS code_snippet,
   concat(category, '_', left(md5(concat(CAST(doc_id AS VARCHAR), '_', CAST(line_number AS VARCHAR), '_', pattern)), 8)) AS issue_id FROM lines""")
 def secret_scan(t: Tables):
-    rows = scan.scan_texts(t.documents.select("doc_id", "text"), "doc_id")
+    rows = scan.scan_texts(t.texts.select("doc_id", "text"), "doc_id")
     return rows.select("doc_id", "category", "level", F.col("line_number").cast("bigint").alias("line_number"), "code_snippet", "issue_id")
 
 
@@ -356,7 +356,7 @@ WITH {_scan_sql()}
 SELECT 'category' AS kind, title AS value, count(*) AS n FROM hits GROUP BY title
 UNION ALL SELECT 'level', l, count(h.level) FROM (VALUES ('low'), ('medium'), ('high'), ('critical')) AS v(l) LEFT JOIN hits h ON h.level = l GROUP BY l""")
 def scan_summary(t: Tables):
-    return stats.issue_summary(scan.scan_texts(t.documents.select("doc_id", "text"), "doc_id"))
+    return stats.issue_summary(scan.scan_texts(t.texts.select("doc_id", "text"), "doc_id"))
 
 
 @query("U36", """SELECT doc_id, sha256(concat(text, 'pepper')) AS sha256, sha256(concat(text, 'pepper')) = sha256(concat(text, 'pepper')) AS verified FROM documents""")
@@ -368,7 +368,7 @@ def salted_hashes(t: Tables):
 @query("U36", None)
 def blake_hashes(t: Tables):
     """Blake2b digests; SQL has no such function."""
-    return t.documents.select("doc_id", C.hash_text("text", "blake2b", "pepper").alias("digest"), C.hash_text("text", "sha512").alias("sha512"))
+    return t.texts.select("doc_id", C.hash_text("text", "blake2b", "pepper").alias("digest"), C.hash_text("text", "sha512").alias("sha512"))
 
 
 @query("U37", "SELECT doc_id, text AS decrypted FROM documents")

@@ -1,9 +1,15 @@
+import pathlib
+import sys
 import tempfile
 
 import pytest
 from pyspark.sql import SparkSession
 
 
+ROOT = pathlib.Path(__file__).resolve().parent
+sys.path[:0] = [str(ROOT.parent), str(ROOT)]
+
+
 @pytest.fixture(scope="session")
 def spark():
     session = (
