@@ -91,10 +91,9 @@ def known_size(url, width, height) -> Column:
         F.coalesce(U.size_hint(url), F.struct(w.alias("width"), h.alias("height"))))
 
 
-def dimension_reason(url, width, height, rules: dict = DEFAULT_RULES) -> Column:
-    """F5."""
-    size = known_size(url, width, height)
-    w, h = F.nullif(size["width"], F.lit(0)), F.nullif(size["height"], F.lit(0))
+def size_reason(width, height, rules: dict = DEFAULT_RULES) -> Column:
+    """F5 on a known size; 0 is unknown."""
+    w, h = F.nullif(U._c(width), F.lit(0)), F.nullif(U._c(height), F.lit(0))
     text = lambda key, v, lim: F.format_string(REASON[key], v.cast("string"), F.lit(str(lim)))
     return (F.when(w < rules["min_width"], text("narrow", w, rules["min_width"]))
             .when(h < rules["min_height"], text("short", h, rules["min_height"]))
@@ -102,6 +101,11 @@ def dimension_reason(url, width, height, rules: dict = DEFAULT_RULES) -> Column:
             .when(h > rules["max_height"], text("tall", h, rules["max_height"])))
 
 
+def dimension_reason(url, width, height, rules: dict = DEFAULT_RULES) -> Column:
+    """F5."""
+    return U.let(known_size(url, width, height), lambda s: size_reason(s["width"], s["height"], rules))
+
+
 def file_size_reason(file_size, rules: dict = DEFAULT_RULES) -> Column:
     """F6."""
     s = F.nullif(U._c(file_size), F.lit(0))

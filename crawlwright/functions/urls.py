@@ -375,9 +375,9 @@ def sanitize_filename(name, variant: str = "download") -> Column:
     """``download``, ``validated`` or ``plain`` file-name clean-up."""
     n = F.regexp_replace(_c(name), UNSAFE_NAME_CHARS, "_")
     if variant == "download":
-        n = _cap_stem(F.regexp_replace(n, r"[\x00-\x1f\x7f-\x9f]", ""), 200)
-        n = F.when(F.upper(stem(n)).isin(RESERVED_NAMES), F.concat(F.lit("_"), n)).otherwise(n)
-        return strip(n)
+        n = F.regexp_replace(n, r"[\x00-\x1f\x7f-\x9f]", "")
+        return let(n, lambda x: let(_cap_stem(x, 200), lambda c: strip(
+            F.when(F.upper(stem(c)).isin(RESERVED_NAMES), F.concat(F.lit("_"), c)).otherwise(c))))
     if variant == "validated":
         n = F.regexp_replace(n, r"[\x00-\x1f]", "")
         st = stem(n)
@@ -400,9 +400,9 @@ def filename_from_url(url) -> Column:
     """File name of a url, or null when nothing with a dot is found."""
     name = F.regexp_extract(decode_path(path(url)), r"([^/]*)$", 1)
     param = decode_path(F.regexp_extract(query(url), r"(?i)(?:file|filename|name)=([^&]+)", 1))
-    name = F.when(name.contains("."), name).when(param.contains("."), param).otherwise(name)
-    clean = sanitize_filename(name)
-    return F.when(clean.contains("."), clean)
+    name = let(F.struct(name.alias("own"), param.alias("param")), lambda n: F.when(
+        n["own"].contains("."), n["own"]).when(n["param"].contains("."), n["param"]).otherwise(n["own"]))
+    return let(sanitize_filename(name), lambda clean: F.when(clean.contains("."), clean))
 
 
 def file_extension(url) -> Column:
@@ -520,10 +520,10 @@ def size_hint(url) -> Column:
     """``struct<width,height>`` read from the url, or null."""
     u = _c(url)
     def pair(pattern: str) -> Column:
-        w = F.regexp_extract(u, pattern, 1).try_cast("bigint")
-        h = F.regexp_extract(u, pattern, 2).try_cast("bigint")
-        ok = w.between(SIZE_HINT_MIN, SIZE_HINT_MAX) & h.between(SIZE_HINT_MIN, SIZE_HINT_MAX)
-        return F.when(ok, F.struct(w.alias("width"), h.alias("height")))
+        read = F.struct(F.regexp_extract(u, pattern, 1).try_cast("bigint").alias("width"),
+                        F.regexp_extract(u, pattern, 2).try_cast("bigint").alias("height"))
+        inside = lambda v: v.between(SIZE_HINT_MIN, SIZE_HINT_MAX)
+        return let(read, lambda s: F.when(inside(s["width"]) & inside(s["height"]), s))
     return F.coalesce(*[pair(p) for p in SIZE_PATTERNS])
 
 

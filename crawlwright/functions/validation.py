@@ -228,14 +228,15 @@ def validate(value, kind: str, level: str = "strict", extra: list[Rule] = ()) ->
         return F.struct(F.lit(False).alias("valid"), F.array(F.lit(ERRORS["unknown"] % kind)).alias("errors"),
                         v.alias("sanitized"))
     rules = [*(rules or []), *extra]
-    found = []
-    sanitized = v
-    ok = F.lit(True)
-    for r in rules:
-        good = r.check(v)
-        found.append(F.when(good.isNull(), F.lit(ERRORS["failed"] % r.name)).when(~good, F.lit(r.error)))
-        ok = ok & F.coalesce(good, F.lit(False))
+    # every rule is evaluated once, into an array the errors are read from
+    checks = F.array(*[r.check(v) for r in rules])
+    texts = F.array(*[F.struct(F.lit(r.error).alias("error"), F.lit(ERRORS["failed"] % r.name).alias("failed"))
+                      for r in rules])
+    errors = F.array_compact(F.zip_with(checks, texts, lambda ok, t: F.when(ok.isNull(), t["failed"]).when(~ok, t["error"])))
+    sanitized, ok = v, F.lit(True)
+    for r in rules if any(r.sanitizer for r in rules) else ():
+        ok = ok & F.coalesce(r.check(v), F.lit(False))
         if r.sanitizer:
             sanitized = F.when(ok, r.sanitizer(sanitized)).otherwise(sanitized)
-    errors = F.array_compact(F.array(*found))
-    return F.struct((F.size(errors) == 0).alias("valid"), errors.alias("errors"), sanitized.alias("sanitized"))
+    return U.let(errors, lambda e: F.struct((F.size(e) == 0).alias("valid"), e.alias("errors"),
+                                            sanitized.alias("sanitized")))

@@ -26,7 +26,7 @@ def apply_rules(images: DataFrame, options: dict | None = None, config: dict | N
     text = F.col("_text")
     rows = computed(rows, score=score, _text=I.image_text(
         "url", "filename", "alt_text", "title", "css_class", "element_id"))
-    found = [I.dimension_reason("url", w, h, rules), I.file_size_reason("file_size", rules),
+    found = [I.size_reason(w, h, rules), I.file_size_reason("file_size", rules),
              I.format_reason("url", "content_type", rules), I.keyword_reason(text, rules),
              I.domain_reason("url", rules), I.quality_reason(F.col("score"), rules), I.url_reason("url"),
              *(extra_rules or {}).values()]

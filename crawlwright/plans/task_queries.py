@@ -9,6 +9,7 @@ from ..functions import progress as P
 from ..functions import urls as U
 from ..functions import validation as V
 from ..operators import alerts, joins, planning, scan, stats
+from ..operators.columns import computed
 from ..sources import writers
 from . import derived as D
 from . import sqltext as S
@@ -289,8 +290,11 @@ def text_risk(t: Tables):
     x = (t.conversations.select(F.concat(F.lit("c"), n("conv_id"), F.lit("-"), n("turn")).alias("id"), "text")
          .unionByName(t.html_pages.select(F.concat(F.lit("p"), n("page_id")).alias("id"), F.col("html").alias("text")))
          .unionByName(t.texts.select(F.concat(F.lit("d"), n("doc_id")).alias("id"), "text")))
-    return x.select("id", V.has_xss("text").alias("xss"), V.has_sql_injection("text").alias("sql_injection"),
-                    V.has_shell_injection("text").alias("shell"), V.validate("text", "user_input")["valid"].alias("valid"))
+    # one evaluation of the rules per text; the flags are read from its errors
+    x = computed(x.select("id", "text"), checked=V.validate("text", "user_input"))
+    has = lambda key: F.array_contains("checked.errors", V.ERRORS[key])
+    return x.select("id", has("xss").alias("xss"), has("sql").alias("sql_injection"), has("shell").alias("shell"),
+                    F.col("checked.valid").alias("valid"))
 
 
 @query("F24 F27 F29 V1", f"""
