@@ -76,3 +76,10 @@ def test_broken_markup_and_missing_pages(spark):
     df = spark.createDataFrame([(1, PAGE, None), (2, PAGE, html)], "page_id bigint, url string, html string")
     got = {r["page_id"]: (r["parsed"], r["error_message"]) for r in X.page_records(df).collect()}
     assert got == {1: (False, "no content"), 2: (True, None)}
+
+
+def test_relative_and_simple_links(spark):
+    html = ('<a href="/Xiuren/Xiuren11.html">a</a><a href="//cdn.example/Xiuren/Xiuren12.html">b</a><a href="/about.html">c</a>'
+            '<a href="/Xiuren/Xiuren11.html">again</a><a href="/n/77.html#x">d</a><a href="http://other.example/n/78.html">e</a>')
+    assert rows(spark, X.relative_links, html, "url", "pos") == [("https://h.example/Xiuren/Xiuren11.html", 0)]
+    assert rows(spark, X.simple_subpages, html, "url") == ["https://h.example/n/77.html"]
