@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination
+from . import decontamination, simhash
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,5 +20,10 @@ def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
                         decontamination.is_contaminated().alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination,)}
+def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash.near_duplicates(_table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op4_simhash)}
 SQL: dict[str, str] = {}
