@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, simhash
+from . import decontamination, simhash, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -25,5 +25,13 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op4_simhash)}
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document by a lexicon learned from the labels that are not held out."""
+    docs = _table(spark, folder, "documents")
+    found = toxicity.scored(docs, toxicity.fitted(docs, _table(spark, folder, "labels")))
+    return found.select("doc_id", (toxicity.remainder() == 2).alias("held_out"), "score",
+                        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op4_simhash, op5_toxicity)}
 SQL: dict[str, str] = {}
