@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, simhash, toxicity
+from . import decontamination, packing, simhash, tokenfiles, toxicity
+from .storage import new_folder
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -33,5 +35,18 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
                         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op4_simhash, op5_toxicity)}
+def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document, written to bit-packed files and read back."""
+    out = new_folder(spark, "token-files")
+    tokenfiles.write(_table(spark, folder, "documents"), out, public_tokenizers.path("byte_bpe_50k.json"), end=2)
+    return tokenfiles.read(spark, out).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents packed into sequences of 1024 ids along a Hilbert curve."""
+    pieces = packing.packed(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end=0)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op4_simhash, op5_toxicity, op9_token_files, op10_packing)}
 SQL: dict[str, str] = {}
