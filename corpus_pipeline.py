@@ -1,18 +1,42 @@
-"""A training corpus from documents: stages in order, each over what the one before it kept."""
+"""A training corpus from documents: stages in order, each over what the one before it kept.
+
+Toxic documents go, of each group of near-duplicates one document stays,
+documents that the benchmark contaminates go, and what is left is packed into
+sequences. All stages but the last keep the columns of the documents and the
+rows that they do not reject as they are. Null and empty texts are clean
+documents; the operators' docstrings state the other edge cases.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlwright.llm import decontamination
+from crawlwright.llm import decontamination, packing, simhash, toxicity
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents below the toxicity threshold, by a model fitted on the labelled ones among them."""
+    model = toxicity.fitted(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    return toxicity.without_toxic(docs, model)
+
 
+def deduplicated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """The first document of each group of near-duplicates."""
+    return simhash.deduplicated(docs)
 
-def decontaminate(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+
+def decontaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that the benchmark does not contaminate."""
     return decontamination.decontaminated(docs, spark.read.parquet(f"{folder}/benchmark.parquet"))
 
 
-STAGES = [("decontamination", decontaminate)]
+def packed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """The pieces of all documents in sequences of 1024 ids."""
+    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"), end=0)
+
+
+STAGES = [("toxicity", without_toxic), ("simhash", deduplicated), ("decontamination", decontaminated), ("packing", packed)]
 ORACLE_SQL = None
 
 
