@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import decontamination, packing, simhash, tokenfiles, toxicity
+from . import chat, decontamination, embeddings, packing, simhash, tokencounts, tokenfiles, toxicity, urlfilter
 from .storage import new_folder
 
 
@@ -35,6 +35,65 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
                         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op2_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate vectors of equal label."""
+    return embeddings.near_duplicates(_table(spark, folder, "embeddings"))
+
+
+# Names of sites to block, and of sites to keep, from which the small labelled table is made.
+BLOCKED_SITES = """
+casino-royal lucky-casino free-casino online-casino casino-win casino-bonus online-bets best-bets sports-bets win-big poker-win
+slots-win cheap-meds pills-online buy-pills discount-pills cheap-watches cheap-loans cheap-flights-now adult-cams adult-video
+adult-x xxx-adult hot-x x-girls adult-dating ads-server click-track track-ads popup-ads ad-track banner-ads spam-links spam-farm
+link-farm seo-spam content-farm spam-blog free-money free-prizes free-downloads warez-free payday-loans miracle-pills
+""".split()
+KEPT_SITES = """
+library thenews theherald weather theater nation station education history thereader mathematics thornton gardening thinking
+northern thunder anthology within reading information thread thistle wherever shore others thought tradition together southern
+stable whether entertainment ending ether thetis erosion handbook landscape thatched shanty standing thousand southland ashore
+thenature thespian motion fashion mission cushion than lathe bathe tether thandie hands ofthewest wonderland thundershower
+fatherland heathland newspaper thehistory sheather tithe tinder ration donations ottoman healthy
+""".split()
+
+
+def _labelled(spark: SparkSession) -> DataFrame:
+    """The labelled urls: every name below subdomains, endings and paths that say nothing."""
+    values = ", ".join(f"('{'https' if k % 2 else 'http'}://{('', 'www.', 'm.', 'blog.')[k % 4]}{name}.example."
+                       f"{('com', 'net', 'org')[k % 3]}/{('en', 'de', 'en', 'fr', 'es')[k % 5]}/{k * 617 % 5000}', {label})"
+                       for names, label in ((BLOCKED_SITES, "true"), (KEPT_SITES, "false")) for k, name in enumerate(names))
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t(url, block)")
+
+
+def op3_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's url, by rules and else by a model of character n-grams."""
+    model = urlfilter.trained(_labelled(spark))
+    return urlfilter.judged(_table(spark, folder, "pages"), model, allow=["org/", "com/fr/"],
+                            block=["example.org/es/", "example.org/en/1", "com/de/"])
+
+
+def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Token counts of every document; the cache starts empty, so that every distinct text is encoded."""
+    return tokencounts.counted(_table(spark, folder, "documents"), new_folder(spark, "token-cache"),
+                               public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op8_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations formatted, and read back from what was formatted."""
+    table = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                F.lit("</s>[INST] ok [/INST]").alias("text"))
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
+    messages = table.unionByName(own).select("conv_id", place.alias("msg_id"), "role", "text")  # each turn answers the one before
+    messages = messages.withColumn("parent_id", F.when(F.col("msg_id") > 1, F.col("msg_id") - 1))
+    found = chat.formatted(messages).select("conv_id", "formatted", chat.turns_of(F.col("formatted")).alias("turns"), F.array_join(
+        chat.loss_texts(F.col("formatted"), F.col("loss_spans")), "").alias("loss"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return found.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+                        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+                        F.length("formatted").cast("long").alias("formatted_chars"))
+
+
 def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document, written to bit-packed files and read back."""
     out = new_folder(spark, "token-files")
@@ -48,5 +107,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op4_simhash, op5_toxicity, op9_token_files, op10_packing)}
+QUERIES = {f.__name__: f for f in (
+    op1_decontamination, op2_embedding_dedup, op3_url_filters, op4_simhash, op5_toxicity, op6_token_counts,
+    op8_chat_formatting, op9_token_files, op10_packing)}
 SQL: dict[str, str] = {}
