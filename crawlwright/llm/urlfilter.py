@@ -55,16 +55,21 @@ def matching_rule(host: Column, path: Column, rules: Sequence[str]) -> Column:
                       F.lit(None).cast("string"))
 
 
+def _bound(value: Column, start: Column, use) -> Column:
+    """``use(x)`` with ``x`` the value of an expression that is evaluated once."""
+    return F.aggregate(F.array(value), start, lambda _, x: use(x))
+
+
 def cells(host: Column, path: Column) -> Column:
     """The distinct cells of the n-grams of host and path, each with a mark at its ends."""
-    found = []
-    for k, part in enumerate((host, path)):
-        signs = F.split(F.concat(F.lit("\x02"), part, F.lit("\x03")), "")
-        for n in GRAMS:
-            last = F.size(signs) - n
-            grams = F.transform(F.sequence(F.lit(0), last), lambda i: F.pmod(
-                F.xxhash64(F.lit(k), *[signs[i + j] for j in range(n)]), F.lit(CELLS)).cast("int"))
-            found.append(F.when(last >= 0, grams).otherwise(F.array().cast("array<int>")))
+    def hashed(k: int, n: int, signs: Column) -> Column:
+        last = F.size(signs) - n
+        grams = F.transform(F.sequence(F.lit(0), last), lambda i: F.pmod(
+            F.xxhash64(F.lit(k), *[signs[i + j] for j in range(n)]), F.lit(CELLS)).cast("int"))
+        return F.when(last >= 0, grams).otherwise(F.array().cast("array<int>"))
+    found = [_bound(F.split(F.concat(F.lit("\x02"), part, F.lit("\x03")), ""), F.array().cast("array<int>"),
+                    lambda signs, k=k: F.concat(*[hashed(k, n, signs) for n in GRAMS]))
+             for k, part in enumerate((host, path))]
     return F.array_distinct(F.concat(*found))
 
 
@@ -82,11 +87,6 @@ class Model:
         return 1 / (1 + F.exp(-(F.lit(self.intercept) + total / F.sqrt(F.greatest(F.size(cells), F.lit(1))))))
 
 
-def _bound(value: Column, start: Column, use) -> Column:
-    """``use(x)`` with ``x`` the value of an expression that is evaluated once."""
-    return F.aggregate(F.array(value), start, lambda _, x: use(x))
-
-
 def trained(labelled: DataFrame, url_col: str = "url", label_col: str = "block", max_labelled: int = MAX_LABELLED) -> Model:
     """The model from urls with a label, true for those to block."""
     rows = (labelled.select(F.col(url_col).cast("string").alias("url"), F.col(label_col).cast("boolean").alias("label")).dropna()
