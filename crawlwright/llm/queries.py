@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, embeddings, packing, simhash, tokencounts, tokenfiles, toxicity, urlfilter
+from . import chat, decontamination, embeddings, lmscore, packing, simhash, tokencounts, tokenfiles, toxicity, urlfilter
 from .storage import new_folder
 
 
@@ -77,6 +77,11 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
                                public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_stupid_backoff(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's score by the words and word pairs of all other documents."""
+    return lmscore.scored(_table(spark, folder, "documents"))
+
+
 def op8_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     """All conversations formatted, and read back from what was formatted."""
     table = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
@@ -109,5 +114,5 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_embedding_dedup, op3_url_filters, op4_simhash, op5_toxicity, op6_token_counts,
-    op8_chat_formatting, op9_token_files, op10_packing)}
+    op7_stupid_backoff, op8_chat_formatting, op9_token_files, op10_packing)}
 SQL: dict[str, str] = {}
