@@ -10,7 +10,6 @@ from pyspark.sql.window import Window
 
 from ..functions import progress as P
 from . import ordered as O
-from .joins import broadcast_if_small
 
 # Alert and health limits.
 COOLDOWN_SECONDS = 300
@@ -20,9 +19,12 @@ HOUR_MICROS = 3_600_000_000
 
 
 def classify(samples: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Join the thresholds of each metric and set the severity (0.0 when missing)."""
+    """The severity of the samples of metrics with thresholds; other metrics are not watched.
+
+    :func:`joins.with_thresholds` keeps every metric.
+    """
     t = thresholds.select(F.col("name"), "warning", "critical", "consecutive_failures")
-    rows = samples.join(broadcast_if_small(t), "name")
+    rows = samples.join(t, "name")
     severity = (F.when(F.col("value") >= F.col("critical"), "critical")
                 .when(F.col("value") >= F.col("warning"), "warning").otherwise("normal"))
     return rows.withColumn("severity", severity)
@@ -79,7 +81,7 @@ def first_matching_rule(events: DataFrame, rules: DataFrame, event_id: str = "ev
     """
     packed = rules.filter("enabled").groupBy(F.col("metric_name").alias("name")).agg(
         F.array_sort(F.collect_list(F.struct("pos", "rule_id", "condition", "threshold", "action"))).alias("_rules"))
-    joined = events.join(broadcast_if_small(packed), "name", "left")
+    joined = events.join(packed, "name", "left")
     hit = F.get(F.filter("_rules", lambda r: P.holds(F.col("value"), r["condition"], r["threshold"])), 0)
     return (joined.withColumn("_hit", hit)
             .withColumn("rule_id", F.col("_hit.rule_id"))
@@ -184,7 +186,7 @@ def hourly_limit(events: DataFrame, keys: list[str], limit: int = ROLLBACKS_PER_
 def limit_alerts(samples: DataFrame, limits: DataFrame, order: list[str] = ("ts", "seq")) -> DataFrame:
     """the latest usage per resource against its soft and hard limit; above the hard one gives two rows."""
     latest = samples.groupBy("name").agg(F.max_by(F.struct("value", "ts"), F.struct(*order)).alias("_last"))
-    rows = latest.select("name", "_last.*").join(broadcast_if_small(limits.filter("enabled")), "name")
+    rows = latest.select("name", "_last.*").join(limits.filter("enabled"), "name")
     def over(kind, col):
         return F.when(F.col("value") > F.col(col), F.struct(
             F.lit(kind).alias("alert_type"), F.col(col).alias("threshold_value")))
@@ -194,7 +196,7 @@ def limit_alerts(samples: DataFrame, limits: DataFrame, order: list[str] = ("ts"
 
 def bound_alerts(samples: DataFrame, bounds: DataFrame) -> DataFrame:
     """max bounds fire above, min bounds fire below. ``bounds(name, kind, threshold)``."""
-    rows = samples.join(broadcast_if_small(bounds), "name")
+    rows = samples.join(bounds, "name")
     hit = ((F.col("kind") == "max") & (F.col("value") > F.col("threshold"))) | (
         (F.col("kind") == "min") & (F.col("value") < F.col("threshold")))
     return rows.filter(hit)
@@ -203,7 +205,7 @@ def bound_alerts(samples: DataFrame, bounds: DataFrame) -> DataFrame:
 def capacity_check(requests: DataFrame, limits: DataFrame) -> DataFrame:
     """does the required amount fit, and the headroom; unlimited without an enabled limit."""
     lim = limits.select("name", "max_value", F.col("enabled").alias("_enabled"))
-    rows = requests.join(broadcast_if_small(lim), "name", "left")
+    rows = requests.join(lim, "name", "left")
     current = F.coalesce(F.col("current"), F.lit(0.0))
     active = F.coalesce(F.col("_enabled"), F.lit(False))
     return (rows.withColumn("available", ~active | (current + F.col("required") <= F.col("max_value")))

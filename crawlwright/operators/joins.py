@@ -10,8 +10,6 @@ from ..functions import images as I
 from ..functions import urls as U
 from .dedupe import keep_last
 
-BROADCAST_ROWS = 100_000
-
 # Similarity above which two task urls are the same task, and status limits.
 SIMILAR = 0.9
 REACHABLE_BELOW = 400
@@ -23,11 +21,6 @@ _SALTS = 16
 _EDIT_STEPS = (1, 2, 4, 8, 16, 32, 64, 256)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only after counting; beyond the bound the join stays a shuffle join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 # ---------------------------------------------------------- existing files
 
 def without_existing_files(images: DataFrame, files: DataFrame) -> DataFrame:
@@ -171,7 +164,7 @@ def with_url_status(urls: DataFrame, status: DataFrame, url: str = "url") -> Dat
 def with_thresholds(samples: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Warning and critical limits of each metric, 0.0 when there are none."""
     t = thresholds.select("name", F.col("warning"), F.col("critical"))
-    rows = samples.join(broadcast_if_small(t), "name", "left")
+    rows = samples.join(t, "name", "left")
     return rows.withColumn("warning", F.coalesce("warning", F.lit(0.0))).withColumn(
         "critical", F.coalesce("critical", F.lit(0.0)))
 

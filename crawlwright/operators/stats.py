@@ -53,7 +53,7 @@ def zero_filled(counts: DataFrame, column: str, values: list[str], count: str =
     """One row for every listed value; those without rows get 0."""
     spark = counts.sparkSession
     listed = spark.range(len(values)).select(F.element_at(F.array(*map(F.lit, values)), (F.col("id") + 1).cast("int")).alias(column))
-    return F.broadcast(listed).join(counts, column, "left").withColumn(count, F.coalesce(count, F.lit(0)))
+    return listed.join(counts, column, "left").withColumn(count, F.coalesce(count, F.lit(0)))
 
 
 # ------------------------------------------------------------------ retention
@@ -61,17 +61,19 @@ def zero_filled(counts: DataFrame, column: str, values: list[str], count: str =
 def last_rows(df: DataFrame, keys: list[str], order: list[str], n: int, value: Column | None = None) -> DataFrame:
     """The last n rows per key; n <= 0 keeps all.
 
-    A first cut runs inside every input task (window over key and partition),
-    so at most n rows per key and task reach the final ranking.
+    Spark cuts a ranking with a limit inside every input task first, so at
+    most n rows per key and task are shuffled.
     """
     if n <= 0:
         return df
     desc = [F.col(c).desc() for c in order]
-    local = df.withColumn("_part", F.spark_partition_id())
-    near = Window.partitionBy(*keys, "_part").orderBy(*desc)
-    cut = local.withColumn("_near", F.row_number().over(near)).filter(F.col("_near") <= n).drop("_near", "_part")
-    final = Window.partitionBy(*keys).orderBy(*desc)
-    return cut.withColumn("_rank", F.row_number().over(final)).filter(F.col("_rank") <= n).drop("_rank")
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*desc))
+    return df.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
+
+
+def newest_rows(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The last n rows of all; n <= 0 keeps all."""
+    return df.orderBy(*[F.col(c).desc() for c in order]).limit(n) if n > 0 else df
 
 
 def in_period(df: DataFrame, now, minutes: float, ts: str = "ts", strict: bool = False) -> DataFrame:
@@ -438,7 +440,7 @@ def parser_statistics(runs: DataFrame, n: int = 100, order: list[str] = ("ts", "
     """Requests, successes and their rate, and times over the last n runs."""
     totals = runs.agg(F.count("*").alias("requests"), F.count_if("success").alias("successes"),
                       F.count_if(~F.col("success")).alias("errors"))
-    recent = last_rows(runs.withColumn("_all", F.lit(0)), ["_all"], list(order), n).agg(
+    recent = newest_rows(runs, list(order), n).agg(
         F.avg("seconds").alias("average_time"), F.min("seconds").alias("min_time"), F.max("seconds").alias("max_time"))
     return totals.join(F.broadcast(recent)).withColumn(
         "success_rate", F.coalesce(F.try_divide("successes", "requests"), F.lit(0.0)))

@@ -220,12 +220,20 @@ def _limits(t: Tables) -> DataFrame:
         F.round(F.avg("value"), 2).alias("warning"), F.round(F.avg("value") * 2, 2).alias("critical"), F.lit(2).alias("consecutive_failures"))
 
 
-@query("W10 J6 F35", f"""
+@query("W10 F35", f"""
 WITH {_RUNS_SQL} SELECT name, seq, severity, run, severity <> 'normal' AND run >= need AS fires FROM runs""")
 def alert_runs(t: Tables):
     return alerts.breach_runs(D.samples(t), _limits(t)).select("name", "seq", "severity", "run", "fires")
 
 
+@query("J6", f"""
+WITH {D.SAMPLES_SQL}, {_LIMITS_SQL}
+SELECT name, seq, coalesce(warning, 0.0) AS warning, coalesce(critical, 0.0) AS critical FROM samples LEFT JOIN (SELECT * FROM limits WHERE name <> 'view') USING (name)""")
+def sample_thresholds(t: Tables):
+    """Limits of every sample's metric; one metric has none."""
+    return joins.with_thresholds(D.samples(t), _limits(t).filter("name <> 'view'")).select("name", "seq", "warning", "critical")
+
+
 @query("W10 W11 J5 F30", f"""
 WITH RECURSIVE {_RUNS_SQL},
 f AS (SELECT *, epoch_us(ts) AS us, row_number() OVER (PARTITION BY name, island ORDER BY seq) AS k FROM runs WHERE severity <> 'normal' AND run >= need),
@@ -300,7 +308,7 @@ health AS (SELECT ts, max(r) AS r, count(*) FILTER (r >= 2) AS alerts FROM st GR
 
 def _health(t: Tables) -> DataFrame:
     lim = _limits(t).withColumn("critical", F.when(F.col("name") != "view", F.col("critical")))
-    rows = D.samples(t).join(joins.broadcast_if_small(lim), "name")
+    rows = D.samples(t).join(lim, "name")
     return stats.health_rollup(rows.select(F.date_trunc("hour", "ts").alias("ts"), P.threshold_status("value", "warning", "critical").alias("status")))
 
 

@@ -301,7 +301,7 @@ def text_risk(t: Tables):
 WITH x AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN concat('http://192.168.', CAST(p_size AS VARCHAR), '.7/a.jpg') WHEN 1 THEN concat('ftp://f', CAST(p_size AS VARCHAR), '.example.com/a.png')
   WHEN 2 THEN concat('http://localhost/', p_name) WHEN 3 THEN concat('https://8.8.', CAST(p_size AS VARCHAR), '.8/a.svg') WHEN 4 THEN concat('http://ok.example.com/', CAST(p_partkey AS VARCHAR), '.webp')
   ELSE concat('http://ok.example.com/../', CAST(p_partkey AS VARCHAR)) END AS url, p_partkey % 6 AS m FROM part)
-SELECT p_partkey, m IN (3, 4) AS valid_url, CASE m WHEN 0 THEN 'URL格式无效' ELSE '' END = 'x' AS never,
+SELECT p_partkey, m IN (3, 4) AS valid_url,
   CASE m WHEN 0 THEN '域名不是可访问的公共域名' WHEN 1 THEN 'URL必须以http://或https://开头 | URL包含可疑模式' WHEN 2 THEN '域名不是可访问的公共域名'
     WHEN 5 THEN 'URL包含可疑模式' ELSE '' END AS errors, m = 4 AS paranoid, m IN (3, 4) AS valid_image FROM x""")
 def url_validation(t: Tables):
@@ -313,7 +313,7 @@ def url_validation(t: Tables):
     x = x.select("p_partkey", V.validate("url", "url").alias("u"), V.validate("url", "url", "paranoid").alias("p"), V.validate("url", "image_url").alias("i"))
     return x.select("p_partkey", "u.valid", F.array_join("u.errors", " | ").alias("errors"), F.col("p.valid").alias("paranoid"),
                     F.col("i.valid").alias("valid_image")).select(
-        "p_partkey", F.col("valid").alias("valid_url"), F.lit(False).alias("never"), "errors", "paranoid", "valid_image")
+        "p_partkey", F.col("valid").alias("valid_url"), "errors", "paranoid", "valid_image")
 
 
 @query("F25 F26 F29", f"""
@@ -375,10 +375,12 @@ def blake_hashes(t: Tables):
     return t.texts.select("doc_id", C.hash_text("text", "blake2b", "pepper").alias("digest"), C.hash_text("text", "sha512").alias("sha512"))
 
 
-@query("U37", "SELECT doc_id, text AS decrypted FROM documents")
+@query("U37", "SELECT doc_id, text AS decrypted, true AS sealed, true AS wrong_password_fails FROM documents")
 def encryption_round_trip(t: Tables):
-    sealed = t.documents.select("doc_id", C.encrypt_text("text", "secret", b"salt").alias("sealed"))
-    return sealed.select("doc_id", C.decrypt_text("sealed", "secret", b"salt").alias("decrypted"))
+    sealed = t.documents.select("doc_id", "text", C.encrypt_text("text", "secret", b"salt").alias("token"))
+    return sealed.select("doc_id", C.decrypt_text("token", "secret", b"salt").alias("decrypted"),
+                         (~F.contains("token", "text") & (F.length("token") > F.length("text"))).alias("sealed"),
+                         C.decrypt_text("token", "Secret", b"salt").isNull().alias("wrong_password_fails"))
 
 
 # ----------------------------------------------------------------------- hosts

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions import urls as U
 from ..operators import ordered as O
-from ..operators.stats import last_rows
+from ..operators.stats import newest_rows
 
 # Report texts.
 NO_RATE = "N/A"
@@ -137,7 +137,7 @@ def append_events(events: DataFrame, path: str) -> None:
 
 def kept_events(log: DataFrame, n: int = KEPT_EVENTS) -> DataFrame:
     """K6: the newest n events."""
-    return last_rows(log.withColumn("_all", F.lit(0)), ["_all"], ["ts", "event_id"], n).drop("_all")
+    return newest_rows(log, ["ts", "event_id"], n)
 
 
 def task_log(tasks: DataFrame, images: DataFrame) -> DataFrame:

@@ -16,16 +16,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import alerts as A
-from ..operators.joins import broadcast_if_small
 
 LATENESS = "10 minutes"
 
 
 def stateful(stream: DataFrame, keys: list[str], order: list[str], step: A.O.Step, init: dict, state_schema: str,
-             outputs: str, lateness: str = LATENESS, idle_seconds: float | None = None) -> DataFrame:
+             outputs: str, lateness: str = LATENESS, idle_seconds: float | None = None,
+             final: Callable[[dict], bool] | None = None) -> DataFrame:
     """Fold a stream per key; with ``idle_seconds``, the state of a key that idle is dropped.
 
-    A drop is exact only where an idle key is back in its initial state.
+    A drop is exact only where an idle key is back in its initial state. State
+    that is ``final`` is dropped at once: nothing may follow it.
     """
     base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)
     names = [*stream.columns, *[p.split()[0] for p in outputs.split(",")]]
@@ -38,6 +39,10 @@ def stateful(stream: DataFrame, keys: list[str], order: list[str], step: A.O.Ste
         rows = pd.concat(list(batches)).sort_values(order, kind="stable").reset_index(drop=True)
         old = dict(zip(fields, state.get)) if state.exists else dict(init)
         out, new = step(rows, old)
+        if final is not None and final(new):
+            state.remove()
+            yield out[names]
+            return
         state.update(tuple(new[f] for f in fields))
         if idle_seconds is not None:
             last = int(rows["ts"].max().timestamp() * 1000 + idle_seconds * 1000)
@@ -89,8 +94,19 @@ def windowed_statistics(samples: DataFrame, width: str = "10 minutes", slide: st
 
 
 def latest_health(statuses: DataFrame) -> DataFrame:
-    """Newest status per metric, for update or complete mode."""
-    return statuses.groupBy("name").agg(F.max("ts").alias("ts"), F.max_by("status", "ts").alias("status"))
+    """Newest status per metric, for update or complete mode; of equal times the later ``seq`` is newer."""
+    newest = F.max_by(F.struct("ts", "status"), F.struct("ts", "seq"))
+    return statuses.groupBy("name").agg(newest.alias("_newest")).select("name", "_newest.ts", "_newest.status")
+
+
+# Statuses from the best to the worst, as the overall state counts them.
+STATUS_ORDER = ("unknown", "healthy", "warning", "critical")
+
+
+def overall_health(latest: DataFrame) -> DataFrame:
+    """The worst of the newest statuses; a status that is not listed counts as unknown."""
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, STATUS_ORDER)), F.col("status")), F.lit(0)), F.lit(1))
+    return latest.agg(F.element_at(F.array(*map(F.lit, STATUS_ORDER)), F.coalesce(F.max(rank), F.lit(1)).cast("int")).alias("status"))
 
 
 def rate_limit_stream(requests: DataFrame, keys: list[str], rate: float = 10.0, capacity: float = 20.0,
@@ -129,9 +145,29 @@ def progress_stream(progress: DataFrame, order: list[str] = ("ts", "seq"), laten
                     "ts bigint, bytes bigint, status string", "speed double, old_status string", lateness)
 
 
-def status_counts_stream(progress: DataFrame, task: str = "task_id") -> DataFrame:
-    """Progress rows per task and status, for update mode."""
-    return progress.groupBy(task, "status").agg(F.count("*").alias("n"))
+# Statuses after which an image does not change.
+FINAL_STATUSES = ("completed", "failed", "cancelled")
+
+
+def status_changes_stream(progress: DataFrame, task: str = "task_id", order: list[str] = ("ts", "seq"),
+                          lateness: str = LATENESS) -> DataFrame:
+    """+1 for the status an image enters and -1 for the one it leaves, in append mode.
+
+    The sum of ``delta`` per task and status is the live count of images. An
+    image's state is its last status, and goes when that is final.
+    """
+    rows = stateful(progress, [task, "url"], list(order), progress_step(), {"ts": None, "bytes": 0, "status": None},
+                    "ts bigint, bytes bigint, status string", "speed double, old_status string", lateness,
+                    final=lambda state: state["status"] in FINAL_STATUSES)
+    moves = F.array(F.struct(F.col("status").alias("status"), F.lit(1).alias("delta")),
+                    F.struct(F.col("old_status").alias("status"), F.lit(-1).alias("delta")))
+    changed = rows.filter(~F.col("status").eqNullSafe(F.col("old_status")))
+    return changed.select(task, "ts", F.inline(moves)).filter(F.col("status").isNotNull())
+
+
+def status_counts(changes: DataFrame, task: str = "task_id") -> DataFrame:
+    """Images per task and status, from the rows of :func:`status_changes_stream`."""
+    return changes.groupBy(task, "status").agg(F.sum("delta").alias("n")).filter(F.col("n") > 0)
 
 
 def error_stream(reports: DataFrame, width: str = "1 hour", lateness: str = LATENESS) -> DataFrame:
@@ -157,4 +193,4 @@ def callbacks(*functions: Callable[[DataFrame, int], None], log: Callable[[str],
 
 def limited(stream: DataFrame, limits: DataFrame, key: str = "name") -> DataFrame:
     """Stream-static join with a small limit table."""
-    return stream.join(broadcast_if_small(limits), key, "left")
+    return stream.join(limits, key, "left")

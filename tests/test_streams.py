@@ -70,11 +70,43 @@ def test_windows_and_counts(spark, source, tmp_path):
     as_report = lambda df: df.select("ts", F.col("name").alias("level"), F.col("host").alias("exception_type"))
     got = drain(spark, folder, tmp_path, lambda s: R.error_stream(as_report(s)), 4, "complete", "err")
     assert sum(r["n"] for r in got) == 120
-    health = lambda df: df.select("name", "ts", F.col("state").alias("status"))
+    health = lambda df: df.select("name", "ts", "seq", F.col("state").alias("status"))
     got = drain(spark, folder, tmp_path, lambda s: R.latest_health(health(s)), 4, "complete", "health")
     assert sorted(map(tuple, got)) == sorted(map(tuple, R.latest_health(health(batch)).collect()))
 
 
+def test_overall_health(spark):
+    rows = [("a", START, 1, "critical"), ("a", START, 2, "warning"), ("b", START, 1, "healthy"), ("c", START, 1, "odd")]
+    latest = R.latest_health(spark.createDataFrame(rows, "name string, ts timestamp, seq bigint, status string"))
+    assert {r["name"]: r["status"] for r in latest.collect()} == {"a": "warning", "b": "healthy", "c": "odd"}
+    assert R.overall_health(latest).first()["status"] == "warning"
+    assert R.overall_health(latest.limit(0)).first()["status"] == "unknown"
+
+
+def test_live_counts(spark, tmp_path):
+    """Images per task and current status; an image that moves on is counted once."""
+    schema = "task_id string, url string, ts timestamp, seq bigint, downloaded bigint, status string"
+    rng, rows = random.Random(4), []
+    for k in range(30):
+        steps = ["pending", "downloading", "downloading", rng.choice(["completed", "failed", "paused"])][:rng.randint(1, 4)]
+        rows += [(f"t{k % 3}", f"u{k}", START + dt.timedelta(seconds=10 * i + k), 0, i, s) for i, s in enumerate(steps)]
+    rows.sort(key=lambda r: r[2])
+    folder = str(tmp_path / "in")
+    for n in range(3):
+        spark.createDataFrame(rows[n * len(rows) // 3:(n + 1) * len(rows) // 3], schema).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    q = R.status_changes_stream(stream).writeStream.outputMode("append").format("memory").queryName("live").option(
+        "checkpointLocation", str(tmp_path / "live")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    want = {}
+    for task, url, *_, status in rows:
+        want[task, url] = status
+    counts = {}
+    for (task, _), status in want.items():
+        counts[task, status] = counts.get((task, status), 0) + 1
+    assert {(r["task_id"], r["status"]): r["n"] for r in R.status_counts(spark.table("live")).collect()} == counts
+
+
 def test_callbacks(spark, source, tmp_path):
     folder, _ = source
     seen, logged = [], []
