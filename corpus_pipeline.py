@@ -13,6 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from crawlwright.llm import decontamination, packing, simhash, toxicity
+from crawlwright.llm.storage import stored
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -41,8 +42,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, folder: str) -> DataFrame:
-    """All stages over the documents of a folder."""
+    """All stages over the documents of a folder; what a stage keeps is written once and read by the next."""
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, folder)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, folder), f"after-{name}")
+    return STAGES[-1][1](spark, docs, folder)
