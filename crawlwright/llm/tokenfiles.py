@@ -120,7 +120,7 @@ def read(spark: SparkSession, folder: str, id_col: str = "doc_id") -> DataFrame:
     segments = spark.read.parquet(folder)
     shards = segments.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     bases = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))
-    rows = segments.join(bases, "shard").select(
+    rows = segments.join(F.broadcast(bases), "shard").select(  # one row per task that wrote
         (F.col("base") + F.col("first")).alias("first"), "n_ids", "bits", "doc_ids", "doc_starts", "block_offsets", "payload")
     schema = T.StructType([T.StructField(id_col, segments.schema["doc_ids"].dataType.elementType),
                            T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()),
