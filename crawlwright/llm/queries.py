@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, embeddings, lmscore, packing, simhash, tokencounts, tokenfiles, toxicity, urlfilter
+from . import chat, decontamination, embeddings, lmscore, packing, simhash, sql, tokencounts, tokenfiles, toxicity, urlfilter
 from .storage import new_folder
 
 
@@ -115,4 +115,4 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_embedding_dedup, op3_url_filters, op4_simhash, op5_toxicity, op6_token_counts,
     op7_stupid_backoff, op8_chat_formatting, op9_token_files, op10_packing)}
-SQL: dict[str, str] = {}
+SQL = {"op1_decontamination": sql.DECONTAMINATION, "op2_embedding_dedup": sql.EMBEDDINGS, "op8_chat_formatting": sql.CHAT}
