@@ -68,10 +68,10 @@ def paths(messages: DataFrame, top: int = 1) -> DataFrame:
     jumps, n = [], state.count()
     while (open_ := state.where(F.col("above").isNotNull())).limit(1).count() and 1 << len(jumps) <= 2 * n:
         jumps.append(open_)
-        s, t = state.alias("s"), state.alias("t")
-        state = stored(s.join(t, F.col("s.conv").eqNullSafe(F.col("t.conv")) & (F.col("s.above") == F.col("t.id")), "left").select(
-            "s.conv", "s.id", F.col("t.above").alias("above"), F.coalesce("t.root", "s.root").alias("root"),
-            (F.col("s.score") + F.coalesce("t.score", F.lit(0.0))).alias("score")), "replies")
+        s, t = open_.alias("s"), state.alias("t")
+        further = s.join(t, F.col("s.conv").eqNullSafe(F.col("t.conv")) & (F.col("s.above") == F.col("t.id"))).select(
+            "s.conv", "s.id", "t.above", "t.root", (F.col("s.score") + F.col("t.score")).alias("score"))
+        state = stored(state.where(F.col("above").isNull()).unionAll(further), "replies")  # what has its root rests
     replied = jumps[0].select("conv", F.col("above").alias("id")) if jumps else state.limit(0).select("conv", "id")
     rooted = state.where(F.col("above").isNull())
     leaves = rooted.alias("a").join(replied.alias("b"), F.col("a.conv").eqNullSafe(F.col("b.conv"))
