@@ -207,6 +207,20 @@ def galleries(t: Tables) -> DataFrame:
                          F.expr(_GALLERY).alias("html"))
 
 
+# one SQL text for both sides: a page of links of every kind that sub-page rules tell apart
+_ALBUM = """SELECT p_partkey AS page_id, concat('http://a', CAST(p_size AS STRING), '.example.com/xiuren/', CAST(p_partkey AS STRING), '.html') AS url,
+  concat('<html><body><!-- <a href="/xiuren/9.html">hidden</a> --><a href="/xiuren/', CAST(p_partkey AS STRING), '_', CAST(p_size AS STRING),
+    '.html">next</a><a href="/xiuren/about.html">about</a><a href="/Photos/', CAST(p_partkey AS STRING), '/">all</a><a href="/xgyw/set',
+    CAST(p_size AS STRING), '.html">set</a><a href="#top">top</a><a href="/list/page-', CAST(p_size AS STRING), '">list</a><a href="/', CAST(p_partkey AS STRING),
+    '/?x=1">one</a><a href="/xiuren/', CAST(p_partkey AS STRING), '_', CAST(p_size AS STRING), '.html">again</a></body></html>') AS html FROM """
+ALBUM_SQL = f"pages AS ({_ALBUM.replace('STRING', 'VARCHAR')} part)"
+
+
+def albums(t: Tables) -> DataFrame:
+    """Pages of links, one per part."""
+    return t.spark.sql(_ALBUM + "{part}", part=t.part)
+
+
 # the oracle never parses this markup: it states what is in it
 GALLERY_SQL = f"""g AS (SELECT p_partkey AS page_id, {_GALLERY_URL.replace('STRING', 'VARCHAR')} AS page_url,
     concat('http://g', CAST(p_size AS VARCHAR), '.example.com') AS site, CAST(p_partkey AS VARCHAR) AS k,

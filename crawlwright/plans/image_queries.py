@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import images as I
+from ..functions import links as L
 from ..functions import markup as M
 from ..functions import urls as U
 from ..operators import curation, dedupe, joins, scan, stats
@@ -99,7 +100,7 @@ r AS (SELECT *, list_filter([
 _RULES = {"max_width": 2500, "blocked_domains": ["h3.example"], "min_quality_score": 0.6}
 
 
-@query("F5 F6 F7 F8 F9 F10 F11 F12 F13 F20 U39 V4", f"""
+@query("F5 F6 F7 F8 F9 F10 F11 F12 F13 U39", f"""
 WITH {D.IMAGES_SQL}, {_SCORED}
 SELECT image_id, round(score, 6) AS score, array_to_string(reasons, ' | ') AS reasons, len(reasons) = 0 AS passed FROM r""")
 def image_filter_reasons(t: Tables):
@@ -214,6 +215,19 @@ def sensitive_files(t: Tables):
 
 # ------------------------------------------------------------- gallery pages
 
+@query("F19 F20", """
+SELECT p_partkey, p_size % 7 IN (1, 3) AS domain_allowed, p_size % 7 NOT IN (0, 2) AS domain_not_blocked, p_size % 4 < 2 AS known_format,
+  p_size * 20 BETWEEN 100 AND 10000 AND p_size * 400 BETWEEN 100 AND 10000 AS valid_size FROM part""")
+def domains_and_ranges(t: Tables):
+    rest = F.col("p_size") % 7
+    host = F.when(rest == 0, "").otherwise(F.concat(F.lit("g"), rest.cast("string"), F.lit(".example.com")))
+    name = F.element_at(F.array(F.lit(".JPG"), F.lit("webp"), F.lit("..txt"), F.lit(None).cast("string")), (F.col("p_size") % 4 + 1).cast("int"))
+    allowed, blocked = [f"g{k}.example.com" for k in (1, 2, 3)], ["g2.example.com"]
+    return t.part.select("p_partkey", L.is_domain_allowed(host, allowed, blocked).alias("domain_allowed"),
+                         L.is_domain_allowed(host, blocked=blocked).alias("domain_not_blocked"), I.is_supported_format(name).alias("known_format"),
+                         I.is_valid_dimensions(F.col("p_size") * 20, F.col("p_size") * 400).alias("valid_size"))
+
+
 @query("H5", f"""
 WITH {D.GALLERY_SQL},
 i AS (SELECT page_id, site, k, p_size, p_type, unnest([0, 1, 2, 3, 4]) AS pos FROM g)

@@ -24,7 +24,7 @@ def _links(t: Tables):
 
 # ----------------------------------------------------------------------- urls
 
-@query("U1 U2 U3 U4 U5 U6 U7 U8 U22 U25 U26 U27 U43", f"""
+@query("U1 U2 U3 U4 U5 U6 U7 U27", f"""
 SELECT page_id, {S.scheme(_URL)} <> '' AND {S.netloc(_URL)} <> '' AS absolute,
   regexp_matches(trim(url), '^(https?://|/)') AS prefixed,
   regexp_matches(lower({S.path(_URL)}), '\\.(jpg|jpeg|png|webp|gif|html|htm|php|asp|aspx)$')
@@ -33,18 +33,41 @@ SELECT page_id, {S.scheme(_URL)} <> '' AND {S.netloc(_URL)} <> '' AS absolute,
   concat({S.site(_URL)}, {S.path(_URL)}, CASE WHEN {S.query(_URL)} <> '' THEN concat('?', {S.query(_URL)}) ELSE '' END) AS without_fragment,
   {S.keep_key_params(_URL)} AS with_key_params,
   lower(regexp_replace(concat({S.site(_URL)}, {S.path(_URL)}), '/$', '')) AS folded,
-  url AS preprocessed, url AS reencoded, url AS cleaned,
-  {S.html_path(S.path(_URL))} AS html_page, true AS same_domain, true AS current_page
+  {S.html_path(S.path(_URL))} AS html_page
 FROM pages""")
 def url_profile(t: Tables):
     return t.pages.select(
         "page_id", U.is_absolute("url").alias("absolute"), U.has_url_prefix("url").alias("prefixed"),
         U.is_crawlable("url").alias("crawlable"), U.netloc("url").alias("domain"),
         U.drop_fragment("url").alias("without_fragment"), U.keep_key_params("url").alias("with_key_params"),
-        U.fold_url("url").alias("folded"), U.preprocess("url").alias("preprocessed"), U.reencode("url").alias("reencoded"),
-        U.clean_url("url").alias("cleaned"), U.is_html_page("url").alias("html_page"),
-        U.same_domain("url", F.lower("url"), True).alias("same_domain"),
-        U.is_current_page("url", F.concat("url", F.lit("#x"))).alias("current_page"))
+        U.fold_url("url").alias("folded"), U.is_html_page("url").alias("html_page"))
+
+
+# what each odd form of a supplier's address must become
+@query("U8 U22 U25 U26 U28 U43", """
+WITH s AS (SELECT s_suppkey, concat('h', s_suppkey, '.example.com') AS h, CAST(s_suppkey AS VARCHAR) AS k FROM supplier)
+SELECT s_suppkey, concat('https://', h, '/a') AS cleaned, concat(h, '/p') AS cleaned_bare,
+  concat('http://', h, '/p?x=', k, '&y=2') AS preprocessed, concat('http://', h, '/p') AS preprocessed_bare,
+  concat('http://', h, '/%C3%BC/', k, '?q=a+b#f') AS reencoded, true AS same_host, false AS same_host_exact, false AS other_host,
+  s_suppkey % 2 = 0 AS current_page, s_suppkey % 3 <> 0 AS numbered_page FROM s""")
+def odd_urls(t: Tables):
+    k = F.col("s_suppkey").cast("string")
+    h = F.concat(F.lit("h"), k, F.lit(".example.com"))
+    rows = t.supplier.select(
+        "s_suppkey", F.concat(F.lit("  //"), h, F.lit("/a \n")).alias("spaced"), F.concat(h, F.lit("/p")).alias("bare"),
+        F.concat(F.lit("http://"), h, F.lit("/p?x=1&y=2&x="), k).alias("repeated"),
+        F.concat(F.lit("http://"), h, F.lit("/ü/"), k, F.lit("?q=a b#f")).alias("accented"),
+        F.concat(F.lit("http://"), F.upper(h), F.lit("/q")).alias("loud"), F.concat(F.lit("http://x"), h, F.lit("/p")).alias("other"),
+        F.concat(F.lit("http://"), h, F.when(F.col("s_suppkey") % 2 == 0, "/p#top").otherwise("/p2")).alias("near"),
+        F.concat(F.lit("http://"), h, F.lit("/g/a"), F.when(F.col("s_suppkey") % 3 == 0, "x").when(F.col("s_suppkey") % 3 == 1, "_").otherwise(""),
+                 k, F.lit(".html")).alias("page"), F.concat(F.lit("http://"), h, F.lit("/g/a.html")).alias("first_page"))
+    return rows.select(
+        "s_suppkey", U.clean_url("spaced").alias("cleaned"), U.clean_url("bare").alias("cleaned_bare"),
+        U.preprocess("repeated").alias("preprocessed"), U.preprocess("bare").alias("preprocessed_bare"),
+        U.reencode("accented").alias("reencoded"), U.same_domain("repeated", "loud", True).alias("same_host"),
+        U.same_domain("repeated", "loud").alias("same_host_exact"), U.same_domain("repeated", "other", True).alias("other_host"),
+        U.is_current_page("near", F.concat(F.lit("http://"), "bare")).alias("current_page"),
+        U.is_numbered_page("page", "first_page").alias("numbered_page"))
 
 
 @query("U4 A30", f"""
@@ -165,22 +188,22 @@ _CONTENT = (r"(regexp_matches(lower(p), '/\w+[0-9]+\.html$|/\w+[0-9]+_[0-9]+\.ht
             + _SECTIONS + r"') OR regexp_matches(p, '/_?[0-9]+(\.[^./]*)?$'))")
 
 
-@query("H16 F14 F15 F16 U28", f"""
-WITH {S.ANCHORS}
+@query("H16 F14 F15 F16", f"""
+WITH {D.ALBUM_SQL}, {S.ANCHORS}
 SELECT page_id, link AS url, min(pos) AS pos FROM (SELECT *, {S.path('link')} AS p FROM anchors)
 WHERE starts_with(href, '/') AND {_CONTENT} AND regexp_matches(lower(p), '{_SECTIONS}') AND regexp_matches(p, '[0-9]')
 GROUP BY ALL""")
 def relative_subpages(t: Tables):
-    return X.relative_links(t.html_pages).select("page_id", "url", F.col("pos").cast("bigint").alias("pos"))
+    return X.relative_links(D.albums(t)).select("page_id", "url", F.col("pos").cast("bigint").alias("pos"))
 
 
 @query("H18 U7 F18", f"""
-WITH {S.ANCHORS},
+WITH {D.ALBUM_SQL}, {S.ANCHORS},
 f AS (SELECT DISTINCT page_id, page_url, lower(regexp_replace(concat({S.site('link')}, {S.path('link')}), '/$', '')) AS url FROM anchors)
 SELECT page_id, url FROM f WHERE regexp_matches(url, '^https?://') AND {S.netloc('url')} = {S.netloc('page_url')}
   AND regexp_matches(url, '/[0-9]+\\.html$|page-[0-9]+|/[0-9]+/?')""")
 def simple_subpages(t: Tables):
-    return X.simple_subpages(t.html_pages).select("page_id", "url")
+    return X.simple_subpages(D.albums(t)).select("page_id", "url")
 
 
 @query("H21", """
