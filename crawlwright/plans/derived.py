@@ -7,9 +7,12 @@ gallery tables the operators need are projections of ``part``, ``orders``,
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordered import shared_folder
 from .registry import Tables
 
 # ------------------------------------------------------------------- images
@@ -175,6 +178,15 @@ def progress(t: Tables) -> DataFrame:
     return t.events.selectExpr(*_split(_PROGRESS_COLUMNS))
 
 
+# ------------------------------------------------------------- written sources
+
+def written(df: DataFrame, kind: str) -> str:
+    """A fresh path below the shared folder with ``df`` in the given format, for readers to read."""
+    path = f"{shared_folder(df.sparkSession)}/source-{uuid.uuid4().hex}"
+    df.write.format(kind).save(path)
+    return path
+
+
 # ---------------------------------------------------------------- galleries
 
 _GALLERY = """concat(

@@ -203,7 +203,7 @@ def files_by_type(t: Tables):
     return stats.files_by_type(D.files(t)).groupBy("ext").agg(F.count("*").alias("n"), F.min("filename").alias("first_file"))
 
 
-@query("F38 J7 S2", f"""
+@query("F38 J7", f"""
 WITH {D.FILES_SQL}, x AS (SELECT concat(dir, '/', filename) AS path FROM files)
 SELECT path, 'sensitive_file' AS kind, 'medium' AS level, concat('sensitive_file_', left(md5(path), 8)) AS issue_id FROM x
   WHERE regexp_matches(path, '\\.(pem|key|p12|pfx|env|secret)$')

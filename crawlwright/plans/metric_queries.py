@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import progress as P
 from ..operators import alerts, joins, stats
-from ..sources import writers
+from ..sources import readers, writers
 from . import derived as D
 from .registry import Tables, query
 
@@ -31,7 +31,7 @@ def _stats_sql(source: str, keys: str) -> str:
 FROM {source} GROUP BY ALL"""
 
 
-@query("A11 S7", f"WITH {D.SAMPLES_SQL} {_stats_sql('samples', 'name')}")
+@query("A11", f"WITH {D.SAMPLES_SQL} {_stats_sql('samples', 'name')}")
 def metric_statistics(t: Tables):
     return _rounded(stats.metric_statistics(D.samples(t)), "mean", "median", "stdev", "p50")
 
@@ -148,7 +148,7 @@ def top_error_types(t: Tables):
     return stats.top_error_types(D.reports(t), NOW, 72)
 
 
-@query("A9 R7", f"""
+@query("A9", f"""
 WITH {D.REPORTS_SQL} SELECT epoch_us(date_trunc('hour', ts)) AS start, level, count(*) AS n FROM reports GROUP BY ALL""")
 def error_trend(t: Tables):
     return stats.error_trend(D.reports(t)).withColumn("start", F.unix_micros("start"))
@@ -189,7 +189,30 @@ def report_rows(t: Tables):
 
 
 # log lines: the events of a user are the lines of that user's log
-@query("S3 T9 A24 F33", """
+@query("S6", f"""
+WITH {D.REPORTS_SQL} SELECT concat('r', seq) AS report_id, epoch_us(ts) // 1000 AS at, level, exception_type, message, seq FROM reports""")
+def report_source(t: Tables):
+    """Error reports written as JSON lines and read back."""
+    rows = D.reports(t).select(F.concat(F.lit("r"), "seq").alias("report_id"), "ts", "level", "exception_type", "message", "seq")
+    found = readers.reports(t.spark, D.written(rows, "json"))
+    return found.select("report_id", F.unix_millis("ts").alias("at"), "level", "exception_type", "message", "seq")
+
+
+@query("S7", f"WITH {D.SAMPLES_SQL} SELECT name, value, epoch_us(ts) AS at, seq FROM samples")
+def sample_source(t: Tables):
+    """Metric samples written as a table and read back; columns that the writer lacks are null."""
+    found = readers.samples(t.spark, D.written(D.samples(t).drop("user_id"), "parquet"))
+    return found.filter("unit IS NULL").select("name", "value", F.unix_micros("ts").alias("at"), "seq")
+
+
+@query("S8", f"WITH {D.PROGRESS_SQL} SELECT url, epoch_us(ts) AS at, seq, downloaded, total, status FROM progress")
+def progress_source(t: Tables):
+    """The progress log written as a table and read back."""
+    found = readers.progress(t.spark, D.written(D.progress(t).drop("task_id"), "parquet"))
+    return found.select("url", F.unix_micros("ts").alias("at"), "seq", "downloaded", "total", "status")
+
+
+@query("T9 A24 F33", """
 WITH l AS (SELECT user_id AS file, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn, event_type FROM events)
 SELECT file, round(avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END) * 100, 6) AS error_rate FROM l WHERE rn <= 100 GROUP BY file""")
 def log_error_rates(t: Tables):
@@ -342,7 +365,7 @@ def load_status(t: Tables):
 
 # -------------------------------------------------------------------- progress
 
-@query("W4 S8", f"""
+@query("W4", f"""
 WITH {D.PROGRESS_SQL}
 SELECT url, seq, round(coalesce((downloaded - lag(downloaded) OVER w) / ((epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6), 0), 6) AS speed FROM progress WINDOW w AS (PARTITION BY url ORDER BY ts, seq)""")
 def download_speed(t: Tables):

@@ -10,7 +10,7 @@ from ..functions import urls as U
 from ..operators import extraction as X
 from ..operators import planning, stats
 from ..operators.joins import with_url_status
-from ..sources import writers
+from ..sources import readers, writers
 from . import derived as D
 from . import sqltext as S
 from .registry import Tables, query
@@ -131,7 +131,13 @@ def pattern_tasks(t: Tables):
 
 # ---------------------------------------------------------------------- links
 
-@query("S1 H4 U9 U6", f"""
+@query("S1", "SELECT page_id, url, false AS missing, CAST(length(html) AS BIGINT) AS chars FROM pages")
+def page_source(t: Tables):
+    rows = readers.pages(t.spark, f"{t.folder}/pages.parquet")
+    return rows.select("page_id", "url", F.col("error_message").isNotNull().alias("missing"), F.length("html").cast("bigint").alias("chars"))
+
+
+@query("H4 U9 U6", f"""
 WITH {S.ANCHORS}
 SELECT page_id, CAST(pos AS BIGINT) AS pos, link AS url, text, href AS original_href, {S.keep_key_params('link')} AS norm_url
 FROM anchors""")

@@ -245,7 +245,20 @@ def effect_statistics(t: Tables):
     return out.withColumn("saved", F.round("saved", 3)).withColumn("success_rate", F.round("success_rate", 6))
 
 
-@query("K7 J9", f"""
+@query("J9", """
+SELECT l_orderkey AS task_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS pos, l_linenumber AS n, l_partkey AS part FROM lineitem""")
+def flattened_images(t: Tables):
+    """Tasks with images of their own and of two pages, one of which may be empty."""
+    image = F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("part"))
+
+    def lines(low: int, high: int):
+        return F.array_sort(F.collect_list(F.when(F.col("l_linenumber").between(low, high), image)))
+    tasks = t.lineitem.groupBy(F.col("l_orderkey").alias("task_id")).agg(
+        lines(1, 2).alias("images"), F.array(F.struct(lines(3, 4).alias("images")), F.struct(lines(5, 99).alias("images"))).alias("pages"))
+    return joins.task_images(tasks).select("task_id", F.col("pos").cast("bigint").alias("pos"), "n", "part")
+
+
+@query("K7", f"""
 WITH {D.TASKS_SQL}, {D.ATTEMPTS_SQL}
 SELECT tasks.task_id, tasks.name, tasks.status AS task_status, attempts.url, attempts.outcome AS image_status
 FROM tasks LEFT JOIN attempts USING (task_id)""")
@@ -297,7 +310,7 @@ def text_risk(t: Tables):
                     F.col("checked.valid").alias("valid"))
 
 
-@query("F24 F27 F29 V1", f"""
+@query("F24 F27 F29", f"""
 WITH x AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN concat('http://192.168.', CAST(p_size AS VARCHAR), '.7/a.jpg') WHEN 1 THEN concat('ftp://f', CAST(p_size AS VARCHAR), '.example.com/a.png')
   WHEN 2 THEN concat('http://localhost/', p_name) WHEN 3 THEN concat('https://8.8.', CAST(p_size AS VARCHAR), '.8/a.svg') WHEN 4 THEN concat('http://ok.example.com/', CAST(p_partkey AS VARCHAR), '.webp')
   ELSE concat('http://ok.example.com/../', CAST(p_partkey AS VARCHAR)) END AS url, p_partkey % 6 AS m FROM part)
@@ -344,7 +357,7 @@ hits AS (SELECT doc_id, pattern_no, category, title, pattern, level, text, unnes
    generate_subscripts(regexp_extract_all(text, concat('(?im)', pattern)), 1) AS k FROM documents, patterns WHERE regexp_matches(text, concat('(?im)', pattern)))"""
 
 
-@query("J7 S4", f"""
+@query("J7", f"""
 WITH {_scan_sql()},
 walk AS (SELECT *, string_split_regex(text, concat('(?im)', pattern)) AS parts FROM hits),
 lines AS (SELECT *, 1 + length(regexp_replace(array_to_string(parts[1:k], ''), '[^\\n]', '', 'g')) AS line_number FROM walk)
