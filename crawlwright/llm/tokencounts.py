@@ -78,9 +78,8 @@ def counted(docs: DataFrame, cache: str, model: str, limit: int = 4096, id_col:
     rows = docs.select(F.col(id_col), F.octet_length(text).cast("long").alias("n_bytes"),
                        F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("text"))
     known = cached(spark, cache).where(F.col("version") == version).select("digest")
-    missing = rows.select("digest", "text").join(known, "digest", "left_anti")
-    distinct = missing.groupBy("digest").agg(F.any_value("text").alias("text"))
-    _encoded(distinct, model).select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache)
+    distinct = rows.groupBy("digest").agg(F.any_value("text").alias("text"))
+    _encoded(distinct.join(known, "digest", "left_anti"), model).select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache)
     needed = rows.select("digest").distinct()
     counts = stored(needed.join(cached(spark, cache).where(F.col("version") == version), "digest").groupBy("digest").agg(
         F.min("n_tokens").alias("n_tokens")), "token-counts")
