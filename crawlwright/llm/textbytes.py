@@ -14,7 +14,7 @@ import pyarrow as pa
 import xxhash
 
 #: Bytes of text that are worked on together.
-RUN_BYTES = 2 << 20
+RUN_BYTES = 1 << 20
 #: Longer words are hashed one by one.
 LONG_WORD = 1 << 16
 _BASE = 0x9E3779B97F4A7C15 | 1

@@ -19,7 +19,9 @@ import pyarrow as pa
 from . import textbytes
 
 #: Pieces that a worker remembers, and the bytes of the longest; the table starts anew when it is full.
-MEMORY = 1_000_000
+MEMORY = 700_000
+#: Bytes of text whose pieces are looked up together.
+RUN_BYTES = 2 << 20
 _LONGEST = 64
 _GRAPHIC = np.zeros(256, dtype=bool)
 _GRAPHIC[0x21:0x7F] = True
@@ -113,7 +115,7 @@ def encoded(column: pa.Array, path: str, end: int | None = None):
     """The ids (uint32) of each text, in order, with ``end`` after them if given; null is an empty text."""
     data, offsets = textbytes.bytes_of(column)
     tokenizer = encoder(path)
-    for first, last in textbytes.runs(offsets):
+    for first, last in textbytes.runs(offsets, RUN_BYTES):
         ids, bounds = tokenizer.run(data[offsets[first]:offsets[last]], offsets[first:last + 1] - offsets[first])
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             yield ids[a:b] if end is None else np.append(ids[a:b], np.uint32(end))
