@@ -411,10 +411,10 @@ def windowed_statistics(t: Tables):
 
 
 @query("R3 T8", f"""
-WITH {D.LOG_SQL} SELECT host AS name, epoch_us(max(ts)) AS at, arg_max(status, ts) = 200 AS healthy FROM log GROUP BY host""")
+WITH {D.LOG_SQL} SELECT host AS name, epoch_us(max(ts)) AS at, last(status ORDER BY ts, seq) = 200 AS healthy FROM log GROUP BY host""")
 def latest_health(t: Tables):
     from ..streaming import streams
-    s = D.request_log(t).select(F.col("host").alias("name"), "ts", F.when(F.col("status") == 200, "healthy").otherwise("critical").alias("status"))
+    s = D.request_log(t).select(F.col("host").alias("name"), "ts", "seq", F.when(F.col("status") == 200, "healthy").otherwise("critical").alias("status"))
     return streams.latest_health(s).select("name", F.unix_micros("ts").alias("at"), (F.col("status") == "healthy").alias("healthy"))
 
 
