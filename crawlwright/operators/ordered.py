@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 ROWS_PER_CHUNK = 2_000_000
-MAX_CHUNKS = 20_000
 CHUNK = "_chunk"
 
 
@@ -60,7 +59,7 @@ def chunked(df: DataFrame, keys: list[str], order: list[str],
     n = math.ceil(df.count() / rows_per_chunk)
     if n <= 1:
         return None
-    ranged = df.repartitionByRange(min(n, MAX_CHUNKS), *keys, *order)
+    ranged = df.repartitionByRange(n, *keys, *order)
     return checkpointed(ranged.withColumn(CHUNK, F.spark_partition_id()))
 
 
@@ -239,7 +238,7 @@ def fold(df: DataFrame, keys: list[str], order: list[str], step: Step, init: dic
             # final entry, so later ones wait instead of being run once per round
             first = todo.groupBy(*keys).agg(F.min(CHUNK).alias("_first"))
             chunks = chunks.join(first, keys, "left")
-            waits = F.col(CHUNK) > F.coalesce("_first", F.lit(MAX_CHUNKS))
+            waits = F.col(CHUNK) > F.coalesce("_first", F.lit(2**31 - 1))
             chunks = checkpointed(chunks.join(old, [*keys, CHUNK]).select(*keys, CHUNK, *[
                 F.when(waits, F.col(f"_old{e}")).otherwise(F.col(e)).alias(e) for e in entry_cols]))
             todo = todo.join(first, keys).filter(F.col(CHUNK) == F.col("_first")).drop("_first")
