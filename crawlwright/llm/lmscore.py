@@ -43,11 +43,14 @@ _ROWS = 100_000
 
 
 def _pack(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(values.tobytes())
+    """Bytes of equal weight stand together, as the high ones of small numbers and differences are mostly zero."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
 
 
-def _unpack(raw: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), kind)
+def _unpack(raw: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -64,7 +67,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             words, places = np.unique(np.concatenate(hashes), return_inverse=True)
             return pa.RecordBatch.from_arrays([
                 pa.array([block], pa.int64()), pa.array([ids], pa.list_(kind)), pa.array([_pack(np.concatenate(sizes))], pa.binary()),
-                pa.array([_pack(words)], pa.binary()), pa.array([_pack(places.astype(np.uint32))], pa.binary())], names=schema.names)
+                pa.array([_pack(np.diff(words, prepend=np.uint64(0)))], pa.binary()), pa.array([_pack(places.astype(np.uint32))], pa.binary())], names=schema.names)
         for batch in batches:
             kind = batch.column(0).type
             data, offsets = textbytes.bytes_of(batch.column(1))
@@ -87,42 +90,52 @@ class _Block:
 
     def __init__(self, sizes: bytes, words: bytes, places: bytes, order: int) -> None:
         self.sizes = _unpack(sizes, np.int64)
-        self.hashes = _unpack(words, np.uint64)[_unpack(places, np.uint32)]
-        self.text = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        # for each length: the n-gram that ends at each word, where there is one in its text
-        self.ends: list[np.ndarray] = []
-        self.grams: list[np.ndarray] = []
-        for n in range(1, order + 1):
-            grams = textbytes.mixed(textbytes.window_hashes(self.hashes, n) + np.uint64(n))
-            ends = np.arange(n - 1, len(self.hashes))
-            inside = self.text[ends] == self.text[ends - n + 1]
-            self.ends.append(ends[inside])
-            self.grams.append(grams[inside])
+        self.hashes = np.cumsum(_unpack(words, np.uint64), dtype=np.uint64)[_unpack(places, np.uint32)]
+        self.text = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
+        self.order = order
+
+    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places of their last words, hashes) of the n-grams of ``n`` words, none across texts."""
+        inside = self.text[n - 1:] == self.text[:max(0, len(self.text) - n + 1)]
+        grams = textbytes.mixed(textbytes.window_hashes(self.hashes, n) + np.uint64(n))
+        return (np.flatnonzero(inside) + n - 1).astype(np.int32), grams[inside]
 
     def scores(self, known: np.ndarray, totals: np.ndarray, corpus: int, backoff: float) -> np.ndarray:
         """The summed logarithms of each text; ``known`` are n-grams in order whose ``totals`` differ from the block's counts."""
-        size, order = len(self.hashes), len(self.grams)
-        count = np.zeros((order + 1, size))  # of the n-gram that ends at a word, without its own text's
-        for n, (ends, grams) in enumerate(zip(self.ends, self.grams), 1):
-            if not len(grams):
-                continue
+        size, order = len(self.hashes), self.order
+        place = np.arange(size) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        steps = np.minimum(place, order - 1).astype(np.int32)  # words of context there could be
+        out = shorter = np.zeros(0)
+        for n in range(1, order + 1):
+            count = self._others(n, known, totals)
+            if n == 1:
+                others = np.maximum(corpus - self.sizes, 1)
+                out = np.log(np.maximum(count, 0.5) / others[self.text]) + steps * math.log(backoff)
+            else:
+                has = np.flatnonzero(count > 0)
+                out[has] = np.log(count[has] / shorter[has - 1]) + (steps[has] - n + 1) * math.log(backoff)
+            shorter = count
+        return np.bincount(self.text, weights=out, minlength=len(self.sizes)).astype(np.float64)
+
+
+    def _others(self, n: int, known: np.ndarray, totals: np.ndarray) -> np.ndarray:
+        """How often the n-gram that ends at each word stands in other texts; 0 where there is none."""
+        ends, grams = self.grams(n)
+        count = np.zeros(len(self.hashes))
+        if len(grams):
             distinct, which, own = np.unique(grams, return_inverse=True, return_counts=True)
+            del grams
             total = own.astype(np.float64)
-            at = np.minimum(np.searchsorted(known, distinct), max(len(known) - 1, 0))
             if len(known):
+                at = np.minimum(np.searchsorted(known, distinct), len(known) - 1)
                 there = known[at] == distinct
                 total[there] = totals[at[there]]
-            _, pair, here = np.unique(which * np.int64(len(self.sizes)) + self.text[ends], return_inverse=True, return_counts=True)
-            count[n, ends] = total[which] - here[pair]
-        others = np.maximum(corpus - self.sizes, 1)[self.text].astype(np.float64)
-        out = np.log(np.maximum(count[1], 0.5) / others)
-        place = np.arange(size) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
-        out += np.minimum(place, order - 1) * math.log(backoff)
-        for n in range(2, order + 1):
-            has = np.flatnonzero(count[n] > 0)
-            context = count[n - 1, has - 1]
-            out[has] = np.log(count[n, has] / context) + (np.minimum(place[has], order - 1) - n + 1) * math.log(backoff)
-        return np.bincount(self.text, weights=out, minlength=len(self.sizes)).astype(np.float64)
+            count[ends] = total[which]
+            which *= len(self.sizes)
+            which += self.text[ends]
+            _, pair, here = np.unique(which, return_inverse=True, return_counts=True)
+            count[ends] -= here[pair]
+        return count
 
 
 def scored(docs: DataFrame, order: int = 2, backoff: float = BACKOFF, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -135,16 +148,17 @@ def scored(docs: DataFrame, order: int = 2, backoff: float = BACKOFF, id_col: st
             for k in range(batch.num_rows):
                 name = batch.column(0)[k].as_py()
                 own = _Block(*(batch.column(c)[k].as_py() for c in range(1, 4)), order)
-                for grams in own.grams:
-                    distinct, counts = np.unique(grams, return_counts=True)
+                for n in range(1, order + 1):
+                    distinct, counts = np.unique(own.grams(n)[1], return_counts=True)
                     for first in range(0, len(distinct), _ROWS):
                         part = distinct[first:first + _ROWS].view(np.int64)
                         yield pa.RecordBatch.from_arrays([
                             pa.array(part), pa.array(np.full(len(part), name, np.int64)),
                             pa.array(counts[first:first + _ROWS].astype(np.int32))], names=["gram", "block", "n"])
     parts = blocks.select("block", "sizes", "words", "places").mapInArrow(
-        explode, "gram long, block long, n int").repartition("gram")
-    counts = parts.groupBy("gram").agg(F.sum("n").alias("total"))
+        explode, "gram long, block long, n int").where("gram IS NOT NULL AND n IS NOT NULL").repartition("gram")
+    # both sides have the same columns and filters, so that one exchange serves both; a block knows its own counts
+    counts = parts.groupBy("gram").agg(F.sum("n").alias("total"), F.count("block").alias("blocks")).where("blocks > 1")
     answers = parts.join(counts, "gram").where(F.col("total") > F.col("n")).select("block", "gram", "total")
     corpus = blocks.select("sizes").mapInArrow(_corpus_size, "n long").agg(F.sum("n")).first()[0] or 0
     schema = T.StructType([T.StructField(id_col, kind), T.StructField("n_words", T.LongType()),
