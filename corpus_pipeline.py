@@ -23,7 +23,10 @@ def without_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """The first document of each group of near-duplicates."""
+    """The first document of each group of near-duplicates, by op4's rule: 3-word shingles, at most 3 of 64 bits.
+
+    That is no bound on the similarity of the shingles; the README has its measured recall.
+    """
     return simhash.deduplicated(docs)
 
 
