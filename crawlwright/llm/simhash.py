@@ -59,15 +59,15 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(bits.view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col`` and ``fingerprint`` (the 64 bits as a long) of every row."""
-    source = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
-    schema = T.StructType([source.schema[0], T.StructField("fingerprint", T.LongType())])
+def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
+    """``id_col`` and ``fingerprint`` (the 64 bits as a long) of every row, and after them the values of ``more``."""
+    source = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"), *more)
+    schema = T.StructType([source.schema[0], T.StructField("fingerprint", T.LongType()), *source.schema[2:]])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter((fingerprint(x.as_py(), shingle) for x in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], names=schema.names)
     return source.mapInArrow(scan, schema)
 
 
@@ -110,10 +110,8 @@ def links(fingerprints: DataFrame, distance: int = 3) -> DataFrame:
                   ).select(F.col("a.fingerprint").alias("low"), F.col("b.fingerprint").alias("high"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
-    """``id_col``, ``fingerprint`` (16 hex digits) and ``component_id`` (the smallest id reachable over links) of every row."""
-    of_row = stored(fingerprints(docs, shingle, id_col, text_col).toDF("id", "fingerprint"), "fingerprints")
+def _components(of_row: DataFrame, distance: int) -> DataFrame:
+    """The rows of ``of_row`` (``id``, ``fingerprint`` and others) with the ``component_id`` of their fingerprint."""
     nodes = stored(of_row.groupBy("fingerprint").agg(F.min("id").alias("first")), "fingerprint-nodes")
     joined = stored(connected(links(nodes.select("fingerprint"), distance)).join(
         nodes.withColumnRenamed("fingerprint", "node"), "node"), "linked")
@@ -121,7 +119,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, id_col
     named = joined.join(names, "component").select(F.col("node").alias("fingerprint"), "name")
     component = stored(nodes.join(named, "fingerprint", "left").select(
         "fingerprint", F.coalesce("name", "first").alias("component_id")), "components")
-    return of_row.join(component, "fingerprint").select(
+    return of_row.join(component, "fingerprint")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, id_col: str = "doc_id",
+                    text_col: str = "text") -> DataFrame:
+    """``id_col``, ``fingerprint`` (16 hex digits) and ``component_id`` (the smallest id reachable over links) of every row."""
+    of_row = stored(fingerprints(docs, shingle, id_col, text_col).toDF("id", "fingerprint"), "fingerprints")
+    return _components(of_row, distance).select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -129,8 +134,12 @@ def deduplicated(docs: DataFrame, shingle: int = 3, distance: int = 3, id_col: s
                  text_col: str = "text") -> DataFrame:
     """``docs`` with all columns, of each component only the document with the smallest id.
 
-    Rows that repeat an id are one document and stay together; rows with a
-    null id all stay.
+    Rows of one id are judged each by its own text: a row goes only where its
+    component has a smaller id. Rows that repeat the smallest id within one
+    component are one document and stay together; rows with a null id all stay.
     """
-    gone = near_duplicates(docs, shingle, distance, id_col, text_col).where(F.col(id_col) != F.col("component_id"))
-    return docs.join(stored(gone.select(id_col).distinct(), "duplicates"), id_col, "left_anti").select(docs.columns)
+    digest = F.md5(F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    of_row = stored(fingerprints(docs, shingle, id_col, text_col, digest.alias("digest")).toDF("id", "fingerprint", "digest"),
+                    "fingerprints")
+    gone = stored(_components(of_row, distance).where("id != component_id").select("id", "digest").distinct(), "duplicates")
+    return docs.join(gone, (docs[id_col] == gone["id"]) & (digest == gone["digest"]), "left_anti").select(docs.columns)

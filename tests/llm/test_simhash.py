@@ -60,6 +60,16 @@ def test_cases(spark):
     assert simhash.deduplicated(null).count() == 3
 
 
+def test_repeated_ids(spark):
+    """A row of an id goes for its own text only; a text of which no copy is kept never goes."""
+    rows = [(1, "one text of some words"), (5, "one text of some words"), (5, "quite another thing here"), (5, "quite another thing here"),
+            (7, "quite another thing here"), (8, None), (9, ""), (9, "last words")]
+    docs = spark.createDataFrame([(i, t, k, "x", "y") for k, (i, t) in enumerate(rows)],
+                                 "doc_id long, text string, place int, id string, digest string")
+    kept = simhash.deduplicated(docs)
+    assert kept.columns == docs.columns and sorted(r.place for r in kept.collect()) == [0, 2, 3, 5, 7]
+
+
 def test_links(spark):
     rng = random.Random(3)
     values = {rng.getrandbits(64) for _ in range(40)}
