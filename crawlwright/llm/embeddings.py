@@ -43,7 +43,8 @@ MOST_WORDS = 1024
 #: Vectors that a cell should hold on average.
 CELL_ROWS = 32
 TARGET_RECALL = 0.995
-MOST_VISITS = 256
+#: Visits that are tried first; where they miss the target, four times as many, up to the whole grid.
+FIRST_VISITS = 256
 
 
 @dataclass(frozen=True)
@@ -98,16 +99,25 @@ def fitted(sample: np.ndarray, words: int, threshold: float, target: float = TAR
     side -= (side * probe).sum(axis=1, keepdims=True) * probe
     size = np.linalg.norm(side, axis=1, keepdims=True)
     turned = threshold * probe + math.sqrt(max(0.0, 1 - threshold * threshold)) * side / np.where(size == 0, 1, size)
-    count = min(MOST_VISITS, len(raw.books[0]) * len(raw.books[1]))
-    met = []
-    for k in range(0, len(probe), 500):  # a pair is met from either side
-        a, b = probe[k:k + 500], turned[k:k + 500]
-        there = raw.traversal(a, count) == raw.cells(b)[:, None]
-        back = raw.traversal(b, count) == raw.cells(a)[:, None]
-        met.append(np.minimum(np.where(there.any(axis=1), there.argmax(axis=1), count),
-                              np.where(back.any(axis=1), back.argmax(axis=1), count)))
-    needed = np.sort(np.concatenate(met))[min(len(probe) - 1, math.ceil(target * len(probe)) - 1)]
-    return Index(raw.books, int(min(count, needed + 1)))
+    whole, count = len(raw.books[0]) * len(raw.books[1]), FIRST_VISITS
+    while True:
+        count = min(count, whole)
+        met, size = [], _rows_at_once(count, 500)
+        for k in range(0, len(probe), size):  # a pair is met from either side
+            a, b = probe[k:k + size], turned[k:k + size]
+            there = raw.traversal(a, count) == raw.cells(b)[:, None]
+            back = raw.traversal(b, count) == raw.cells(a)[:, None]
+            met.append(np.minimum(np.where(there.any(axis=1), there.argmax(axis=1), count),
+                                  np.where(back.any(axis=1), back.argmax(axis=1), count)))
+        needed = np.sort(np.concatenate(met))[min(len(probe) - 1, math.ceil(target * len(probe)) - 1)]
+        if needed < count or count == whole:
+            return Index(raw.books, int(min(count, needed + 1)))
+        count *= 4
+
+
+def _rows_at_once(visits: int, most: int) -> int:
+    """So many vectors that their visits fit in memory together."""
+    return max(1, most * FIRST_VISITS // max(FIRST_VISITS, visits))
 
 
 def _usable(vector: Column) -> Column:
@@ -128,8 +138,9 @@ def _filed(classes: DataFrame, index: Index) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
+            size = _rows_at_once(own.visits, 1000)
+            for k in range(0, batch.num_rows, size):
+                part = batch.slice(k, size)
                 units = _units(part.column(2))
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), part.column(1), pa.array(list(units), pa.list_(pa.float64())), pa.array(own.cells(units)),

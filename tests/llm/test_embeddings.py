@@ -60,6 +60,20 @@ def test_recall():
     assert met.mean() >= 0.97 and index.visits < 100
 
 
+def test_many_visits():
+    """Vectors without clusters below a low threshold need more than the first visits; the target still holds."""
+    x = np.random.default_rng(6).normal(size=(1500, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = embeddings.fitted(x, 48, 0.7)
+    side = np.random.default_rng(7).normal(size=x.shape)
+    side -= (side * x).sum(axis=1, keepdims=True) * x
+    near = 0.7 * x + np.sqrt(1 - 0.49) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    met = [((index.traversal(a, index.visits) == index.cells(b)[:, None]).any(axis=1)
+            | (index.traversal(b, index.visits) == index.cells(a)[:, None]).any(axis=1)).mean()
+           for a, b in ((x[k:k + 100], near[k:k + 100]) for k in range(0, 1500, 100))]
+    assert index.visits > 256 and np.mean(met) >= 0.98
+
+
 def test_order():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(50, 8))
