@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, embeddings, lmscore, packing, simhash, sql, tokencounts, tokenfiles, toxicity, urlfilter
+from ..operators.columns import computed
+from . import (chat, decontamination, embeddings, lmscore, packing, simhash, sql, tokencounts, tokenfiles, toxicity, urlfilter,
+               wordruns)
 from .storage import new_folder
 
 
@@ -112,7 +114,37 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and the text: in one document of ten the words from some place on repeat with some period."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g, planted = F.floor(h / 10), h % 10 == 0
+    rows = computed(docs.select("doc_id", "text"), words=F.when(
+        planted, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
+    n = F.size("words").cast("long")
+    rows = rows.withColumn("n", n).withColumn("a", (g % F.nullif("n", F.lit(0))).cast("int"))
+    rows = rows.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + g % 8))).cast("int"))
+    period = F.slice("words", F.col("a") + 1, F.col("p"))
+    times = F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
+    repeats = F.slice(F.flatten(F.array_repeat(period, times)), F.lit(1), (F.col("n") - F.col("a")).cast("int"))
+    changed = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), repeats), " ")
+    return rows.select("doc_id", F.when(planted & (F.col("n") > 0), changed).otherwise(F.col("text")).alias("text"))
+
+
+def op11_word_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of repeated words in every document, and digests of what stays without the repeats."""
+    found = wordruns.repeated(with_planted_runs(_table(spark, folder, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    found = found.withColumn("best", best)
+    length, period = F.col("best.length"), -F.col("best.p")
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[k].cast("string") for k in ("start", "length", "period")]),
+                                                   F.lit("\n")))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.s")).alias("start"),
+                        length.alias("length"), period.alias("period"),
+                        F.floor(1000 * length / period).cast("long").alias("exponent_milli"),
+                        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_embedding_dedup, op3_url_filters, op4_simhash, op5_toxicity, op6_token_counts,
-    op7_stupid_backoff, op8_chat_formatting, op9_token_files, op10_packing)}
+    op7_stupid_backoff, op8_chat_formatting, op9_token_files, op10_packing, op11_word_runs)}
 SQL = {"op1_decontamination": sql.DECONTAMINATION, "op2_embedding_dedup": sql.EMBEDDINGS, "op8_chat_formatting": sql.CHAT}
