@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.columns import computed
-from . import (chat, decontamination, embeddings, lmscore, packing, simhash, sql, tokencounts, tokenfiles, toxicity, urlfilter,
-               wordruns)
+from . import (chat, decontamination, embeddings, lmscore, packing, secretscan, simhash, sql, tokencounts, tokenfiles, toxicity,
+               urlfilter, wordruns)
 from .storage import new_folder
 
 
@@ -144,7 +144,22 @@ def op11_word_runs(spark: SparkSession, folder: str) -> DataFrame:
                         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op13_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """The secrets of every document, counted by base kind, and all spans."""
+    base = [r.kind for r in secretscan.BASE]
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    found = secretscan.spans(_table(spark, folder, "documents"))
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, base), F.sha2(joined(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"),
+                        joined(F.col("spans")).alias("spans"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_embedding_dedup, op3_url_filters, op4_simhash, op5_toxicity, op6_token_counts,
-    op7_stupid_backoff, op8_chat_formatting, op9_token_files, op10_packing, op11_word_runs)}
-SQL = {"op1_decontamination": sql.DECONTAMINATION, "op2_embedding_dedup": sql.EMBEDDINGS, "op8_chat_formatting": sql.CHAT}
+    op7_stupid_backoff, op8_chat_formatting, op9_token_files, op10_packing, op11_word_runs,
+    op13_secret_scan)}
+SQL = {"op1_decontamination": sql.DECONTAMINATION, "op2_embedding_dedup": sql.EMBEDDINGS, "op8_chat_formatting": sql.CHAT,
+       "op13_secret_scan": sql.secrets(secretscan.BASE, secretscan.MORE)}

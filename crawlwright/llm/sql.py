@@ -35,3 +35,25 @@ s AS (SELECT conv_id, count(*) AS n_turns, string_agg(concat(role, chr(10), t, c
     + len(regexp_extract_all(t, '\[\\*/?INST\]'))) AS chars FROM c GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
   CAST(chars AS BIGINT) AS formatted_chars FROM s"""
+
+
+def secrets(base, more) -> str:
+    """Spans of every rule over whole texts, by what stands between the matches."""
+    def quoted(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+    rules = " UNION ALL ".join(
+        f"""SELECT doc_id, place, {k} AS rule, '{r.kind}' AS kind, {r.least} AS least, string_split_regex(t, {quoted(r.pattern)}) AS gap,
+  regexp_extract_all(t, {quoted(r.pattern)}, 0) AS hit, regexp_extract_all(t, {quoted(r.pattern)}, {r.group}) AS own
+FROM d WHERE regexp_matches(t, {quoted(r.pattern)})""" for k, r in enumerate((*base, *more)))
+    kinds = ", ".join(quoted(r.kind) for r in base)
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in base)
+    text = "kind || ':' || (ends - size) || ':' || ends"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS place FROM documents), m AS ({rules}),
+x AS (SELECT *, unnest(range(1, len(hit) + 1)) AS i FROM m),
+s AS (SELECT place, rule, kind, least, length(hit[i]) AS size, length(own[i]) AS own_size,
+  CAST(sum(length(gap[i]) + length(hit[i])) OVER (PARTITION BY place, rule ORDER BY i) AS BIGINT) AS ends FROM x),
+g AS (SELECT place, {counts}, string_agg({text}, ',' ORDER BY ends - size, rule) FILTER (kind IN ({kinds})) AS base,
+  string_agg({text}, ',' ORDER BY ends - size, rule) AS spans FROM s WHERE own_size >= least GROUP BY place)
+SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in base)}, sha256(coalesce(base, '')) AS base_sha256,
+  coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (place)"""
