@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.columns import computed
-from . import (chat, decontamination, embeddings, lmscore, packing, secretscan, simhash, sql, tokencounts, tokenfiles, toxicity,
+from . import (chat, decontamination, embeddings, lexical, lmscore, packing, secretscan, simhash, sql, tokencounts, tokenfiles, toxicity,
                urlfilter, wordruns)
 from .storage import new_folder
 
@@ -144,6 +144,11 @@ def op11_word_runs(spark: SparkSession, folder: str) -> DataFrame:
                         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 50 best documents for every benchmark item."""
+    return lexical.ranked(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op13_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     """The secrets of every document, counted by base kind, and all spans."""
     base = [r.kind for r in secretscan.BASE]
@@ -160,6 +165,6 @@ def op13_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_embedding_dedup, op3_url_filters, op4_simhash, op5_toxicity, op6_token_counts,
     op7_stupid_backoff, op8_chat_formatting, op9_token_files, op10_packing, op11_word_runs,
-    op13_secret_scan)}
+    op12_lexical_search, op13_secret_scan)}
 SQL = {"op1_decontamination": sql.DECONTAMINATION, "op2_embedding_dedup": sql.EMBEDDINGS, "op8_chat_formatting": sql.CHAT,
-       "op13_secret_scan": sql.secrets(secretscan.BASE, secretscan.MORE)}
+       "op12_lexical_search": sql.LEXICAL, "op13_secret_scan": sql.secrets(secretscan.BASE, secretscan.MORE)}

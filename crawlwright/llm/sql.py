@@ -36,6 +36,21 @@ s AS (SELECT conv_id, count(*) AS n_turns, string_agg(concat(role, chr(10), t, c
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
   CAST(chars AS BIGINT) AS formatted_chars FROM s"""
 
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+LEXICAL = f"""
+WITH d AS (SELECT row_number() OVER () AS place, doc_id, {_TERMS} AS w FROM documents WHERE text IS NOT NULL),
+c AS (SELECT place, doc_id, CAST(len(w) AS BIGINT) AS n, w FROM d WHERE len(w) > 0),
+t AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM c),
+p AS (SELECT place, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT place, unnest(w) AS term FROM c) GROUP BY place, term),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM p, t
+  WHERE term IN (SELECT term FROM q) GROUP BY term),
+s AS (SELECT item_id, doc_id, place, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // n_terms)))) AS BIGINT)
+  AS score FROM q JOIN f USING (term) JOIN p USING (term) JOIN c USING (place), t GROUP BY item_id, doc_id, place),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50"""
+
 
 def secrets(base, more) -> str:
     """Spans of every rule over whole texts, by what stands between the matches."""
