@@ -1,7 +1,7 @@
 """Packing along a space-filling curve: neighbouring documents share sequences.
 
 Each document's token ids are counted in hashed cells with signs, and that
-vector is projected to a few dimensions. The cell of the projection on a
+vector is projected to a few dimensions. The cell of the projection's direction on a
 Hilbert curve is the document's key: documents with similar tokens are near on
 the curve. Encoded documents are written once, then dealt out by ranges of
 (key, id), so that no task depends on how many documents share a key, and
@@ -16,6 +16,7 @@ nothing; other columns are not read.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,17 +63,23 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return out
 
 
+@functools.lru_cache(maxsize=1)
+def _projected(count: int, seed: int) -> np.ndarray:
+    """The projection of every id: the row of its hashed cell, with its sign."""
+    h = textbytes.mixed(np.arange(1, count + 1, dtype=np.uint64))
+    matrix = np.random.default_rng(seed).normal(size=(CELLS, DIMENSIONS)).astype(np.float32)
+    sign = np.where(h & np.uint64(1 << 20), 1, -1).astype(np.float32)
+    return matrix.T[:, (h % np.uint64(CELLS)).astype(np.int64)] * sign
+
+
 def curve_keys(documents: list[np.ndarray], seed: int = 7) -> np.ndarray:
-    """The curve key of each document's ids."""
-    matrix = np.random.default_rng(seed).normal(size=(CELLS, DIMENSIONS))
-    vectors = np.zeros((len(documents), CELLS))
-    for k, ids in enumerate(documents):
-        h = textbytes.mixed(ids.astype(np.uint64) + np.uint64(1))
-        sign = np.where(h & np.uint64(1 << 20), 1.0, -1.0)
-        vectors[k] = np.bincount((h % np.uint64(CELLS)).astype(np.int64), weights=sign, minlength=CELLS)
-    norm = np.linalg.norm(vectors, axis=1, keepdims=True)
-    place = (vectors / np.where(norm == 0, 1, norm)) @ matrix  # about normal, as the rows have length one
-    return hilbert(np.clip((place + 3) / 6 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64))
+    """The curve key of each document's ids: the direction of its projected vector, which is the sum of its ids' projections."""
+    most = max((int(ids.max()) for ids in documents if len(ids)), default=0)
+    rows = _projected(1 << max(16, most.bit_length()), seed)
+    place = np.array([[row[ids].sum(dtype=np.float64) for row in rows] for ids in documents]).reshape(-1, DIMENSIONS)
+    norm = np.linalg.norm(place, axis=1, keepdims=True)
+    place /= np.where(norm == 0, 1, norm)
+    return hilbert(np.clip((place + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64))
 
 
 def _encoded(docs: DataFrame, tokenizer: str, end: int, id_col: str, text_col: str) -> DataFrame:

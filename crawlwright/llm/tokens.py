@@ -5,12 +5,16 @@ signs, each with a blank before it, and white space. So a new pre-token always
 begins at a blank or line feed after a character that is not white space, at a
 stop or comma after a letter, and at a letter after a line feed that ends such
 a piece. Texts may be cut there and the pieces encoded one by one. A piece
-mostly repeats one seen before: each distinct piece of a run is looked up in a
-table that the worker keeps, and only new ones go through the tokenizer.
+mostly repeats one seen before. Pieces of up to 16 bytes are grouped by a hash
+and each is compared with its group's sample, all its bytes and its length;
+those that differ, and longer pieces, stand for themselves. A sample is looked
+up by its bytes in a table that the worker keeps, and only new ones go through
+the tokenizer.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
 
 import numpy as np
@@ -19,9 +23,9 @@ import pyarrow as pa
 from . import textbytes
 
 #: Pieces that a worker remembers, and the bytes of the longest; the table starts anew when it is full.
-MEMORY = 700_000
+MEMORY = 1_200_000
 #: Bytes of text whose pieces are looked up together.
-RUN_BYTES = 2 << 20
+RUN_BYTES = 4 << 20
 _LONGEST = 64
 _GRAPHIC = np.zeros(256, dtype=bool)
 _GRAPHIC[0x21:0x7F] = True
@@ -31,6 +35,7 @@ _STOP = np.zeros(256, dtype=bool)
 _STOP[list(b",.!?;:")] = True
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = True
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 _WORKERS: dict[str, Encoder] = {}
 
 
@@ -83,23 +88,40 @@ class Encoder:
         ends = np.append(starts[1:], len(data))
         if len(self.known) > MEMORY:
             self._forget()
-        hashes = textbytes.span_hashes(data, starts, ends)
-        _, sample, which = np.unique(hashes, return_index=True, return_inverse=True)
-        pieces = [data[s:e].tobytes() for s, e in zip(starts[sample].tolist(), ends[sample].tolist())]
-        new = list(dict.fromkeys(p for p in pieces if p not in self.known and len(p) <= _LONGEST))
-        self._learn(new)
-        long = [k for k, p in enumerate(pieces) if len(p) > _LONGEST]
-        rows = np.fromiter((self.known.get(p, 0) for p in pieces), np.int64, len(pieces))
-        first, count = self.ends[rows], self.ends[rows + 1] - self.ends[rows]
-        table = self.ids
+        raw, length = data.tobytes(), ends - starts
+        words = np.lib.stride_tricks.as_strided(np.append(data, np.zeros(16, np.uint8)).view(), (len(data) + 9, 8), (1, 1)).view("<u8")[:, 0]
+        low = words[starts] & _FIRST[np.minimum(length, 8)]
+        high = words[starts + 8 * (length > 8)] & _FIRST[np.clip(length - 8, 0, 8)]
+        short = np.flatnonzero(length <= 16)
+        mixed = textbytes.mixed(low[short] + textbytes.mixed(high[short] + length[short].astype(np.uint64)))
+        _, sample, which = np.unique(mixed, return_index=True, return_inverse=True)
+        sample = short[sample]
+        same = sample[which]
+        sure = (low[short] == low[same]) & (high[short] == high[same]) & (length[short] == length[same])
+        alone = np.concatenate((short[~sure], np.flatnonzero(length > 16)))
+        asked = np.concatenate((sample, alone))
+        pieces = [raw[s:e] for s, e in zip(starts[asked].tolist(), ends[asked].tolist())]
+        found = np.fromiter(map(self.known.get, pieces, itertools.repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(found < 0).tolist()
+        new = dict.fromkeys(pieces[k] for k in missing)
+        self._learn([p for p in new if len(p) <= _LONGEST])
+        found[missing] = [self.known.get(pieces[k], 0) for k in missing]
+        rows = np.zeros(len(starts), np.int64)
+        rows[short] = found[which]
+        rows[alone] = found[len(sample):]
+        first, size = self.ends[rows], self.ends[rows + 1] - self.ends[rows]
+        table, long = self.ids, [p for p in new if len(p) > _LONGEST]
         if long:
-            found = [x.ids for x in self.tokenizer.encode_batch_fast([pieces[k].decode() for k in long], add_special_tokens=False)]
-            table = np.concatenate((self.ids[:self.used], *[np.array(x, np.uint32) for x in found]))
-            count[long] = list(map(len, found))
-            first[long] = self.used + np.concatenate(([0], np.cumsum(count[long])[:-1]))
-        size = count[which]
+            own = [x.ids for x in self.tokenizer.encode_batch_fast([p.decode() for p in long], add_special_tokens=False)]
+            table = np.concatenate((self.ids[:self.used], *[np.array(x, np.uint32) for x in own]))
+            counts = np.array(list(map(len, own)))
+            begins = self.used + np.concatenate(([0], np.cumsum(counts)[:-1]))
+            place = {p: k for k, p in enumerate(long)}
+            at = np.array([len(p) > _LONGEST for p in pieces])
+            rest = [place[p] for p in pieces if len(p) > _LONGEST]
+            first[asked[at]], size[asked[at]] = begins[rest], counts[rest]
         ends_of = np.cumsum(size)
-        at = np.repeat(first[which] - (ends_of - size), size) + np.arange(ends_of[-1])
+        at = np.repeat(first - (ends_of - size), size) + np.arange(ends_of[-1])
         total = np.concatenate(([0], ends_of))
         return table[at], total[np.searchsorted(starts, offsets, side="left")]
 

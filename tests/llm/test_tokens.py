@@ -35,6 +35,23 @@ def test_encoded():
         assert TOKENIZER.encode(text, add_special_tokens=False).ids == ids.tolist(), text
 
 
+def thue_morse(n, a="a", b="b"):
+    return "".join((a, b)[k.bit_count() & 1] for k in range(n))
+
+
+def test_like_hashes(monkeypatch):
+    """Pieces that a weak hash takes for one another, as it does any pair here, keep their own ids."""
+    texts = [thue_morse(n, *pair) for n in (4, 8, 16, 64, 1024, 2048, 4096, 8192) for pair in ("ab", "ba")]
+    texts += [" ".join(texts), "the cat sat on the mat " * 50 + "a" * 16 + " " + "a" * 17]
+
+    def check():
+        for text, ids in zip(texts, tokens.encoded(pa.array(texts), PATH)):
+            assert TOKENIZER.encode(text, add_special_tokens=False).ids == ids.tolist(), text[:50]
+    check()
+    monkeypatch.setattr(tokens.textbytes, "mixed", lambda h: h * np.uint64(0))
+    check()
+
+
 @pytest.mark.parametrize("bits", [3, 8, 15, 16, 17])
 def test_bits(bits):
     ids = np.random.default_rng(1).integers(0, 1 << bits, 10_000).astype(np.uint32)
@@ -56,7 +73,8 @@ def test_files_query(spark):
     assert sorted(map(tuple, queries.op9_token_files(spark, FOLDER).collect())) == want
 
 
-CASES = [(2, "b"), (None, "null id"), (1, None), (3, ""), (2, "a"), (7, "word " * 60_000), (2, "a")] + [(10 + i, t) for i, t in enumerate(ODD)]
+CASES = [(2, "b"), (None, "null id"), (1, None), (3, ""), (2, "a"), (7, "word " * 60_000), (2, "a")] + [(10 + i, t) for i, t in enumerate(ODD)] + [
+    (100, thue_morse(1024)), (101, thue_morse(1024, "b", "a"))]
 
 
 def test_files_cases(spark, tmp_path):
@@ -121,3 +139,13 @@ def test_neighbours():
     documents = [rng.choice(topics[k % 12], 300) for k in range(240)]
     order = np.argsort(packing.curve_keys(documents), kind="stable") % 12
     assert (order[1:] == order[:-1]).mean() > 0.5
+
+
+def test_pieces_in_curve_order(spark):
+    """Documents follow one another in the order of the keys, over all sequences."""
+    rng = np.random.default_rng(3)
+    docs = [(k, " ".join(rng.choice(["red", "green", "blue", "old", "new"], rng.integers(1, 200)))) for k in range(60)]
+    pieces = packing.packed(spark.createDataFrame(docs, "doc_id long, text string"), PATH, 0).collect()
+    order = list(dict.fromkeys(p.doc_id for p in sorted(pieces, key=lambda p: (p.sequence_id, p.offset))))
+    keys = packing.curve_keys([np.array(plain(t, 0)) for _, t in docs])
+    assert order == sorted(range(60), key=lambda k: (keys[k], k))

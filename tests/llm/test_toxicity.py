@@ -37,7 +37,7 @@ def test_cases(spark):
     docs = spark.createDataFrame([(1, None, 1.0), (2, "", 1.0), (3, "x " * 50_000, 1.0), (None, "words", 1.0), (3, "a", 1.0)],
                                  "doc_id long, text string, score double")
     empty = toxicity.fitted(docs, spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int"))
-    assert {r.score for r in toxicity.scored(docs, empty).collect()} == {pytest.approx(0, abs=1e-9)}
+    assert max(r.score for r in toxicity.scored(docs, empty).collect()) < 1e-9
     kept = toxicity.without_toxic(docs, empty)
     assert kept.columns == docs.columns and kept.count() == 5
     strict = toxicity.Model(((" words ", 9.0),), (), -1.0, (2.0, 0.0))
