@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -105,36 +108,76 @@ def as_events(sent: DataFrame) -> DataFrame:
             .withColumn("message", F.format_string("指标 %s 异常: 当前值 %s", "name", F.col("value").cast("string"))))
 
 
-def token_bucket_step(rate: float, capacity: float):
-    """Step of W13: refill by elapsed time up to the capacity, then admit if there are enough tokens."""
-    def step(rows: pd.DataFrame, state: dict) -> tuple[pd.DataFrame, dict]:
-        tokens = capacity if state["tokens"] is None else float(state["tokens"])
-        last = state["last"]
-        micros = rows["ts"].to_numpy("datetime64[us]").astype("int64")
-        need = rows["need"].to_numpy(float)
-        admitted = np.zeros(len(rows), dtype=bool)
-        left, wait = np.zeros(len(rows)), np.zeros(len(rows))
-        for i, (t, n) in enumerate(zip(micros.tolist(), need.tolist())):
+def _admitted(micros: list, need: list, fresh: list, state: tuple | None, rate: float, capacity: float) -> tuple[list, list, list, tuple]:
+    """(admitted, tokens left, seconds to wait, state) of requests in order; a fresh row finds a full bucket."""
+    tokens, last = state or (capacity, None)
+    admitted, left, wait = [], [], []
+    for t, n, new in zip(micros, need, fresh):
+        if new:
+            tokens, last = capacity, None
+        if t is not None:
             if last is not None and t > last:
                 tokens = min(capacity, tokens + (t - last) / 1e6 * rate)
             last = t if last is None else max(last, t)
-            if tokens >= n:
-                admitted[i] = True
-                tokens -= n
-            else:
-                wait[i] = (n - tokens) / rate
-            left[i] = tokens
-        out = rows.assign(admitted=admitted, tokens_left=left, wait_seconds=wait)
-        return out, {"tokens": tokens, "last": last}
+        ok = n is not None and tokens >= n
+        if ok:
+            tokens -= n
+        admitted.append(ok)
+        left.append(tokens)
+        wait.append(0.0 if ok else None if n is None else (n - tokens) / rate)
+    return admitted, left, wait, (tokens, last)
+
+
+def token_bucket_step(rate: float, capacity: float):
+    """Step of W13: refill by elapsed time up to the capacity, then admit if there are enough tokens."""
+    def step(rows: pd.DataFrame, state: dict) -> tuple[pd.DataFrame, dict]:
+        start = (capacity if state["tokens"] is None else float(state["tokens"]), state["last"])
+        micros = rows["ts"].to_numpy("datetime64[us]").astype("int64").tolist()
+        admitted, left, wait, (tokens, last) = _admitted(micros, rows["need"].astype(float).tolist(), [False] * len(rows), start, rate, capacity)
+        return rows.assign(admitted=admitted, tokens_left=left, wait_seconds=wait), {"tokens": tokens, "last": last}
     return step
 
 
+#: Cells of the session grid that are scanned together.
+CELLS = 4096
+
+
+def sessions(rows: DataFrame, keys: list[str], ts: str, gap_micros: int, cells: int = CELLS) -> DataFrame:
+    """``_session``: rows of a key are in one session only if no gap before them surely exceeds ``gap_micros``.
+
+    Time is a grid of cells as long as the gap. Where a key's cell has no
+    occupied cell before it, the gap is longer and a session starts, named by that cell.
+    Occupied cells are few rows, combined before they are shuffled; the
+    last start up to each is a running maximum over chunks of the grid. Rows without a time are a session.
+    """
+    rows = rows.withColumn("_cell", O.floored(F.unix_micros(F.col(ts)), gap_micros))
+    cell = F.col("_cell")
+    seen = rows.select(*keys, "_cell").distinct()
+    marks = seen.select(*keys, "_cell", F.lit(0).alias("_kind")).unionAll(seen.select(*keys, (cell + 1).alias("_cell"), F.lit(1)))
+    found = marks.groupBy(*keys, "_cell").agg(F.min("_kind").alias("_own"), F.max("_kind").alias("_follows")).where("_own = 0")
+    start = F.when(F.col("_follows") == 0, cell)
+    named = O.running(O.on_grid(found, cell, cells), keys, ["_cell"], {"_session": O.Running("max", start)})
+    return O.join_on_keys(rows, named.select(*keys, "_cell", "_session"), [*keys, "_cell"]).drop("_cell")
+
+
 def token_bucket(requests: DataFrame, keys: list[str], rate: float = 10.0, capacity: float = 20.0,
-                 order: list[str] = ("ts", "seq"), rows_per_chunk: int = O.ROWS_PER_CHUNK) -> DataFrame:
-    """Admission per key; ``need`` tokens per row, the bucket starts full."""
-    return O.fold(requests, keys, list(order), token_bucket_step(rate, capacity), {"tokens": capacity, "last": None},
-                  "tokens double, last bigint", "admitted boolean, tokens_left double, wait_seconds double",
-                  rows_per_chunk)
+                 order: list[str] = ("ts", "seq"), cells: int = CELLS) -> DataFrame:
+    """Admission per key; ``need`` tokens per row, the bucket starts full.
+
+    After a pause of capacity / rate seconds a bucket is full whatever was
+    before, so a key is cut there into sessions that are swept apart from one
+    another, each in order. Requests without a time add no tokens and are a session of
+    their own; a request without a need is refused and waits for nothing.
+    """
+    gap = math.ceil(1e6 * capacity / rate) + 1
+    rows = sessions(requests, keys, "ts", gap, cells)
+
+    def sweep(columns: dict, fresh: np.ndarray, state):
+        *made, state = _admitted(columns["ts"].cast(pa.int64()).to_pylist(), columns["need"].cast(pa.float64()).to_pylist(),
+                                 fresh.tolist(), state, rate, capacity)
+        return [pa.array(x, t) for x, t in zip(made, (pa.bool_(), pa.float64(), pa.float64()))], state
+    return O.swept(rows, [*keys, "_session"], list(order), ["ts", "need"], sweep,
+                   "admitted boolean, tokens_left double, wait_seconds double").drop("_session")
 
 
 def health_step(limit: int = UNHEALTHY_502_RUN):
@@ -156,10 +199,26 @@ def health_step(limit: int = UNHEALTHY_502_RUN):
     return step
 
 
-def host_health(log: DataFrame, order: list[str] = ("ts", "seq"), rows_per_chunk: int = O.ROWS_PER_CHUNK) -> DataFrame:
-    """502 run and protection state per host."""
-    return O.fold(log, ["host"], list(order), health_step(), {"run": 0, "unhealthy": False},
-                  "run int, unhealthy boolean", "run_502 int, unhealthy boolean", rows_per_chunk)
+def host_health(log: DataFrame, order: list[str] = ("ts", "seq"), limit: int = UNHEALTHY_502_RUN,
+                grid_micros: int = HOUR_MICROS) -> DataFrame:
+    """502 run and protection state per host, as running sums, minima and maxima.
+
+    A step is max(0, run + 1) or max(0, run - 1), or 0 after a success. Between
+    successes the steps compose to the sum of their ones, less its lowest value so far if
+    that is below 0. Chunks of the time grid complete one another,
+    so a host with most rows is spread by time. A status that is null or no success shortens the run.
+    """
+    order, columns = list(order), log.columns
+    status = F.col("status")
+    good = F.coalesce((status >= 200) & (status < 300), F.lit(False))
+    step = F.when(good, 0).when(status == 502, 1).otherwise(-1).cast("bigint")
+    rows = O.on_grid(log, F.unix_micros(F.col(order[0])), grid_micros)
+    rows = O.running(rows, ["host"], order, {"_sum": O.Running("sum", step), "_part": O.Running("sum", good.cast("bigint"))})
+    floor = F.when(F.col("_part") == 0, F.least(F.col("_sum"), F.lit(0))).otherwise(F.col("_sum"))  # every run begins at 0
+    rows = O.running(rows, ["host", "_part"], order, {"_low": O.Running("min", floor)})
+    rows = rows.withColumn("run_502", (F.col("_sum") - F.col("_low")).cast("int"))
+    rows = O.running(rows, ["host"], order, {"_most": O.Running("max", F.col("run_502"))})
+    return rows.select(*columns, "run_502", (F.col("_most") >= limit).alias("unhealthy"))
 
 
 def hourly_limit(events: DataFrame, keys: list[str], limit: int = ROLLBACKS_PER_HOUR, ts: str = "ts",

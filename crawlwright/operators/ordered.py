@@ -5,10 +5,12 @@ range-partitioned by key and order instead, so that a hot key is spread over
 many chunks of equal size. A scan (running sum, previous row, position) runs
 inside each chunk and is completed by a carry from the chunks before it; the
 carries are one small row per key and chunk.  A fold whose steps depend on
-each other (token bucket, cooldown) runs per chunk from a guessed entry state
-and repeats only the chunks whose guess was wrong.
+each other (cooldown) runs per chunk from a guessed entry state and repeats
+only the chunks whose guess was wrong; one that is cut into sessions (token
+bucket) sweeps over sorted rows.
 
-Inputs of at most ``rows_per_chunk`` rows, counted first, take the plain
+Rows with a place on a grid (:func:`on_grid`) are cut by it, at every size alike. Other
+inputs of at most ``rows_per_chunk`` rows, counted first, take the plain
 window or group: they fit one task whatever the keys look like.
 """
 
@@ -19,7 +21,10 @@ import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -162,6 +167,58 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, positions: Call
     return rows.groupBy(*keys).agg(*found.values())
 
 
+# ------------------------------------------------------------ grids and sweeps
+
+def on_grid(df: DataFrame, place: Column, cells: int) -> DataFrame:
+    """Chunks that follow from the rows alone: ``cells`` steps of an integer place on the order.
+
+    Nothing is counted or sampled, so every use of the rows sees the same chunks, however often a task runs again.
+    The place must not fall along the order; rows of a null place form the first chunk.
+    """
+    return df.withColumn(CHUNK, floored(place, cells))
+
+
+def floored(place: Column, step: int) -> Column:
+    """The whole number of steps at or below an integer place."""
+    place = place.cast("bigint")
+    step = F.lit(step).cast("bigint")
+    return F.call_function("div", place - F.pmod(place, step), step)
+
+
+Sweep = Callable[[dict, np.ndarray, object], tuple[list, object]]
+
+
+def swept(df: DataFrame, keys: list[str], order: list[str], columns: list[str], sweep: Sweep, outputs: str) -> DataFrame:
+    """Fold the rows of each key in order as one sorted stream per task.
+
+    Rows are dealt out by key and sorted, with spill, by key and order; batches
+    pass ``sweep(arrays of the columns, first rows of their keys, state)``, which returns the
+    output arrays and the state for the next batch. No key is ever held
+    together, so a long one costs time in its task but no memory.
+    """
+    base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    own = df.columns
+    places = [own.index(k) for k in keys]
+    names = [*own, *[x.split()[0] for x in outputs.split(",")]]
+
+    def scan(batches):
+        before, state = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fresh = np.zeros(batch.num_rows, bool)
+            for k in places:
+                code = pc.dictionary_encode(batch.column(k), null_encoding="encode").indices.to_numpy()
+                fresh[1:] |= code[1:] != code[:-1]
+            first = [batch.column(k)[0].as_py() for k in places]
+            fresh[0] = first != before
+            before = [batch.column(k)[batch.num_rows - 1].as_py() for k in places]
+            made, state = sweep({c: batch.column(own.index(c)) for c in columns}, fresh, state)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=names)
+    rows = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return rows.mapInArrow(scan, f"{base}, {outputs}")
+
+
 # --------------------------------------------------------------------- folds
 
 Step = Callable[[pd.DataFrame, dict], tuple[pd.DataFrame, dict]]

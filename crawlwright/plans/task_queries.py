@@ -413,15 +413,50 @@ def host_statistics(t: Tables):
             .withColumn("success_rate", F.round("success_rate", 6)))
 
 
-@query("W14", None)
+HOST_HEALTH_SQL = f"""
+WITH RECURSIVE {D.LOG_SQL},
+n AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY ts, seq) AS k FROM log),
+w AS (
+  SELECT host, k, seq, CASE WHEN status = 502 THEN 1 ELSE 0 END AS run, false AS bad FROM n WHERE k = 1
+  UNION ALL
+  SELECT n.host, n.k, n.seq, CASE WHEN n.status = 502 THEN w.run + 1 WHEN n.status BETWEEN 200 AND 299 THEN 0 ELSE greatest(w.run - 1, 0) END,
+    w.bad OR (n.status = 502 AND w.run + 1 >= 3)
+  FROM w JOIN n ON n.host = w.host AND n.k = w.k + 1)
+SELECT host, seq, CAST(run AS INTEGER) AS run_502, bad AS unhealthy FROM w"""
+
+
+@query("W14", HOST_HEALTH_SQL)
 def host_health(t: Tables):
-    """The 502 run of every host, a fold over its requests in order."""
+    """The 502 run of every host over its requests in order."""
     out = alerts.host_health(D.request_log(t))
     return out.select("host", "seq", "run_502", "unhealthy")
 
 
-@query("W13", None)
+def admission_sql(rows: str, key: str, rate: str, capacity: float) -> str:
+    """W13 request by request."""
+    return f"""
+WITH RECURSIVE r AS ({rows}), n AS (SELECT *, epoch_us(ts) AS us, row_number() OVER (PARTITION BY {key} ORDER BY ts, seq) AS k FROM r),
+w AS (
+  SELECT n.*, {capacity}::DOUBLE AS tokens FROM n WHERE k = 1
+  UNION ALL
+  SELECT n.*, least({capacity}::DOUBLE, w.tokens - CASE WHEN w.tokens >= w.need THEN w.need ELSE 0 END + (n.us - w.us) / 1e6 * ({rate})) AS tokens
+  FROM w JOIN n ON n.{key} = w.{key} AND n.k = w.k + 1)
+SELECT {key}, ts, seq, need, tokens >= need AS admitted, tokens - CASE WHEN tokens >= need THEN need ELSE 0 END AS tokens_left,
+  CASE WHEN tokens >= need THEN 0.0 ELSE (need - tokens) / ({rate}) END AS wait_seconds FROM w"""
+
+
+_REQUESTS = "SELECT event_type, ts, event_id AS seq, CAST(1 AS INTEGER) AS need FROM events"
+
+
+@query("W13", admission_sql(_REQUESTS, "event_type", "1::DOUBLE / 1200", 4.0))
 def rate_admission(t: Tables):
     """Token bucket per event type: one token every 20 minutes, four at most."""
     r = t.events.select("event_type", "ts", F.col("event_id").alias("seq"), F.lit(1).alias("need"))
     return alerts.token_bucket(r, ["event_type"], 1 / 1200, 4.0)
+
+
+@query("W13", admission_sql("""SELECT user_id, ts, event_id AS seq, CAST(1 + event_id % 3 AS BIGINT) AS need FROM events""", "user_id", "1::DOUBLE / 86400", 3.0))
+def user_admission(t: Tables):
+    """Token bucket per user: a token a day, three at most, one to three for an event; most pauses cut a session."""
+    r = t.events.select("user_id", "ts", F.col("event_id").alias("seq"), (1 + F.col("event_id") % 3).alias("need"))
+    return alerts.token_bucket(r, ["user_id"], 1 / 86400, 3.0)

@@ -81,11 +81,42 @@ def brute_bucket(rows, rate, cap):
     return out
 
 
-@pytest.mark.parametrize("per_chunk", [10_000, 80])
-def test_token_bucket(series, per_chunk):
+@pytest.mark.parametrize("rate, cap, cells", [(1 / 32, 2.0, 4096), (1 / 32, 2.0, 3), (1 / 1000, 4.0, 1), (2.0, 2.0, 7)])
+def test_token_bucket(series, rate, cap, cells):
     rows, df = series
-    got = A.token_bucket(df.withColumn("need", F.lit(1)), ["name"], 1 / 32, 2.0, rows_per_chunk=per_chunk)
-    assert as_dict(got, "admitted") == brute_bucket(rows, 1 / 32, 2.0)
+    got = A.token_bucket(df.withColumn("need", F.lit(1)), ["name"], rate, cap, cells=cells)
+    assert as_dict(got, "admitted") == brute_bucket(rows, rate, cap)
+    assert got.columns == ["name", "ts", "seq", "value", "need", "admitted", "tokens_left", "wait_seconds"]
+
+
+def test_sessions(spark):
+    """A key with most rows is cut into many sessions, of which none falls on both sides of a pause that may fill a bucket."""
+    rng, rows, at = random.Random(8), [], 0.0
+    for i in range(4_000):
+        at += rng.choice([0.2, 0.5, 1.0, 1.9, 2.5, 3.9, 4.1, 60.0])
+        rows.append(("hot" if i % 8 else f"k{i % 5}", START + dt.timedelta(seconds=at), i, 0.0))
+    df = spark.createDataFrame(rows, "name string, ts timestamp, seq bigint, value double")
+    found = A.sessions(df, ["name"], "ts", 2_000_001, cells=50).collect()
+    members = {}
+    for r in found:
+        members.setdefault((r["name"], r["_session"]), []).append(r["ts"])
+    hot = [m for (name, _), m in members.items() if name == "hot"]
+    assert len(hot) > 500 and max(map(len, hot)) < 100
+    spans = sorted((min(m), max(m)) for m in hot)
+    assert all((b - a).total_seconds() > 2 for (_, a), (b, _) in zip(spans, spans[1:]))
+    inside = [sorted(m) for m in hot]
+    assert all((b - a).total_seconds() < 4.1 for m in inside for a, b in zip(m, m[1:]))
+    assert as_dict(A.token_bucket(df.withColumn("need", F.lit(1)), ["name"], 0.5, 1.0), "admitted") == brute_bucket(rows, 0.5, 1.0)
+
+
+def test_token_bucket_cases(spark):
+    rows = [("a", None, 0, 1.0), ("a", None, 1, 1.0), ("a", None, 2, 1.0), ("a", START, 3, 2.0), ("a", START, 4, None), ("a", START, 5, 3.0),
+            (None, START, 6, 1.0), (None, START, 7, 2.0), ("a", START + dt.timedelta(days=9), 8, 2.0), (None, START, 9, 1.0)]
+    df = spark.createDataFrame(rows, "name string, ts timestamp, seq bigint, need double")
+    got = as_dict(A.token_bucket(df, ["name"], 1.0, 2.0), "admitted", "tokens_left", "wait_seconds")
+    assert got == {0: (True, 1.0, 0.0), 1: (True, 0.0, 0.0), 2: (False, 0.0, 1.0), 3: (True, 0.0, 0.0), 4: (False, 0.0, None), 5: (False, 0.0, 3.0),
+                   6: (True, 1.0, 0.0), 7: (False, 1.0, 1.0), 8: (True, 0.0, 0.0), 9: (True, 0.0, 0.0)}
+    assert A.token_bucket(df.limit(0), ["name"], 1.0, 2.0).count() == 0
 
 
 @pytest.mark.parametrize("per_chunk", [10_000, 80])
@@ -109,14 +140,40 @@ def test_breaches_and_cooldown(spark, series, per_chunk):
     assert as_dict(sent, "run", "alert") == want
 
 
-def test_host_health(spark):
+def brute_health(rows):
+    state, out = {}, {}
+    for host, _, seq, status in rows:
+        run, bad = state.get(host, (0, False))
+        run = run + 1 if status == 502 else 0 if status is not None and 200 <= status < 300 else max(0, run - 1)
+        state[host] = run, bad or run >= 3
+        out[seq] = state[host]
+    return out
+
+
+@pytest.mark.parametrize("seconds", [1, 7, 60, 10**6])
+def test_host_health(spark, seconds):
     codes = {"a": [502, 502, 200, 502, 502, 502], "b": [502, 502, 404, 502, 502]}
-    rows = [(h, START + dt.timedelta(seconds=i), i, s) for h, c in codes.items() for i, s in enumerate(c)]
+    rows = [(h, START + dt.timedelta(seconds=i), i + 10 * (h == "b"), s) for h, c in codes.items() for i, s in enumerate(c)]
+    rng = random.Random(seconds)
+    rows += [(rng.choice(["hot", "hot", "c", None]), START + dt.timedelta(seconds=i // 3), 100 + i, rng.choice([200, 204, 404, 502, 502, None, 300]))
+             for i in range(500)]
     df = spark.createDataFrame(rows, "host string, ts timestamp, seq bigint, status int")
-    for n in (1000, 3):
-        got = sorted((r["host"], r["seq"], r["run_502"], r["unhealthy"]) for r in A.host_health(df, rows_per_chunk=n).collect())
-        assert [g[2] for g in got if g[0] == "a"] == [1, 2, 0, 1, 2, 3] and got[5][3] and not got[4][3]
-        assert [g[2] for g in got if g[0] == "b"] == [1, 2, 1, 2, 3]
+    got = A.host_health(df, grid_micros=seconds * 1_000_000)
+    assert got.columns == ["host", "ts", "seq", "status", "run_502", "unhealthy"]
+    assert as_dict(got, "run_502", "unhealthy") == brute_health(rows)
+    assert as_dict(got.filter("host = 'a'"), "run_502") == {i: (r,) for i, r in enumerate([1, 2, 0, 1, 2, 3])}
+
+
+def test_no_python_and_no_job(spark, series):
+    """Building starts no job; the health fold has no Python in its plan."""
+    _, df = series
+    log = df.select(F.col("name").alias("host"), "ts", "seq", F.lit(502).alias("status"))
+    spark.sparkContext.setJobGroup("building", "building")
+    health, admitted = A.host_health(log), A.token_bucket(df.withColumn("need", F.lit(1)), ["name"])
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("building")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    plan = health._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Pandas", "Arrow")) and "Pandas" not in admitted._jdf.queryExecution().executedPlan().toString()
 
 
 def test_hourly_limit(spark):
