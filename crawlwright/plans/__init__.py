@@ -6,7 +6,7 @@ import importlib
 
 from .registry import QUERIES, Query
 
-MODULES = ("page_queries", "image_queries", "task_queries", "metric_queries")
+MODULES = ("page_queries", "image_queries", "task_queries", "metric_queries", "stream_queries")
 
 
 def all_queries() -> dict[str, Query]:

@@ -148,8 +148,11 @@ def top_error_types(t: Tables):
     return stats.top_error_types(D.reports(t), NOW, 72)
 
 
-@query("A9", f"""
-WITH {D.REPORTS_SQL} SELECT epoch_us(date_trunc('hour', ts)) AS start, level, count(*) AS n FROM reports GROUP BY ALL""")
+ERROR_TREND_SQL = f"""
+WITH {D.REPORTS_SQL} SELECT epoch_us(date_trunc('hour', ts)) AS start, level, count(*) AS n FROM reports GROUP BY ALL"""
+
+
+@query("A9", ERROR_TREND_SQL)
 def error_trend(t: Tables):
     return stats.error_trend(D.reports(t)).withColumn("start", F.unix_micros("start"))
 
@@ -238,7 +241,7 @@ isl AS (SELECT *, sum((severity = 'normal')::INT) OVER (PARTITION BY name ORDER
 runs AS (SELECT *, count(*) FILTER (severity <> 'normal') OVER (PARTITION BY name, island ORDER BY seq) AS run FROM isl)"""
 
 
-def _limits(t: Tables) -> DataFrame:
+def limits(t: Tables) -> DataFrame:
     return t.events.groupBy(F.col("event_type").alias("name")).agg(
         F.round(F.avg("value"), 2).alias("warning"), F.round(F.avg("value") * 2, 2).alias("critical"), F.lit(2).alias("consecutive_failures"))
 
@@ -246,7 +249,7 @@ def _limits(t: Tables) -> DataFrame:
 @query("W10 F35", f"""
 WITH {_RUNS_SQL} SELECT name, seq, severity, run, severity <> 'normal' AND run >= need AS fires FROM runs""")
 def alert_runs(t: Tables):
-    return alerts.breach_runs(D.samples(t), _limits(t)).select("name", "seq", "severity", "run", "fires")
+    return alerts.breach_runs(D.samples(t), limits(t)).select("name", "seq", "severity", "run", "fires")
 
 
 @query("J6", f"""
@@ -254,10 +257,10 @@ WITH {D.SAMPLES_SQL}, {_LIMITS_SQL}
 SELECT name, seq, coalesce(warning, 0.0) AS warning, coalesce(critical, 0.0) AS critical FROM samples LEFT JOIN (SELECT * FROM limits WHERE name <> 'view') USING (name)""")
 def sample_thresholds(t: Tables):
     """Limits of every sample's metric; one metric has none."""
-    return joins.with_thresholds(D.samples(t), _limits(t).filter("name <> 'view'")).select("name", "seq", "warning", "critical")
+    return joins.with_thresholds(D.samples(t), limits(t).filter("name <> 'view'")).select("name", "seq", "warning", "critical")
 
 
-@query("W10 W11 J5 F30", f"""
+ALERTS_SQL = f"""
 WITH RECURSIVE {_RUNS_SQL},
 f AS (SELECT *, epoch_us(ts) AS us, row_number() OVER (PARTITION BY name, island ORDER BY seq) AS k FROM runs WHERE severity <> 'normal' AND run >= need),
 walk AS (
@@ -265,19 +268,26 @@ walk AS (
   UNION ALL
   SELECT f.name, f.island, f.k, f.seq, f.value, f.severity, CASE WHEN f.us - w.last >= 3600000000 THEN f.us ELSE w.last END, f.us - w.last >= 3600000000
   FROM walk w JOIN f ON f.name = w.name AND f.island = w.island AND f.k = w.k + 1)
-SELECT name, seq, severity, CASE WHEN name = 'click' AND value > 100 THEN 'rollback' WHEN value > 60 THEN concat('notify_', name) ELSE '' END AS action_taken FROM walk WHERE alert""")
-def alert_events(t: Tables):
-    """Alerts with a cooldown of one hour and the action of the first rule that holds."""
-    runs = alerts.breach_runs(D.samples(t), _limits(t))
-    sent = alerts.cooldown(runs, cooldown_seconds=3600).filter("alert")
+SELECT name, seq, severity, CASE WHEN name = 'click' AND value > 100 THEN 'rollback' WHEN value > 60 THEN concat('notify_', name) ELSE '' END AS action_taken FROM walk WHERE alert"""
+
+
+def alert_rules(t: Tables) -> DataFrame:
+    """Three rules for every metric, the first of them disabled."""
     names = t.events.select(F.col("event_type").alias("metric_name")).distinct()
     rule = lambda pos, condition, threshold, action, enabled=True: F.struct(
         F.lit(pos).alias("pos"), F.lit(f"r{pos}").alias("rule_id"), F.lit(condition).alias("condition"), F.lit(threshold).alias("threshold"),
         action.alias("action"), F.lit(enabled).alias("enabled"))
-    rules = names.select("metric_name", F.inline(F.array(
+    return names.select("metric_name", F.inline(F.array(
         rule(0, ">", 0.0, F.lit("never"), False), rule(1, ">", 100.0, F.when(F.col("metric_name") == "click", "rollback").otherwise(F.concat(F.lit("notify_"), "metric_name"))),
         rule(2, ">", 60.0, F.concat(F.lit("notify_"), "metric_name")))))
-    out = alerts.first_matching_rule(alerts.as_events(sent), rules)
+
+
+@query("W10 W11 J5 F30", ALERTS_SQL)
+def alert_events(t: Tables):
+    """Alerts with a cooldown of one hour and the action of the first rule that holds."""
+    runs = alerts.breach_runs(D.samples(t), limits(t))
+    sent = alerts.cooldown(runs, cooldown_seconds=3600).filter("alert")
+    out = alerts.first_matching_rule(alerts.as_events(sent), alert_rules(t))
     return out.select("name", "seq", "severity", "action_taken")
 
 
@@ -296,7 +306,7 @@ FROM l JOIN limits USING (name), (VALUES ('soft_limit'), ('hard_limit')) AS k(ki
 def limit_alerts(t: Tables):
     name = F.concat("name", F.lit("_"), F.col("user_id").cast("string"))
     s = D.samples(t)
-    limits = s.select("name", "user_id").distinct().join(_limits(t), "name").select(
+    limits = s.select("name", "user_id").distinct().join(limits(t), "name").select(
         name.alias("name"), F.col("warning").alias("soft_limit"), F.col("critical").alias("hard_limit"), F.lit(True).alias("enabled"))
     return alerts.limit_alerts(s.withColumn("name", name), limits).select("name", "value", "alert_type", "threshold_value")
 
@@ -306,7 +316,7 @@ WITH {D.SAMPLES_SQL}, {_LIMITS_SQL}
 SELECT name, seq, 'max' AS kind FROM samples JOIN limits USING (name) WHERE value > critical
 UNION ALL SELECT name, seq, 'min' FROM samples JOIN limits USING (name) WHERE value < round(warning / 10, 2)""")
 def bound_alerts(t: Tables):
-    lim = _limits(t)
+    lim = limits(t)
     bounds = lim.select("name", F.inline(F.array(
         F.struct(F.lit("max").alias("kind"), F.col("critical").alias("threshold")),
         F.struct(F.lit("min").alias("kind"), F.round(F.col("warning") / 10, 2).alias("threshold")))))
@@ -318,7 +328,7 @@ WITH {_LIMITS_SQL}, r AS (SELECT event_type AS name, event_id, value AS current,
 SELECT event_id, name = 'view' OR current + required <= critical AS available, CASE WHEN name = 'view' THEN 'inf' ELSE CAST(round(greatest(0, critical - current), 2) >= 50 AS VARCHAR) END AS room
 FROM r JOIN limits USING (name)""")
 def capacity_check(t: Tables):
-    lim = _limits(t).filter("name <> 'view'").select("name", F.col("critical").alias("max_value"), F.lit(True).alias("enabled"))
+    lim = limits(t).filter("name <> 'view'").select("name", F.col("critical").alias("max_value"), F.lit(True).alias("enabled"))
     r = t.events.select(F.col("event_type").alias("name"), "event_id", F.col("value").alias("current"), F.col("user_id").cast("double").alias("required"))
     room = F.when(F.col("headroom") == float("inf"), "inf").otherwise((F.round("headroom", 2) >= 50).cast("string"))
     return alerts.capacity_check(r, lim).select("event_id", "available", room.alias("room"))
@@ -330,7 +340,7 @@ health AS (SELECT ts, max(r) AS r, count(*) FILTER (r >= 2) AS alerts FROM st GR
 
 
 def _health(t: Tables) -> DataFrame:
-    lim = _limits(t).withColumn("critical", F.when(F.col("name") != "view", F.col("critical")))
+    lim = limits(t).withColumn("critical", F.when(F.col("name") != "view", F.col("critical")))
     rows = D.samples(t).join(lim, "name")
     return stats.health_rollup(rows.select(F.date_trunc("hour", "ts").alias("ts"), P.threshold_status("value", "warning", "critical").alias("status")))
 
@@ -365,9 +375,12 @@ def load_status(t: Tables):
 
 # -------------------------------------------------------------------- progress
 
-@query("W4", f"""
+DOWNLOAD_SPEED_SQL = f"""
 WITH {D.PROGRESS_SQL}
-SELECT url, seq, round(coalesce((downloaded - lag(downloaded) OVER w) / ((epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6), 0), 6) AS speed FROM progress WINDOW w AS (PARTITION BY url ORDER BY ts, seq)""")
+SELECT url, seq, round(coalesce((downloaded - lag(downloaded) OVER w) / ((epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6), 0), 6) AS speed FROM progress WINDOW w AS (PARTITION BY url ORDER BY ts, seq)"""
+
+
+@query("W4", DOWNLOAD_SPEED_SQL)
 def download_speed(t: Tables):
     return stats.with_speed(D.progress(t)).select("url", "seq", F.round("speed", 6).alias("speed"))
 

@@ -448,7 +448,10 @@ SELECT {key}, ts, seq, need, tokens >= need AS admitted, tokens - CASE WHEN toke
 _REQUESTS = "SELECT event_type, ts, event_id AS seq, CAST(1 AS INTEGER) AS need FROM events"
 
 
-@query("W13", admission_sql(_REQUESTS, "event_type", "1::DOUBLE / 1200", 4.0))
+RATE_ADMISSION_SQL = admission_sql(_REQUESTS, "event_type", "1::DOUBLE / 1200", 4.0)
+
+
+@query("W13", RATE_ADMISSION_SQL)
 def rate_admission(t: Tables):
     """Token bucket per event type: one token every 20 minutes, four at most."""
     r = t.events.select("event_type", "ts", F.col("event_id").alias("seq"), F.lit(1).alias("need"))

@@ -74,10 +74,10 @@ def breach_step(cooldown_seconds: float = A.COOLDOWN_SECONDS):
 
 
 def alert_stream(samples: DataFrame, thresholds: DataFrame, rules: DataFrame, order: list[str] = ("ts", "seq"),
-                 lateness: str = LATENESS) -> DataFrame:
+                 lateness: str = LATENESS, cooldown_seconds: float = A.COOLDOWN_SECONDS) -> DataFrame:
     """Alerts with the action of the first rule that holds."""
     rows = A.classify(samples, thresholds)
-    runs = stateful(rows, ["name"], list(order), breach_step(), {"run": 0, "last": None}, "run bigint, last bigint",
+    runs = stateful(rows, ["name"], list(order), breach_step(cooldown_seconds), {"run": 0, "last": None}, "run bigint, last bigint",
                     "run bigint, alert boolean", lateness)
     return A.first_matching_rule(A.as_events(runs.filter("alert")), rules)
 
@@ -118,9 +118,10 @@ def rate_limit_stream(requests: DataFrame, keys: list[str], rate: float = 10.0,
 
 
 def host_health_stream(log: DataFrame, order: list[str] = ("ts", "seq"), lateness: str = LATENESS) -> DataFrame:
-    """502 run and protection state per host."""
-    return stateful(log, ["host"], list(order), A.health_step(), {"run": 0, "unhealthy": False},
-                    "run int, unhealthy boolean", "run_502 int, unhealthy boolean", lateness)
+    """502 run and protection state per host; a host whose run is 0 again and that was never unhealthy needs no state."""
+    start = {"run": 0, "unhealthy": False}
+    return stateful(log, ["host"], list(order), A.health_step(), start, "run int, unhealthy boolean",
+                    "run_502 int, unhealthy boolean", lateness, final=lambda state: state == start)
 
 
 def progress_step():
@@ -190,7 +191,3 @@ def callbacks(*functions: Callable[[DataFrame, int], None], log: Callable[[str],
             batch.unpersist()
     return run
 
-
-def limited(stream: DataFrame, limits: DataFrame, key: str = "name") -> DataFrame:
-    """Stream-static join with a small limit table."""
-    return stream.join(limits, key, "left")
