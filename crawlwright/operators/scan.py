@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
@@ -81,48 +81,60 @@ def category_title(category: str) -> str:
     return category.replace("_", " ").title()
 
 
-def _matches(text: Column, pattern: str) -> Column:
-    """Line number of every match, in order, from the text that lies before it."""
-    p = F.lit(f"(?imd){pattern}")
-    between = F.split(text, f"(?imd){pattern}")
-    hits = F.regexp_extract_all(text, p, F.lit(0))
-    breaks = lambda s: F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
-    before = F.transform(F.slice(between, F.lit(1), F.size(hits)), lambda s, i: F.struct(
-        breaks(s).alias("n"), breaks(F.get(hits, i)).alias("own")))
-    start = F.struct(F.lit(1).alias("line"), F.array().cast("array<int>").alias("found"))
-    folded = F.aggregate(before, start, lambda acc, b: F.struct(
-        (acc["line"] + b["n"] + b["own"]).alias("line"),
-        F.concat(acc["found"], F.array(acc["line"] + b["n"])).alias("found")))
-    return folded["found"]
+def _sql(text: str) -> str:
+    """A SQL string of exactly this text."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+_PART = "struct<size:int,back:int,line:string>"
+
+
+def _events(text: str) -> str:
+    """SQL array of a text's lines and of its matches per pattern, as lengths in order.
+
+    ``size`` is how far each leads on from the one before, ``back`` how long it is itself.
+    A text that no pattern matches has none.
+    """
+    found, regexes = [], [f"(?imd){pattern}" for patterns in PATTERNS.values() for pattern, _, _ in patterns]
+    for at, regex in enumerate(map(_sql, regexes)):
+        parts = (f"zip_with(split({text}, {regex}, -1), regexp_extract_all({text}, {regex}, 0), (gap, hit) -> named_struct("
+                 "'size', length(gap) + coalesce(length(hit), 0), 'back', length(hit), 'line', CAST(NULL AS STRING)))")
+        found.append(f"CASE WHEN {text} RLIKE {regex} THEN named_struct('stream', {at}, 'parts', CAST({parts} AS array<{_PART}>)) END")
+    lines = (f"named_struct('stream', -1, 'parts', CAST(transform(split({text}, '\\n', -1), line -> named_struct("
+             f"'size', length(line) + 1, 'back', length(line) + 1, 'line', line)) AS array<{_PART}>))")
+    some = " OR ".join(f"{text} RLIKE {_sql(r)}" for r in regexes)
+    return f"CASE WHEN {some} THEN array_compact(array({lines}, {', '.join(found)})) END"
 
 
 def scan_texts(texts: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """One row per match of 24 patterns, with its line, level, advice and weakness id.
 
-    The patterns are literals of one projection, so a text is read once and
-    never joined or shuffled; a cheap test comes before the match positions.
+    The patterns are literals of one projection, so a text is read once. Of
+    texts with a match, lines and matches are exploded as lengths; running sums give
+    their places, and one pass over both in order gives every match the line it
+    begins in, so a text with very many matches costs a sort. Texts without
+    a match are not shuffled.
     """
-    found = []
-    at = 0
-    for category, patterns in PATTERNS.items():
-        for pattern, finding, level in patterns:
-            hit = F.struct(
-                F.lit(at).alias("pattern_no"), F.lit(category).alias("category"), F.lit(pattern).alias("pattern"),
-                F.lit(f"{category_title(category)}: {finding}").alias("title"), F.lit(finding).alias("finding"),
-                F.lit(level).alias("level"), F.lit(ADVICE[category]).alias("recommendation"),
-                F.lit(CWE[category]).alias("cwe_id"), _matches(F.col(text), pattern).alias("lines"))
-            found.append(F.when(F.col(text).rlike(f"(?imd){pattern}"), hit))
-            at += 1
-    rows = computed(texts, _hits=F.array_compact(F.array(*found))).select("*", F.inline("_hits")).drop("_hits")
-    rows = rows.select("*", F.posexplode("lines").alias("match_no", "line_number"))
-    line = F.get(F.split(F.col(text), "\n"), F.col("line_number") - 1)
+    rows = texts.select(F.monotonically_increasing_id().alias("_row"), F.col(path).alias("_path"), F.expr(_events(f"`{text}`")).alias("_events"))
+    parts = rows.select("_row", "_path", F.inline("_events")).select("_row", "_path", "stream", F.posexplode("parts").alias("match_no", "part"))
+    parts = parts.select("_row", "_path", "stream", "match_no", "part.*").repartition("_row")
+    upto = Window.partitionBy("_row", "stream").orderBy("match_no").rowsBetween(Window.unboundedPreceding, 0)
+    placed = parts.withColumn("_start", F.sum(F.col("size").cast("bigint")).over(upto) - F.col("back")).filter("back IS NOT NULL")
+    merged = Window.partitionBy("_row").orderBy("_start", "stream").rowsBetween(Window.unboundedPreceding, 0)
+    hits = placed.select("*", F.count("line").over(merged).cast("int").alias("line_number"), F.last("line", True).over(merged).alias("_line"))
+    known = [f"named_struct('category', {_sql(c)}, 'pattern', {_sql(p)}, 'title', {_sql(f'{category_title(c)}: {finding}')}, 'finding', {_sql(finding)}, "
+             f"'level', {_sql(level)}, 'recommendation', {_sql(ADVICE[c])}, 'cwe_id', {_sql(CWE[c])})"
+             for c, patterns in PATTERNS.items() for p, finding, level in patterns]
+    hits = hits.filter("stream >= 0").select(
+        F.col("_path").alias(path), F.col("stream").alias("pattern_no"), "match_no", "line_number", "_line",
+        F.expr(f"inline(array(array({', '.join(known)})[stream]))"))
     seed = F.concat_ws("_", F.col(path).cast("string"), F.col("line_number").cast("string"), "pattern")
-    return rows.select(
+    return hits.select(
         F.concat(F.col("category"), F.lit("_"), F.substr(F.md5(seed), F.lit(1), F.lit(8))).alias("issue_id"),
         F.col(path), "category", "title",
         F.format_string("在文件 %s 第 %s 行发现 %s", F.col(path).cast("string"), F.col("line_number").cast("string"),
                         F.col("finding")).alias("description"),
-        "level", "line_number", U.strip(line).alias("code_snippet"), "recommendation", "cwe_id",
+        "level", "line_number", U.strip(F.col("_line")).alias("code_snippet"), "recommendation", "cwe_id",
         "pattern_no", "match_no")
 
 
