@@ -121,7 +121,7 @@ def _rows_at_once(visits: int, most: int) -> int:
 
 
 def _usable(vector: Column) -> Column:
-    return (F.size(vector) > 1) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(
+    return (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(
         vector, lambda x: x != 0)
 
 
@@ -159,6 +159,8 @@ def links(classes: DataFrame, threshold: float) -> DataFrame:
     found = []
     sizes = classes.groupBy(F.size("vector").alias("dim")).count().collect()  # as many as vectors have lengths
     for dim, n in sizes:
+        if dim == 1:  # vectors of one component and one sign are one class, and the two signs link with nothing
+            continue
         own = classes.where(F.size("vector") == dim)
         rows = own.select("vector", "rep").orderBy(F.xxhash64("rep"), "rep").limit(
             max(100, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * dim)))).toArrow()  # bounded
@@ -184,7 +186,10 @@ def links(classes: DataFrame, threshold: float) -> DataFrame:
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding",
                     label_col: str = "label") -> DataFrame:
     """``id_col``, ``n_links`` (other vectors linked directly), ``component_id`` (smallest id in reach) and ``kept`` of every row."""
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("vector"))
+    vector = F.col(vector_col)
+    sign = F.transform(vector, lambda x: F.signum(x)).cast(vectors.schema[vector_col].dataType)
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.when(
+        (F.size(vector) == 1) & _usable(vector), sign).otherwise(vector).alias("vector"))
     usable = rows.where(F.col("id").isNotNull() & F.col("label").isNotNull() & _usable(F.col("vector")))
     classes = stored(usable.groupBy("label", "vector").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
     pairs = stored(links(classes, threshold), "links")

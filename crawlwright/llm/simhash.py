@@ -142,4 +142,5 @@ def deduplicated(docs: DataFrame, shingle: int = 3, distance: int = 3, id_col: s
     of_row = stored(fingerprints(docs, shingle, id_col, text_col, digest.alias("digest")).toDF("id", "fingerprint", "digest"),
                     "fingerprints")
     gone = stored(_components(of_row, distance).where("id != component_id").select("id", "digest").distinct(), "duplicates")
-    return docs.join(gone, (docs[id_col] == gone["id"]) & (digest == gone["digest"]), "left_anti").select(docs.columns)
+    # texts meet what goes in one sorted exchange at every size, however few rows go
+    return docs.join(gone.hint("merge"), (docs[id_col] == gone["id"]) & (digest == gone["digest"]), "left_anti").select(docs.columns)

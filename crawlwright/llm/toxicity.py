@@ -25,6 +25,7 @@ and a clean label every score is 0. Other columns are not read.
 
 from __future__ import annotations
 
+import bisect
 import math
 import unicodedata
 import zlib
@@ -127,9 +128,15 @@ def features(text: str | None, automaton: ahocorasick.Automaton) -> tuple[float,
             harmless.append((start, end))
         else:
             best[start] = max(weight, best.get(start, 0.0))
-    for start, end in harmless:
-        for at in [x for x in best if start <= x < end]:
-            del best[at]
+    if harmless:
+        merged: list[list[int]] = []
+        for start, end in sorted(harmless):
+            if merged and start <= merged[-1][1]:
+                merged[-1][1] = max(end, merged[-1][1])
+            else:
+                merged.append([start, end])
+        begins = [start for start, _ in merged]
+        best = {at: w for at, w in best.items() if at < begins[0] or at >= merged[bisect.bisect_right(begins, at) - 1][1]}
     total = sum(best.values())
     return math.log1p(total), 100 * total / (len(words) + _SMOOTH)
 

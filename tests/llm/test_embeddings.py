@@ -10,7 +10,7 @@ FOLDER = "/root/testdata/sf0.01"
 
 def brute(rows, threshold=0.98):
     def usable(v):
-        return bool(v) and len(v) > 1 and all(x is not None and np.isfinite(x) for x in v) and any(v)
+        return bool(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)
 
     def linked(a, b):
         (_, v, m), (_, w, n) = rows[a], rows[b]
@@ -90,7 +90,8 @@ def test_cases(spark):
     rows = [(7, base[0], 1), (3, base[0], 1), (9, near[0], 1), (2, near[0], 2), (4, base[0], None), (5, None, 1), (6, [], 1), (1, [0.0] * 6, 1),
             (8, [1.0, None] + [0.0] * 4, 1), (10, [float("nan")] + [1.0] * 5, 1), (11, [float("inf")] + [1.0] * 5, 1),
             (12, (np.array(base[1]) * 1e-200).tolist(), 1), (13, (np.array(base[1]) * 1e200).tolist(), 1), (14, base[2][:4], 1),
-            (15, base[2], 1), (16, near[2], 1), (16, near[2], 1)]
+            (15, base[2], 1), (16, near[2], 1), (16, near[2], 1), (17, [2.0], 1), (18, [3.0], 1), (19, [-1.0], 1), (20, [5.0], 2),
+            (21, [float("inf")], 1), (22, [0.0], 1), (23, [-7.0], 1), (24, [None], 1)]
     frame = spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<double>, label int, rep int")
     clear = [(i, None if i in (12, 13) else v, n) for i, v, n in rows]  # norms of these two overflow in the brute force
     want = [r for r in brute(clear) if r[0] not in (12, 13)]
