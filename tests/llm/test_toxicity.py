@@ -50,15 +50,15 @@ def test_cases(spark):
 
 def test_exceptions():
     """Entries inside any harmless phrase don't count, wherever phrases overlap or touch; the cost follows the matches."""
-    model = toxicity.Model(((" trash ", 1.0), (" can", 2.0), (" pile ", 4.0)), ("trash can", "can trash", "pile trash can"), 0.0, (1.0, 0.0))
+    model = toxicity.Model(((" trash ", 1.0), (" can", 2.0), (" dump ", 4.0)), ("trash can", "can trash", "dump trash can"), 0.0, (1.0, 0.0))
 
     def total(text):
         return round(math.expm1(toxicity.features(text, model.automaton())[0]), 6)
-    assert [total(x) for x in ("trash", "trash can", "trash can trash", "trash pile", "x trash can pile", "pile trash can pile", "can", "cannot trash canoe")] == [
+    assert [total(x) for x in ("trash", "trash can", "trash can trash", "trash dump", "x trash can dump", "dump trash can dump", "can", "cannot trash canoe")] == [
         1, 0, 0, 5, 4, 4, 2, 5]
 
     def seconds(n):
         start = time.perf_counter()
-        toxicity.features("trash can trash pile " * n, model.automaton())
+        toxicity.features("trash can trash dump " * n, model.automaton())
         return time.perf_counter() - start
     assert seconds(80_000) < 4 * min(seconds(40_000) for _ in range(3)) + 0.2
