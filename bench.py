@@ -15,7 +15,8 @@ HEADLINE = [
     "link_inventory", "curated_domains", "page_info", "crawl_report", "subpages", "content_images", "all_images",
     "image_filter_reasons", "image_dedupe", "existing_antijoin", "directory_statistics", "text_risk", "secret_scan",
     "metric_statistics", "running_totals", "alert_runs", "alert_events", "hourly_limit", "rate_admission",
-    "download_statistics", "image_status_counts", "task_log", "host_statistics", "error_trend",
+    "download_statistics", "image_status_counts", "task_log", "host_statistics", "error_trend", "host_health", "user_admission",
+    "scan_summary", "fuzzy_tasks",
 ]
 
 
