@@ -241,7 +241,7 @@ isl AS (SELECT *, sum((severity = 'normal')::INT) OVER (PARTITION BY name ORDER
 runs AS (SELECT *, count(*) FILTER (severity <> 'normal') OVER (PARTITION BY name, island ORDER BY seq) AS run FROM isl)"""
 
 
-def limits(t: Tables) -> DataFrame:
+def metric_limits(t: Tables) -> DataFrame:
     return t.events.groupBy(F.col("event_type").alias("name")).agg(
         F.round(F.avg("value"), 2).alias("warning"), F.round(F.avg("value") * 2, 2).alias("critical"), F.lit(2).alias("consecutive_failures"))
 
@@ -249,7 +249,7 @@ def limits(t: Tables) -> DataFrame:
 @query("W10 F35", f"""
 WITH {_RUNS_SQL} SELECT name, seq, severity, run, severity <> 'normal' AND run >= need AS fires FROM runs""")
 def alert_runs(t: Tables):
-    return alerts.breach_runs(D.samples(t), limits(t)).select("name", "seq", "severity", "run", "fires")
+    return alerts.breach_runs(D.samples(t), metric_limits(t)).select("name", "seq", "severity", "run", "fires")
 
 
 @query("J6", f"""
@@ -257,7 +257,7 @@ WITH {D.SAMPLES_SQL}, {_LIMITS_SQL}
 SELECT name, seq, coalesce(warning, 0.0) AS warning, coalesce(critical, 0.0) AS critical FROM samples LEFT JOIN (SELECT * FROM limits WHERE name <> 'view') USING (name)""")
 def sample_thresholds(t: Tables):
     """Limits of every sample's metric; one metric has none."""
-    return joins.with_thresholds(D.samples(t), limits(t).filter("name <> 'view'")).select("name", "seq", "warning", "critical")
+    return joins.with_thresholds(D.samples(t), metric_limits(t).filter("name <> 'view'")).select("name", "seq", "warning", "critical")
 
 
 ALERTS_SQL = f"""
@@ -285,7 +285,7 @@ def alert_rules(t: Tables) -> DataFrame:
 @query("W10 W11 J5 F30", ALERTS_SQL)
 def alert_events(t: Tables):
     """Alerts with a cooldown of one hour and the action of the first rule that holds."""
-    runs = alerts.breach_runs(D.samples(t), limits(t))
+    runs = alerts.breach_runs(D.samples(t), metric_limits(t))
     sent = alerts.cooldown(runs, cooldown_seconds=3600).filter("alert")
     out = alerts.first_matching_rule(alerts.as_events(sent), alert_rules(t))
     return out.select("name", "seq", "severity", "action_taken")
@@ -306,7 +306,7 @@ FROM l JOIN limits USING (name), (VALUES ('soft_limit'), ('hard_limit')) AS k(ki
 def limit_alerts(t: Tables):
     name = F.concat("name", F.lit("_"), F.col("user_id").cast("string"))
     s = D.samples(t)
-    limits = s.select("name", "user_id").distinct().join(limits(t), "name").select(
+    limits = s.select("name", "user_id").distinct().join(metric_limits(t), "name").select(
         name.alias("name"), F.col("warning").alias("soft_limit"), F.col("critical").alias("hard_limit"), F.lit(True).alias("enabled"))
     return alerts.limit_alerts(s.withColumn("name", name), limits).select("name", "value", "alert_type", "threshold_value")
 
@@ -316,7 +316,7 @@ WITH {D.SAMPLES_SQL}, {_LIMITS_SQL}
 SELECT name, seq, 'max' AS kind FROM samples JOIN limits USING (name) WHERE value > critical
 UNION ALL SELECT name, seq, 'min' FROM samples JOIN limits USING (name) WHERE value < round(warning / 10, 2)""")
 def bound_alerts(t: Tables):
-    lim = limits(t)
+    lim = metric_limits(t)
     bounds = lim.select("name", F.inline(F.array(
         F.struct(F.lit("max").alias("kind"), F.col("critical").alias("threshold")),
         F.struct(F.lit("min").alias("kind"), F.round(F.col("warning") / 10, 2).alias("threshold")))))
@@ -328,7 +328,7 @@ WITH {_LIMITS_SQL}, r AS (SELECT event_type AS name, event_id, value AS current,
 SELECT event_id, name = 'view' OR current + required <= critical AS available, CASE WHEN name = 'view' THEN 'inf' ELSE CAST(round(greatest(0, critical - current), 2) >= 50 AS VARCHAR) END AS room
 FROM r JOIN limits USING (name)""")
 def capacity_check(t: Tables):
-    lim = limits(t).filter("name <> 'view'").select("name", F.col("critical").alias("max_value"), F.lit(True).alias("enabled"))
+    lim = metric_limits(t).filter("name <> 'view'").select("name", F.col("critical").alias("max_value"), F.lit(True).alias("enabled"))
     r = t.events.select(F.col("event_type").alias("name"), "event_id", F.col("value").alias("current"), F.col("user_id").cast("double").alias("required"))
     room = F.when(F.col("headroom") == float("inf"), "inf").otherwise((F.round("headroom", 2) >= 50).cast("string"))
     return alerts.capacity_check(r, lim).select("event_id", "available", room.alias("room"))
@@ -340,7 +340,7 @@ health AS (SELECT ts, max(r) AS r, count(*) FILTER (r >= 2) AS alerts FROM st GR
 
 
 def _health(t: Tables) -> DataFrame:
-    lim = limits(t).withColumn("critical", F.when(F.col("name") != "view", F.col("critical")))
+    lim = metric_limits(t).withColumn("critical", F.when(F.col("name") != "view", F.col("critical")))
     rows = D.samples(t).join(lim, "name")
     return stats.health_rollup(rows.select(F.date_trunc("hour", "ts").alias("ts"), P.threshold_status("value", "warning", "critical").alias("status")))
 

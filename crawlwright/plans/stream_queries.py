@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..streaming import sinks, streams
 from . import derived as D
-from .metric_queries import ALERTS_SQL, DOWNLOAD_SPEED_SQL, ERROR_TREND_SQL, alert_rules, limits
+from .metric_queries import ALERTS_SQL, DOWNLOAD_SPEED_SQL, ERROR_TREND_SQL, alert_rules, metric_limits
 from .registry import Tables, query
 from .task_queries import HOST_HEALTH_SQL, RATE_ADMISSION_SQL
 
@@ -30,7 +30,7 @@ def _streams(t: Tables) -> Streams:
 @query("R1", ALERTS_SQL)
 def alert_stream(t: Tables):
     """Alerts with a cooldown of one hour and the action of the first rule that holds."""
-    found = streams.alert_stream(D.samples(_streams(t)), limits(t), alert_rules(t), cooldown_seconds=3600)
+    found = streams.alert_stream(D.samples(_streams(t)), metric_limits(t), alert_rules(t), cooldown_seconds=3600)
     return sinks.drained(found.select("name", "seq", "severity", "action_taken")).drop(sinks.EPOCH)
 
 
