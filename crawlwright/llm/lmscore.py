@@ -1,11 +1,13 @@
 """Language-model scores with stupid backoff, from count tables over the whole corpus.
 
 Texts are cut into words and kept in blocks of some megabytes. The n-grams of
-each block, each once with its count there, are the exploded side; their sums
-over all blocks are the count table, partitioned by the n-gram's hash like the
-exploded side and joined to it. A block gets back the totals that differ from
-its own counts, scores its documents and sums them up. However often an
-n-gram occurs, it is one row per block, so frequent words are no hot keys.
+each block, each once with its count there, are the exploded side. It is
+partitioned by ranges of the n-gram's hash, its buckets, and travels there as
+one array per block and bucket. Exploded in its bucket, every n-gram meets its
+sum over all blocks, the count table, in one sorted pass. A block gets back
+the totals alone, in the order of its own distinct n-grams, scores its
+documents and sums them up. However often an n-gram occurs, it is one row per
+block, so frequent words are no hot keys.
 
 A document is scored against all other documents: its own counts are taken
 off. A word with ``c`` of its n-gram and ``C`` of the context before it scores
@@ -16,7 +18,9 @@ and half a count where it has none.
 Edge cases: words are those of the decontamination operator; a text without
 words (null, empty, signs only) has 0 words and the score 0; repeated rows are
 documents of their own; a corpus of one document has no counts but its halves;
-an empty table gives no rows; other columns are not read.
+a very long text is a block of its own; many empty texts are cut into blocks by
+their number; an empty table gives no rows; other columns are not read. Words
+and n-grams are told apart by 64-bit hashes, which are not checked.
 """
 
 from __future__ import annotations
@@ -26,9 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,8 +43,11 @@ from .storage import stored
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 32 << 20
+#: Texts in a block at most, be they empty.
+BLOCK_ROWS = 1_000_000
+#: N-grams of all blocks in a bucket, about.
+BUCKET_GRAMS = 500_000
 BACKOFF = 0.4
-_ROWS = 100_000
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -77,7 +85,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 sizes.append(np.bincount(run.text, minlength=last - first).astype(np.int64))
                 hashes.append(run.hashes)
                 size += int(offsets[last] - offsets[first])
-                if size >= BLOCK_BYTES:
+                if size >= BLOCK_BYTES or len(ids) >= BLOCK_ROWS:
                     yield row()
                     block, ids, sizes, hashes, size = block + 1, [], [], [], 0
         if ids:
@@ -100,14 +108,14 @@ class _Block:
         grams = textbytes.mixed(textbytes.window_hashes(self.hashes, n) + np.uint64(n))
         return (np.flatnonzero(inside) + n - 1).astype(np.int32), grams[inside]
 
-    def scores(self, known: np.ndarray, totals: np.ndarray, corpus: int, backoff: float) -> np.ndarray:
-        """The summed logarithms of each text; ``known`` are n-grams in order whose ``totals`` differ from the block's counts."""
+    def scores(self, totals: dict[int, np.ndarray], corpus: int, backoff: float) -> np.ndarray:
+        """The summed logarithms of each text; ``totals`` are of the distinct n-grams of each length, in their order."""
         size, order = len(self.hashes), self.order
         place = np.arange(size) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
         steps = np.minimum(place, order - 1).astype(np.int32)  # words of context there could be
         out = shorter = np.zeros(0)
         for n in range(1, order + 1):
-            count = self._others(n, known, totals)
+            count = self._others(n, totals.get(n, np.zeros(0)))
             if n == 1:
                 others = np.maximum(corpus - self.sizes, 1)
                 out = np.log(np.maximum(count, 0.5) / others[self.text]) + steps * math.log(backoff)
@@ -117,20 +125,16 @@ class _Block:
             shorter = count
         return np.bincount(self.text, weights=out, minlength=len(self.sizes)).astype(np.float64)
 
-
-    def _others(self, n: int, known: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    def _others(self, n: int, totals: np.ndarray) -> np.ndarray:
         """How often the n-gram that ends at each word stands in other texts; 0 where there is none."""
         ends, grams = self.grams(n)
         count = np.zeros(len(self.hashes))
         if len(grams):
-            distinct, which, own = np.unique(grams, return_inverse=True, return_counts=True)
-            del grams
-            total = own.astype(np.float64)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, distinct), len(known) - 1)
-                there = known[at] == distinct
-                total[there] = totals[at[there]]
-            count[ends] = total[which]
+            distinct, which = np.unique(grams, return_inverse=True)
+            if len(distinct) != len(totals):
+                raise ValueError(f"{len(totals)} totals for {len(distinct)} n-grams of {n} words")
+            del grams, distinct
+            count[ends] = totals[which]
             which *= len(self.sizes)
             which += self.text[ends]
             _, pair, here = np.unique(which, return_inverse=True, return_counts=True)
@@ -138,11 +142,46 @@ class _Block:
         return count
 
 
+def _bucket(grams: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each hash; the order of hashes is the order of buckets."""
+    return ((grams >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _answers(batches: Iterator[pa.RecordBatch], least: int = BUCKET_GRAMS) -> Iterator[pa.RecordBatch]:
+    """Whole buckets of ``least`` rows or more to one row of each block and length: first bucket, totals in the order of hashes."""
+    names = ["bucket", "block", "length", "gram", "total"]
+
+    def row(rows: list[np.ndarray]) -> pa.RecordBatch:
+        bucket, block, length, gram, total = rows
+        order = np.lexsort((gram.view(np.uint64), length, block))
+        block, length = block[order], length[order]
+        first = np.flatnonzero(np.concatenate(([True], (np.diff(block) != 0) | (np.diff(length) != 0))))
+        return pa.RecordBatch.from_arrays([
+            pa.array(block[first]), pa.array(bucket[order][first]), pa.array(length[first]),
+            pa.array([_pack(x) for x in np.split(total[order], first[1:])], pa.binary())], names=["block", "bucket", "length", "totals"])
+    kept, size, open_bucket = [], 0, None
+    for batch in batches:
+        new = [batch.column(name).to_numpy(zero_copy_only=False) for name in names]
+        if not len(new[0]):
+            continue
+        if size >= least and new[0][-1] != open_bucket:  # a bucket ends in this batch
+            cut = int(np.searchsorted(new[0], new[0][-1]))
+            yield row([np.concatenate([*x, y[:cut]]) for x, y in zip(zip(*kept), new)])
+            kept, size, new = [], 0, [y[cut:] for y in new]
+        kept.append([y.copy() for y in new])
+        size, open_bucket = size + len(new[0]), new[0][-1]
+    if kept:
+        yield row([np.concatenate(x) for x in zip(*kept)])
+
+
 def scored(docs: DataFrame, order: int = 2, backoff: float = BACKOFF, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``n_words``, ``log_score`` (natural logarithm, summed) and ``mean_log_score`` of every row."""
     blocks = stored(_blocks(docs, id_col, text_col), "blocks")
     kind = blocks.schema["ids"].dataType.elementType
 
+    corpus = blocks.select("sizes").mapInArrow(_corpus_size, "n long").agg(F.sum("n")).first()[0] or 0
+    buckets = 1 + order * corpus // BUCKET_GRAMS
+
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
@@ -150,29 +189,39 @@ def scored(docs: DataFrame, order: int = 2, backoff: float = BACKOFF, id_col: st
                 own = _Block(*(batch.column(c)[k].as_py() for c in range(1, 4)), order)
                 for n in range(1, order + 1):
                     distinct, counts = np.unique(own.grams(n)[1], return_counts=True)
-                    for first in range(0, len(distinct), _ROWS):
-                        part = distinct[first:first + _ROWS].view(np.int64)
-                        yield pa.RecordBatch.from_arrays([
-                            pa.array(part), pa.array(np.full(len(part), name, np.int64)),
-                            pa.array(counts[first:first + _ROWS].astype(np.int32))], names=["gram", "block", "n"])
+                    bucket = _bucket(distinct, buckets)
+                    starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+                    edges = pa.array(np.append(starts, len(distinct)).astype(np.int32))
+                    rows = pa.RecordBatch.from_arrays([
+                        pa.array(bucket[starts]), pa.array(np.full(len(starts), name, np.int64)), pa.array(np.full(len(starts), n, np.int32)),
+                        pa.ListArray.from_arrays(edges, pa.array(distinct.view(np.int64))),
+                        pa.ListArray.from_arrays(edges, pa.array(counts.astype(np.int32)))],
+                        names=["bucket", "block", "length", "gram", "n"])
+                    step = 1 + len(starts) * BUCKET_GRAMS // (1 + len(distinct))
+                    for first in range(0, len(starts), step):
+                        yield rows.slice(first, step)
     parts = blocks.select("block", "sizes", "words", "places").mapInArrow(
-        explode, "gram long, block long, n int").where("gram IS NOT NULL AND n IS NOT NULL").repartition("gram")
-    # both sides have the same columns and filters, so that one exchange serves both; a block knows its own counts
-    counts = parts.groupBy("gram").agg(F.sum("n").alias("total"), F.count("block").alias("blocks")).where("blocks > 1")
-    answers = parts.join(counts, "gram").where(F.col("total") > F.col("n")).select("block", "gram", "total")
-    corpus = blocks.select("sizes").mapInArrow(_corpus_size, "n long").agg(F.sum("n")).first()[0] or 0
+        explode, "bucket long, block long, length int, gram array<long>, n array<int>").repartition("bucket")
+    # rows stay in their bucket's partition when they are exploded, so the sums need no further exchange
+    grams = parts.select("bucket", "block", "length", F.inline(F.arrays_zip("gram", "n")))
+    total = F.sum("n").over(Window.partitionBy("bucket", "length", "gram"))
+    answers = grams.select("bucket", "block", "length", "gram", total.alias("total")).sortWithinPartitions("bucket").mapInArrow(
+        _answers, "block long, bucket long, length int, totals binary")
     schema = T.StructType([T.StructField(id_col, kind), T.StructField("n_words", T.LongType()),
                            T.StructField("log_score", T.DoubleType())])
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        known = right.column("gram").to_numpy().view(np.uint64)
-        order_ = np.argsort(known)
-        known, totals = known[order_], right.column("total").to_numpy()[order_]
+        totals = {}
+        right = right.sort_by("bucket")
+        for n in range(1, order + 1):
+            packed = right.filter(pc.equal(right["length"], n)).column("totals").to_pylist()
+            if packed:
+                totals[n] = np.concatenate([_unpack(x, np.int64) for x in packed])
         out = []
         for k in range(left.num_rows):
             own = _Block(*(left.column(c)[k].as_py() for c in ("sizes", "words", "places")), order)
             out.append(pa.table([left.column("ids").combine_chunks()[k].values, pa.array(own.sizes),
-                                 pa.array(own.scores(known, totals, corpus, backoff))], names=schema.names))
+                                 pa.array(own.scores(totals, corpus, backoff))], names=schema.names))
         empty = pa.table([pa.array([], left.schema.field("ids").type.value_type), pa.array([], pa.int64()), pa.array([], pa.float64())],
                          names=schema.names)
         return pa.concat_tables(out) if out else empty

@@ -4,6 +4,8 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from crawlwright.llm import lmscore, queries
@@ -49,8 +51,27 @@ def test_query(spark):
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_cases(spark, monkeypatch, order):
     monkeypatch.setattr(lmscore, "BLOCK_BYTES", 40)
+    monkeypatch.setattr(lmscore, "BLOCK_ROWS", 2)
+    monkeypatch.setattr(lmscore, "BUCKET_GRAMS", 7)
     rows = [(1, None), (2, ""), (3, "a b c a b"), (4, "A b d"), (5, "x"), (6, "é b c d " * 2000), (None, "b c"), (8, "-- !"), (7, "a b c a b")]
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, block int")
     same(lmscore.scored(docs, order), rows, order)
     assert lmscore.scored(docs.limit(0)).count() == 0
     same(lmscore.scored(docs.where("doc_id = 3")), rows[2:3])
+
+
+def test_answers():
+    """Whatever batches and buckets the rows come in, a block's totals come back in the order of its hashes."""
+    rng = np.random.default_rng(7)
+    rows = sorted({(int(g) >> 61, int(b), int(n), int(g)) for g, b, n in zip(
+        rng.integers(0, 1 << 64, 600, dtype=np.uint64), rng.integers(0, 4, 600), rng.integers(1, 3, 600))},
+        key=lambda r: (r[0], r[2], np.uint64(r[3]).astype(np.int64)))
+    table = pa.table({"bucket": [r[0] for r in rows], "block": [r[1] for r in rows], "length": pa.array([r[2] for r in rows], pa.int32()),
+                      "gram": np.array([r[3] for r in rows], np.uint64).view(np.int64), "total": [r[3] % 1000 for r in rows]})
+    for size, least in ((1, 1), (7, 20), (50, 100), (1000, 1)):
+        found = pa.Table.from_batches(lmscore._answers(iter(table.to_batches(size)), least)).sort_by("bucket").to_pylist()
+        assert size > 50 or len({r["bucket"] for r in found}) > 1
+        for block in range(4):
+            for n in (1, 2):
+                parts = [lmscore._unpack(r["totals"], np.int64) for r in found if (r["block"], r["length"]) == (block, n)]
+                assert np.concatenate(parts).tolist() == [g % 1000 for g in sorted(r[3] for r in rows if r[1:3] == (block, n))]
