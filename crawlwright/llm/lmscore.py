@@ -45,6 +45,8 @@ from .storage import stored
 BLOCK_BYTES = 32 << 20
 #: Texts in a block at most, be they empty.
 BLOCK_ROWS = 1_000_000
+#: Words of a block that are scored together; a longer text is scored on its own.
+PART_WORDS = 1 << 19
 #: N-grams of all blocks in a bucket, about.
 BUCKET_GRAMS = 500_000
 BACKOFF = 0.4
@@ -96,11 +98,13 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 class _Block:
     """The n-grams of a block."""
 
-    def __init__(self, sizes: bytes, words: bytes, places: bytes, order: int) -> None:
-        self.sizes = _unpack(sizes, np.int64)
-        self.hashes = np.cumsum(_unpack(words, np.uint64), dtype=np.uint64)[_unpack(places, np.uint32)]
-        self.text = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
-        self.order = order
+    def __init__(self, sizes: np.ndarray, hashes: np.ndarray) -> None:
+        self.sizes, self.hashes = sizes, hashes
+        self.text = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+
+    @classmethod
+    def unpacked(cls, sizes: bytes, words: bytes, places: bytes) -> _Block:
+        return cls(_unpack(sizes, np.int64), np.cumsum(_unpack(words, np.uint64), dtype=np.uint64)[_unpack(places, np.uint32)])
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(places of their last words, hashes) of the n-grams of ``n`` words, none across texts."""
@@ -108,14 +112,27 @@ class _Block:
         grams = textbytes.mixed(textbytes.window_hashes(self.hashes, n) + np.uint64(n))
         return (np.flatnonzero(inside) + n - 1).astype(np.int32), grams[inside]
 
-    def scores(self, totals: dict[int, np.ndarray], corpus: int, backoff: float) -> np.ndarray:
+    def scores(self, totals: list[np.ndarray], corpus: int, backoff: float) -> np.ndarray:
         """The summed logarithms of each text; ``totals`` are of the distinct n-grams of each length, in their order."""
-        size, order = len(self.hashes), self.order
-        place = np.arange(size) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
-        steps = np.minimum(place, order - 1).astype(np.int32)  # words of context there could be
+        known = []
+        for n, total in enumerate(totals, 1):
+            distinct = np.unique(self.grams(n)[1])
+            if len(distinct) != len(total):
+                raise ValueError(f"{len(total)} totals for {len(distinct)} n-grams of {n} words")
+            known.append((distinct, total))
+        ends, out = np.concatenate(([0], np.cumsum(self.sizes))), [np.zeros(0)]
+        for first, last in textbytes.runs(ends, PART_WORDS):
+            out.append(_Block(self.sizes[first:last], self.hashes[ends[first]:ends[last]])._scores(known, corpus, backoff))
+        return np.concatenate(out)
+
+    def _scores(self, known: list[tuple[np.ndarray, np.ndarray]], corpus: int, backoff: float) -> np.ndarray:
+        """As :meth:`scores`, of some texts of the block whose distinct n-grams and totals are ``known``."""
+        place = np.arange(len(self.hashes)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        steps = np.minimum(place, len(known) - 1).astype(np.int32)  # words of context there could be
+        del place
         out = shorter = np.zeros(0)
-        for n in range(1, order + 1):
-            count = self._others(n, totals.get(n, np.zeros(0)))
+        for n, (distinct, total) in enumerate(known, 1):
+            count = self._others(n, distinct, total)
             if n == 1:
                 others = np.maximum(corpus - self.sizes, 1)
                 out = np.log(np.maximum(count, 0.5) / others[self.text]) + steps * math.log(backoff)
@@ -125,16 +142,13 @@ class _Block:
             shorter = count
         return np.bincount(self.text, weights=out, minlength=len(self.sizes)).astype(np.float64)
 
-    def _others(self, n: int, totals: np.ndarray) -> np.ndarray:
+    def _others(self, n: int, distinct: np.ndarray, total: np.ndarray) -> np.ndarray:
         """How often the n-gram that ends at each word stands in other texts; 0 where there is none."""
         ends, grams = self.grams(n)
         count = np.zeros(len(self.hashes))
         if len(grams):
-            distinct, which = np.unique(grams, return_inverse=True)
-            if len(distinct) != len(totals):
-                raise ValueError(f"{len(totals)} totals for {len(distinct)} n-grams of {n} words")
-            del grams, distinct
-            count[ends] = totals[which]
+            which = np.searchsorted(distinct, grams)
+            count[ends] = total[which]
             which *= len(self.sizes)
             which += self.text[ends]
             _, pair, here = np.unique(which, return_inverse=True, return_counts=True)
@@ -186,7 +200,7 @@ def scored(docs: DataFrame, order: int = 2, backoff: float = BACKOFF, id_col: st
         for batch in batches:
             for k in range(batch.num_rows):
                 name = batch.column(0)[k].as_py()
-                own = _Block(*(batch.column(c)[k].as_py() for c in range(1, 4)), order)
+                own = _Block.unpacked(*(batch.column(c)[k].as_py() for c in range(1, 4)))
                 for n in range(1, order + 1):
                     distinct, counts = np.unique(own.grams(n)[1], return_counts=True)
                     bucket = _bucket(distinct, buckets)
@@ -211,15 +225,13 @@ def scored(docs: DataFrame, order: int = 2, backoff: float = BACKOFF, id_col: st
                            T.StructField("log_score", T.DoubleType())])
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        totals = {}
-        right = right.sort_by("bucket")
+        right, totals = right.sort_by("bucket"), []
         for n in range(1, order + 1):
             packed = right.filter(pc.equal(right["length"], n)).column("totals").to_pylist()
-            if packed:
-                totals[n] = np.concatenate([_unpack(x, np.int64) for x in packed])
+            totals.append(np.concatenate([np.zeros(0, np.int64)] + [_unpack(x, np.int64) for x in packed]))
         out = []
         for k in range(left.num_rows):
-            own = _Block(*(left.column(c)[k].as_py() for c in ("sizes", "words", "places")), order)
+            own = _Block.unpacked(*(left.column(c)[k].as_py() for c in ("sizes", "words", "places")))
             out.append(pa.table([left.column("ids").combine_chunks()[k].values, pa.array(own.sizes),
                                  pa.array(own.scores(totals, corpus, backoff))], names=schema.names))
         empty = pa.table([pa.array([], left.schema.field("ids").type.value_type), pa.array([], pa.int64()), pa.array([], pa.float64())],

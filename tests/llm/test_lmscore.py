@@ -75,3 +75,17 @@ def test_answers():
             for n in (1, 2):
                 parts = [lmscore._unpack(r["totals"], np.int64) for r in found if (r["block"], r["length"]) == (block, n)]
                 assert np.concatenate(parts).tolist() == [g % 1000 for g in sorted(r[3] for r in rows if r[1:3] == (block, n))]
+
+
+def test_parts(monkeypatch):
+    """Texts of a block score alike in parts of any size, empty texts and one longer than a part among them."""
+    rng = np.random.default_rng(11)
+    sizes = np.array([0, 5, 0, 400, 1, 30, 0])
+    block = lmscore._Block(sizes, rng.integers(1, 9, sizes.sum()).astype(np.uint64))
+    totals = [np.unique(block.grams(n)[1], return_counts=True)[1] + 1 for n in (1, 2, 3)]
+    whole = block.scores(totals, 1000, 0.4)
+    for size in (1, 6, 100):
+        monkeypatch.setattr(lmscore, "PART_WORDS", size)
+        assert block.scores(totals, 1000, 0.4).tolist() == pytest.approx(whole.tolist())
+    with pytest.raises(ValueError, match="totals for"):
+        block.scores([t[:-1] for t in totals], 1000, 0.4)
