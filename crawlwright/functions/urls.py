@@ -488,18 +488,32 @@ def sibling_urls(url, count: int = 20, sections: list[str] = NUMBERED_SECTIONS)
     return out.otherwise(F.array().cast("array<string>"))
 
 
-def expand_pattern(base_url, pattern) -> Column:
-    """U16: array of urls a wildcard pattern stands for."""
+_RANGE = r"\{(\d+)-(\d+)\}"
+
+
+def pattern_ranges(pattern) -> Column:
+    """U16: ``array<struct<low,high,before>>`` of a pattern's ranges ``{low-high}``; ``before`` urls come before a range's own.
+
+    Ranges that run backwards or beyond 64 bits hold no numbers.
+    """
+    p = _c(pattern)
+    ends = F.filter(F.zip_with(
+        F.regexp_extract_all(p, F.lit(_RANGE), F.lit(1)), F.regexp_extract_all(p, F.lit(_RANGE), F.lit(2)),
+        lambda a, b: F.struct(a.try_cast("bigint").alias("low"), b.try_cast("bigint").alias("high"))), lambda r: r.low <= r.high)
+    return F.transform(ends, lambda r, i: F.struct(r.low.alias("low"), r.high.alias("high"), F.aggregate(
+        F.slice(ends, 1, i), F.lit(0).cast("bigint"), lambda n, x: n + (x.high - x.low + 1)).alias("before")))
+
+
+def numbered_url(pattern, number) -> Column:
+    """U16: a pattern with ``number`` in the place of its first range."""
+    p = _c(pattern)
+    return F.concat(F.regexp_extract(p, r"^(.*?)\{\d+-\d+\}", 1), _c(number).cast("string"),
+                    F.regexp_extract(p, r"^.*?\{\d+-\d+\}(.*)$", 1))
+
+
+def pattern_choices(base_url, pattern) -> Column:
+    """U16: array of urls a pattern without ranges stands for; null for one with ranges."""
     p, base = _c(pattern), _c(base_url)
-    rng = r"\{(\d+)-(\d+)\}"
-    lo = F.regexp_extract_all(p, F.lit(rng), F.lit(1))
-    hi = F.regexp_extract_all(p, F.lit(rng), F.lit(2))
-    head = F.regexp_extract(p, r"^(.*?)\{\d+-\d+\}", 1)
-    tail = F.regexp_extract(p, r"^.*?\{\d+-\d+\}(.*)$", 1)
-    ranges = F.flatten(F.zip_with(lo, hi, lambda a, b: F.transform(
-        F.when(a.cast("bigint") <= b.cast("bigint"), F.sequence(a.cast("bigint"), b.cast("bigint")))
-        .otherwise(F.array().cast("array<bigint>")),
-        lambda i: F.concat(head, i.cast("string"), tail))))
     group = F.regexp_extract(p, r"(\{[^}]+\})", 1)
     items = F.transform(F.split(F.regexp_replace(group, r"^\{|\}$", ""), ","), strip)
     listed = F.transform(items, lambda x: F.replace(p, group, x))
@@ -510,7 +524,7 @@ def expand_pattern(base_url, pattern) -> Column:
     stars = F.filter(F.transform(
         F.sequence(F.greatest(n - 5, F.lit(1).cast("bigint")), n + 5),
         lambda i: F.replace(base, num, i.cast("string"))), lambda u: F.rlike(u, glob))
-    return (F.when(F.size(lo) > 0, ranges)
+    return (F.when(F.rlike(p, F.lit(_RANGE)), F.lit(None).cast("array<string>"))
             .when(group != "", listed)
             .when(p.contains("*") & num.isNotNull() & (F.size(stars) > 0), stars)
             .otherwise(F.array(p)))

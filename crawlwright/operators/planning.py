@@ -25,6 +25,9 @@ PREVIEW = {"new": "新建", "directory": "目录已存在", "task": "任务已
            "size": "约50MB", "no_size": "未知"}
 EXPECTED_IMAGES = 50
 
+#: Numbers of a pattern's range in one row.
+RANGE_PIECE = 10_000
+
 
 # -------------------------------------------------------- generated pages
 
@@ -39,24 +42,52 @@ def generated_pages(seeds: DataFrame, group: str = "main_url", count: int = PAGE
     return keep_first(made, [group, "url"], ["pos", "i"])
 
 
+def pattern_urls(patterns: DataFrame, last: str | None = None) -> DataFrame:
+    """U16: ``base_url, index, pattern, position, raw_url``, a row per url of each pattern, positions from 0.
+
+    A range is cut into pieces, and those into smaller ones, so no row holds
+    more than some thousand numbers and one pattern's pieces spread over the
+    tasks. ``last`` names a column with the last position that is wanted
+    (null: all), which comes back too; no piece beyond it is made.
+    """
+    keep = ["base_url", "index", "pattern", *([last] if last else [])]
+    wanted = lambda position: F.lit(True) if last is None else F.col(last).isNull() | (position <= F.col(last))
+    pieces = patterns.select(*keep, F.inline(U.pattern_ranges("pattern")))
+    for step in (RANGE_PIECE ** 2, RANGE_PIECE):
+        start = pieces.select(*keep, "low", "high", "before", F.explode(F.sequence("low", "high", F.lit(step).cast("bigint"))).alias("start"))
+        pieces = start.select(*keep, F.col("start").alias("low"), (F.col("start") + F.least(
+            F.col("high") - F.col("start"), F.lit(step - 1).cast("bigint"))).alias("high"), (F.col("before") + F.col("start") - F.col("low")).alias("before"))
+        pieces = pieces.filter(wanted(F.col("before")))
+    # a stated number of partitions, as rows as short as pieces would all be merged into one
+    spread = int(patterns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    numbers = pieces.repartition(spread, "base_url", "pattern", "before").select(
+        *keep, "low", "before", F.explode(F.sequence("low", "high")).alias("number"))
+    ranged = computed(numbers, position=F.col("before") + F.col("number") - F.col("low"),
+                      raw_url=U.numbered_url("pattern", "number")).select(*keep, "position", "raw_url")
+    chosen = patterns.select(*keep, F.posexplode(U.pattern_choices("base_url", "pattern")).alias("position", "raw_url"))
+    return ranged.unionByName(chosen.withColumn("position", F.col("position").cast("bigint"))).filter(wanted(F.col("position")))
+
+
 def expanded_patterns(patterns: DataFrame, name_template: str | None = None) -> DataFrame:
     """One task row per url of each pattern; ``patterns(base_url, index, pattern)``.
 
     The first url that cannot be crawled stops the rest of its pattern: it
-    stays as a row with an error, the ones after it are left out.
+    stays as a row with an error, the ones after it are left out. Only the
+    patterns meet their first bad place in a join, the urls are made again.
     """
-    rows = computed(patterns, _urls=U.expand_pattern("base_url", "pattern"))
-    good = lambda u: U.is_crawlable(U.preprocess(u))
-    bad_at = F.coalesce(F.get(F.filter(F.transform(F.col("_urls"), lambda u, i: F.when(~good(u), i)),
-                                       lambda i: i.isNotNull()), 0), F.size("_urls"))
-    rows = computed(rows, _bad=bad_at).select(
-        "base_url", "index", "pattern", "_bad", F.posexplode("_urls").alias("_i", "raw_url")).filter("_i <= _bad")
-    url = U.preprocess("raw_url")
+    own = ["base_url", "index", "pattern"]
+    urls = pattern_urls(patterns)
+    judged = computed(urls, _good=U.is_crawlable(U.preprocess("raw_url")))
+    bad = judged.filter(~F.col("_good")).groupBy(*own).agg(F.min("position").alias("_bad")).select(
+        *[F.col(c).alias(f"_{c}") for c in own], "_bad")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in own]
+    rows = pattern_urls(patterns.select(*own).join(bad, same, "left"), "_bad").withColumnRenamed("position", "_i")
+    rows = computed(rows, url=U.preprocess("raw_url"))
     name = F.lit(None).cast("string") if name_template is None else F.replace(F.replace(
         F.lit(name_template), F.lit("{index}"), F.col("index").cast("string")),
         F.lit("{url_index}"), (F.col("_i") + 1).cast("string"))
     return rows.select(
-        "base_url", "index", "pattern", (F.col("_i") + 1).alias("url_index"), "raw_url", url.alias("url"),
+        "base_url", "index", "pattern", (F.col("_i") + 1).alias("url_index"), "raw_url", "url",
         name.alias("name"), F.when(F.col("_i") == F.col("_bad"), F.concat(
             F.lit(REASONS["bad_pattern_url"]), F.col("raw_url"))).alias("error"))
 

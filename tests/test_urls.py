@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from crawlwright.functions import links as L
 from crawlwright.functions import urls as U
 from crawlwright.functions import validation as V
+from crawlwright.operators import planning
 
 
 def run(spark, rows, build):
@@ -93,14 +94,45 @@ def test_siblings(spark):
         "https://h.example/a7/b7.html", "https://h.example/a8/b8.html"]
 
 
+def patterns_of(spark, *rows):
+    return spark.createDataFrame(rows, "base_url string, index long, pattern string")
+
+
 def test_patterns(spark):
-    expand = lambda base, pattern: one(spark, (base, pattern), U.expand_pattern)
+    def expand(base, pattern):
+        rows = planning.pattern_urls(patterns_of(spark, (base, 1, pattern))).collect()
+        assert sorted(r.position for r in rows) == list(range(len(rows)))
+        return [r.raw_url for r in sorted(rows, key=lambda r: r.position)]
     assert expand("http://h/", "/p{1-2}_{5-6}") == ["/p1_{5-6}", "/p2_{5-6}", "/p5_{5-6}", "/p6_{5-6}"]
+    assert expand("http://h/", "/p{9-1}{0-1}{1-99999999999999999999}") == [f"/p{i}{{0-1}}{{1-99999999999999999999}}" for i in (0, 1)]
     assert expand("http://h/", "/{a, b}/x") == ["/a/x", "/b/x"]
     assert expand("http://h/p8.html", "http://h/p*.html") == [f"http://h/p{i}.html" for i in range(3, 14)]
     assert expand("http://h/p8.html", "http://other/*") == ["http://other/*"]
 
 
+def test_long_ranges(spark, monkeypatch):
+    """Every number once, whatever the pieces; the first bad url stops its own pattern and no other."""
+    monkeypatch.setattr(planning, "RANGE_PIECE", 7)
+    rows = [("b", 1, "http://h/{5-404}/{7-7}{90-89}{0-50}"), (None, 2, "http://h/{0-49}"), (None, 2, "http://h/{0-49}"), ("b", 3, "{1-3000}"),
+            ("b", 4, "ftp://h/{1-60}")]
+    got = [tuple(r) for r in planning.expanded_patterns(patterns_of(spark, *rows)).select("index", "url_index", "raw_url", "error").collect()]
+    tail = "/{7-7}{90-89}{0-50}"
+    assert sorted(r[1:3] for r in got if r[0] == 1) == list(enumerate(
+        (f"http://h/{i}{tail}" for i in [*range(5, 405), 7, *range(51)]), 1))
+    assert sorted(r[2] for r in got if r[0] == 2) == sorted(f"http://h/{i}" for i in [*range(50)] * 2)
+    for k in (3, 4):
+        made = sorted(r for r in got if r[0] == k)
+        assert [r[1] for r in made] == list(range(1, len(made) + 1)) and all(r[3] is None for r in made[:-1])
+    assert planning.expanded_patterns(patterns_of(spark, *rows).limit(0)).count() == 0
+
+
+def test_wide_range(spark):
+    """A wide range spreads over the tasks and is no array in a row."""
+    rows = planning.expanded_patterns(patterns_of(spark, ("b", 1, "http://h/{1-200000}.html")))
+    assert tuple(rows.selectExpr("count(*)", "min(url_index)", "max(url_index)", "sum(url_index)", "count(error)").first()) == (
+        200_000, 1, 200_000, 200_000 * 200_001 // 2, 0)
+
+
 def test_size_hint(spark):
     assert one(spark, ("/5x5_800x600.jpg",), U.size_hint) is None
     hit = one(spark, ("/a/1024X768.jpg",), U.size_hint)
