@@ -97,7 +97,8 @@ def links(fingerprints: DataFrame, distance: int = 3) -> DataFrame:
     pair is taken in its first segment that differs in at most one bit; where
     that segment is equal, at the segment's lowest bit.
     """
-    found = variants(fingerprints, distance)
+    # Spark takes the variants to be as few as the fingerprints that they are made from: never a broadcast
+    found = variants(fingerprints, distance).hint("merge")
     a, b = found.alias("a"), found.alias("b")
     wrong = F.col("a.fingerprint").bitwiseXOR(F.col("b.fingerprint"))
     edges, first = _edges(distance), F.lit(False)

@@ -82,6 +82,13 @@ def test_links(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_links_no_broadcast(spark):
+    """The variants, 64 to a fingerprint, are never gathered on the driver, however small the table of fingerprints looks."""
+    few = spark.createDataFrame([(1,), (3,)], "fingerprint long")
+    plan = simhash.links(few)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components(spark):
     rng = random.Random(5)
     chain = [(i, i + 1) for i in range(100, 160)]
