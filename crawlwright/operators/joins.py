@@ -36,7 +36,7 @@ def with_directory_flag(urls: DataFrame, directories: DataFrame, name: str = "di
     """Is there a directory of that name? ``directories(directory_name)``."""
     known = directories.select(F.col("directory_name").alias(name)).distinct().withColumn(
         "directory_exists", F.lit(True))
-    return urls.join(known, name, "left").withColumn(
+    return urls.join(known.hint("merge"), name, "left").withColumn(
         "directory_exists", F.coalesce("directory_exists", F.lit(False)))
 
 
@@ -75,7 +75,7 @@ def _by_one_edit(probe: DataFrame, known: DataFrame) -> DataFrame:
         "host", "path", "k.*")
     right = known.filter(short).select("host", F.explode(_one_edit_keys(True)).alias("k")).select(
         "host", "k.*").distinct()
-    return left.join(right, ["host", "kind", "key"], "left_semi").select("host", "path").distinct()
+    return left.join(right.hint("merge"), ["host", "kind", "key"], "left_semi").select("host", "path").distinct()
 
 
 def _grams(step: int) -> Column:
@@ -103,7 +103,7 @@ def _by_rare_grams(probe: DataFrame, known: DataFrame) -> DataFrame:
             lambda i: i % _GRAM == 1)).alias("k_at"))
     seen = looked.groupBy("host", "gram", "k_at").agg(F.count("*").alias("n")).withColumnRenamed("k_at", "at")
     order = Window.partitionBy("host", "path").orderBy(F.coalesce("n", F.lit(0)), "at")
-    ranked = blocks.join(seen, ["host", "at", "gram"], "left").withColumn("rank", F.row_number().over(order))
+    ranked = blocks.join(seen.hint("merge"), ["host", "at", "gram"], "left").withColumn("rank", F.row_number().over(order))
     index = ranked.filter((F.col("rank") <= _max_edits(longest) + 1) & F.col("n").isNotNull()).select(
         "host", "gram", F.col("at").alias("k_at"), F.col("path").alias("k_path"))
     # a block many paths share is spread over salts: the known side is repeated, the probe side split
@@ -111,7 +111,7 @@ def _by_rare_grams(probe: DataFrame, known: DataFrame) -> DataFrame:
     on = ["host", "gram", "k_at", "salt"]
     # comparing costs far more than the rows weigh, so the width must not shrink with their size
     width = int(probe.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left, right = looked.repartition(width, *on).alias("l"), index.repartition(width, *on).alias("r")
+    left, right = looked.repartition(width, *on).alias("l"), index.repartition(width, *on).hint("merge").alias("r")
     cond = _close(F.col("l.path"), F.col("r.k_path"))
     for c in on:
         cond = (F.col(f"l.{c}") == F.col(f"r.{c}")) & cond
@@ -133,18 +133,20 @@ def with_task_flag(urls: DataFrame, tasks: DataFrame, url: str = "url", task_url
     Three exact steps, each only for what the one before left open: equal
     paths, one edit (shared texts, no pairs), more edits (rare blocks). All
     work on distinct paths; a host with a third of the tasks is split by key.
+    No side is ever broadcast: paths are exploded into many keys, which Spark
+    takes to be as few as the rows of the table that they are made from.
     """
     known, probe = _paths(tasks, task_url), _paths(urls, url)
-    same = probe.join(known, ["host", "path"], "left_semi")
-    rest = probe.join(known, ["host", "path"], "left_anti")
+    same = probe.join(known.hint("merge"), ["host", "path"], "left_semi")
+    rest = probe.join(known.hint("merge"), ["host", "path"], "left_anti")
     one = _by_one_edit(rest, known)
     # more than one edit needs a path longer than 20, or one beyond the one-edit step
-    far = rest.filter(F.length("path") >= 19).join(one, ["host", "path"], "left_anti")
+    far = rest.filter(F.length("path") >= 19).join(one.hint("merge"), ["host", "path"], "left_anti")
     more = _by_rare_grams(far, known)
     found = same.unionByName(one).unionByName(more).distinct().withColumn("_similar", F.lit(True))
     exact = tasks.select(F.col(task_url).alias("_task")).distinct().withColumn("_exact", F.lit(True))
     out = (urls.withColumn("host", U.netloc(url)).withColumn("path", U.bare_path(url))
-           .join(found, ["host", "path"], "left").join(exact, F.col(url) == F.col("_task"), "left"))
+           .join(found.hint("merge"), ["host", "path"], "left").join(exact.hint("merge"), F.col(url) == F.col("_task"), "left"))
     flag = F.coalesce("_similar", F.lit(False)) | F.coalesce("_exact", F.lit(False))
     return out.withColumn("task_exists", flag).select(*urls.columns, "task_exists")
 

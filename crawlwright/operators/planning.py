@@ -105,7 +105,7 @@ def validate_tasks(urls: DataFrame, tasks: DataFrame, directories: DataFrame, st
     rows = with_directory_flag(rows, directories)
     rows = with_task_flag(rows, tasks)
     s = status.select(F.col("url").alias("_u"), (F.col("status") < 400).alias("_up"), F.col("has_images").alias("_img"))
-    rows = rows.join(s, F.col("url") == F.col("_u"), "left").drop("_u")
+    rows = rows.join(s.hint("merge"), F.col("url") == F.col("_u"), "left").drop("_u")
     ok = U.is_absolute("url")
     up = ok & F.coalesce("_up", F.lit(False))
     img = up & F.coalesce("_img", F.lit(False))

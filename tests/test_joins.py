@@ -51,6 +51,16 @@ def test_similar_tasks_match_brute_force(spark):
     assert not got["http://h1/abcdefghiX"] and got["http://h1/"]
 
 
+def test_nothing_is_broadcast(spark):
+    """Paths make many keys each, so that their joins are far larger than Spark takes them to be."""
+    u, k = spark.createDataFrame([("http://h/a",)], "url string"), spark.createDataFrame([("http://h/b",)], "base_url string")
+    dirs = spark.createDataFrame([("a",)], "directory_name string")
+    status = spark.createDataFrame([("http://h/a", 200, True)], "url string, status int, has_images boolean")
+    for df in (joins.with_task_flag(u, k), planning.validate_tasks(u, k, dirs, status)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_validation_reasons(spark):
     u = spark.createDataFrame([(x,) for x in ("nope", "http://a/dir1.html", "http://a/task", "http://a/down", "http://a/plain", "http://a/good")], "url string")
     tasks = spark.createDataFrame([("http://a/task",)], "base_url string")
