@@ -230,7 +230,7 @@ ALBUM_SQL = f"pages AS ({_ALBUM.replace('STRING', 'VARCHAR')} part)"
 
 def albums(t: Tables) -> DataFrame:
     """Pages of links, one per part."""
-    return t.spark.sql(_ALBUM + "{part}", part=t.part)
+    return t.spark.sql(_ALBUM + "{part}", part=t.spread(t.part, "p_partkey"))
 
 
 # the oracle never parses this markup: it states what is in it
