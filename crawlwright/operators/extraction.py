@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -92,7 +92,7 @@ class _AnchorParser(HTMLParser):
         if tag == "a" and "href" in at:
             record = {"href": at["href"], "text": [], "title": at.get("title", ""), "css_class": css,
                       "element_id": el_id,
-                      "ancestors": [dict(zip(("tag", "css_class", "id", "ord"), e[:4])) for e in self.open]}
+                      "ancestors": [e[:4] for e in self.open]}
             self.found.append(record)
         if tag not in VOID_TAGS:
             self.open.append((tag, css, el_id, self.count, record))
@@ -114,26 +114,44 @@ class _AnchorParser(HTMLParser):
                 e[4]["text"].append(data)
 
 
-def _parse_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+_PAGES_PER_PART = 1024
+
+
+def _parse_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for page_id, url, text in zip(batch["page_id"], batch["url"], batch["html"]):
-            parser = _AnchorParser()
-            parser.feed(text or "")
-            parser.close()
-            region = parser.regions[min(parser.regions)] if parser.regions else None
-            for pos, r in enumerate(parser.found):
-                rows.append((page_id, url, pos, r["href"], "".join(r["text"]).strip(), r["title"], r["css_class"],
-                             r["element_id"], "section" if parser.section else "div", region, r["ancestors"]))
-        out = pd.DataFrame(rows, columns=["page_id", "url", "pos", "href", "text", "title", "css_class",
-                                          "element_id", "container", "pagination", "ancestors"])
-        yield out.astype({"pagination": "Int32"})
+        for first in range(0, batch.num_rows, _PAGES_PER_PART):
+            yield _parsed(batch.slice(first, _PAGES_PER_PART))
+
+
+def _parsed(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The anchors of some pages; ancestors are built as flat columns, not as an object per element."""
+    page, rows, ends, above = [], [], [0], []
+    for at, text in enumerate(batch.column(2)):
+        parser = _AnchorParser()
+        parser.feed(text.as_py() or "")
+        parser.close()
+        region = parser.regions[min(parser.regions)] if parser.regions else None
+        container = "section" if parser.section else "div"
+        for pos, r in enumerate(parser.found):
+            page.append(at)
+            rows.append((pos, r["href"], "".join(r["text"]).strip(), r["title"], r["css_class"], r["element_id"], container, region))
+            above.extend(r["ancestors"])
+            ends.append(len(above))
+    column = lambda items, k, kind: pa.array([x[k] for x in items], kind)
+    kinds = [("tag", pa.string()), ("css_class", pa.string()), ("id", pa.string()), ("ord", pa.int32())]
+    ancestors = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(
+        [column(above, k, kind) for k, (_, kind) in enumerate(kinds)], names=[n for n, _ in kinds]))
+    own = [batch.column(k).take(pa.array(page, pa.int64())) for k in range(2)]
+    return pa.RecordBatch.from_arrays(
+        [own[0].cast(pa.int64()), own[1].cast(pa.string()), column(rows, 0, pa.int32()), *[column(rows, k, pa.string()) for k in range(1, 7)],
+         column(rows, 7, pa.int32()), ancestors],
+        names=["page_id", "url", "pos", "href", "text", "title", "css_class", "element_id", "container", "pagination", "ancestors"])
 
 
 def scoped_anchors(pages: DataFrame, mentions: str, others: bool = True) -> DataFrame:
     """Anchors with their ancestors; pages that do not mention a region stay in the JVM, or are left out."""
     wanted = F.coalesce(F.col("html").rlike(mentions), F.lit(False))
-    inside = pages.filter(wanted).select("page_id", "url", "html").mapInPandas(_parse_anchors, ANCHOR_SCHEMA)
+    inside = pages.filter(wanted).select("page_id", "url", "html").mapInArrow(_parse_anchors, ANCHOR_SCHEMA)
     if not others:
         return with_base(inside)
     none = "array<struct<tag:string,css_class:string,id:string,ord:int>>"
@@ -237,45 +255,52 @@ def subpages_by_priority(pages: DataFrame) -> DataFrame:
     return dedupe_by_priority(_hit_links(_with_hits(a, hits)))
 
 
-def _tiers(a: DataFrame, sections: list[str]) -> DataFrame:
-    """Absolute links with the tests of every sub-page tier."""
+def _in_box() -> Column:
+    return F.exists("ancestors", lambda e: (e["tag"] == F.col("container"))
+                    & F.array_contains(F.split(e["css_class"], r"\s+"), "container"))
+
+
+def _in_paging() -> Column:
+    return F.coalesce(F.exists("ancestors", lambda e: e["ord"] == F.col("pagination")), F.lit(False))
+
+
+def _tiers(a: DataFrame, sections: list[str], tiers: tuple[str, ...] = ("in_container", "in_pagination", "relative", "neighbour")) -> DataFrame:
+    """Absolute links with the tests of the sub-page tiers."""
     a = computed(a, link=U.join_parts(base(), "href"))
     a = computed(a, link_path=U.path("link"), link_host=U.netloc("link"))
     at = {"path": F.col("link_path"), "host": F.col("link_host")}
     a = computed(a, content=L.is_content_link("link", sections, at),
                  contained=L.is_container_link("link", base(), sections, at))
-    box = F.exists("ancestors", lambda e: (e["tag"] == F.col("container"))
-                   & F.array_contains(F.split(e["css_class"], r"\s+"), "container"))
-    paging = F.exists("ancestors", lambda e: e["ord"] == F.col("pagination"))
     current = F.array_contains(F.split("css_class", r"\s+"), CURRENT_CLASS)
     href = F.col("href")
-    return computed(
-        a,
-        in_container=box & (href != "") & F.col("content") & F.col("contained"),
-        in_pagination=F.coalesce(paging, F.lit(False)) & ~current & ~F.col("text").contains(NEXT_PAGE_TEXT) & F.col("content"),
+    tests = dict(
+        in_container=_in_box() & (href != "") & F.col("content") & F.col("contained"),
+        in_pagination=_in_paging() & ~current & ~F.col("text").contains(NEXT_PAGE_TEXT) & F.col("content"),
         relative=(href.startswith("/") & ~href.startswith("//") & ~href.contains("://") & F.col("content")
                   & F.col("contained")),
         neighbour=L.is_neighbour_page("link", base(), at) & F.col("content"),
-    ).select("page_id", "url", "pos", "link", "in_container", "in_pagination", "relative", "neighbour")
+    )
+    return computed(a, **{t: tests[t] for t in tiers}).select("page_id", "url", "pos", "link", *tiers)
 
 
 _TIER_MENTIONS = "(?i)container|pagination"
 
 
-def _tier_links(pages: DataFrame, flag: str, sections: list[str]) -> DataFrame:
-    rows = _tiers(scoped_anchors(pages, _TIER_MENTIONS), sections).filter(flag)
+def _tier_links(pages: DataFrame, flag: str, inside: Column, sections: list[str]) -> DataFrame:
+    """Links of one tier; only anchors ``inside`` its region, which no page has without mentioning it, are resolved and tested."""
+    rows = _tiers(scoped_anchors(pages, _TIER_MENTIONS, False).filter(inside), sections, (flag,)).filter(flag)
     return keep_first(rows.select("page_id", F.col("url").alias("page_url"), F.col("link").alias("url"), "pos"),
                       ["page_id", "url"], ["pos"])
 
 
 def container_links(pages: DataFrame, sections: list[str] = L.SECTIONS) -> DataFrame:
     """Links in section.container, or in div.container where no section has the class."""
-    return _tier_links(pages, "in_container", sections)
+    return _tier_links(pages, "in_container", _in_box(), sections)
 
 
 def pagination_region_links(pages: DataFrame, sections: list[str] = L.SECTIONS) -> DataFrame:
     """Links of the first paging region, without current and next."""
-    return _tier_links(pages, "in_pagination", sections)
+    return _tier_links(pages, "in_pagination", _in_paging(), sections)
 
 
 def relative_links(pages: DataFrame, sections: list[str] = L.SECTIONS) -> DataFrame:

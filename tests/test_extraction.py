@@ -83,3 +83,21 @@ def test_relative_and_simple_links(spark):
             '<a href="/Xiuren/Xiuren11.html">again</a><a href="/n/77.html#x">d</a><a href="http://other.example/n/78.html">e</a>')
     assert rows(spark, X.relative_links, html, "url", "pos") == [("https://h.example/Xiuren/Xiuren11.html", 0)]
     assert rows(spark, X.simple_subpages, html, "url") == ["https://h.example/n/77.html"]
+
+
+def test_albums_over_all_cores(spark):
+    """Pages made from a small table are spread like galleries; they are many times as large as its rows."""
+    from crawlwright.plans import derived, registry
+    pages = derived.albums(registry.Tables(spark, "/root/testdata/sf0.001"))
+    assert pages.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_region_tiers_read_pages_once(spark):
+    """Pages without a region have no link in one and are not split for it."""
+    df = spark.createDataFrame([(1, "https://h.example/n/1.html", "<a href='/Xiuren/Xiuren1.html'>a</a>"), (2, None, None),
+                                (None, "https://h.example/n/2.html", "<div class='container'><a href='/Xiuren/Xiuren2.html'>a</a></div>")],
+                               "page_id long, url string, html string")
+    for links, want in ((X.container_links, [(None, "https://h.example/Xiuren/Xiuren2.html")]), (X.pagination_region_links, [])):
+        found = links(df)
+        assert [(r.page_id, r.url) for r in found.collect()] == want
+        assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
