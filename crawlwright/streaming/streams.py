@@ -19,6 +19,62 @@ from ..operators import alerts as A
 
 LATENESS = "10 minutes"
 
+#: Rows of a key that are a frame of Python values at once.
+ROWS_AT_ONCE = 1 << 16
+#: The type of a code, which no column of Spark comes in.
+_CODE = np.uint32
+
+
+class _Rows:
+    """The rows of one key and micro-batch, which may be many: numbers as arrays, other values as codes of the distinct ones."""
+
+    def __init__(self) -> None:
+        self.parts: dict[str, list[pd.Series]] = {}
+        self.books: dict[str, dict] = {}
+        self.plain: set[str] = set()
+
+    def add(self, batch: pd.DataFrame) -> None:
+        for name in batch.columns:
+            coded = self._coded(name, batch[name])  # may make the parts before it anew
+            self.parts.setdefault(name, []).append(coded)
+
+    def _coded(self, name: str, values: pd.Series) -> pd.Series:
+        if values.dtype != object or name in self.plain:
+            return values
+        book = self.books.setdefault(name, {})
+        try:
+            return pd.Series(np.fromiter((book.setdefault(v, len(book)) for v in values), _CODE, len(values)))
+        except TypeError:  # a value without a hash: the column stays as it came
+            self.plain.add(name)
+            self.parts[name] = [self._shown(name, p) for p in self.parts.get(name, [])]
+            del self.books[name]
+            return values
+
+    def _shown(self, name: str, codes: pd.Series) -> pd.Series:
+        values = np.empty(len(self.books[name]), dtype=object)
+        values[:] = list(self.books[name])
+        return pd.Series(values[codes.to_numpy()], dtype=object)
+
+    def in_order(self, order: list[str]) -> Iterator[pd.DataFrame]:
+        """Frames of some rows each, in a stable order."""
+        whole: dict[str, pd.Series] = {}
+        for name in list(self.parts):
+            parts = self.parts.pop(name)
+            if name in self.books:  # a batch without nulls may have come as numbers
+                parts = [p if p.dtype == _CODE else self._coded(name, p.astype(object)) for p in parts]
+            whole[name] = pd.concat(parts, ignore_index=True)
+        keys = [self._shown(c, whole[c]) if c in self.books else whole[c] for c in order]
+        if any(k.dtype == object for k in keys):
+            at = pd.concat(keys, axis=1, keys=order).sort_values(order, kind="stable").index.to_numpy()
+        else:
+            at = np.lexsort([k.to_numpy() for k in reversed(keys)])
+        del keys
+        decoded = {c: self._shown(c, pd.Series(np.arange(len(b)))).to_numpy() for c, b in self.books.items()}
+        for first in range(0, len(at), ROWS_AT_ONCE):
+            some = at[first:first + ROWS_AT_ONCE]
+            yield pd.DataFrame({c: pd.Series(decoded[c][v.to_numpy()[some]], dtype=object) if c in decoded
+                                else v.take(some).reset_index(drop=True) for c, v in whole.items()})
+
 
 def stateful(stream: DataFrame, keys: list[str], order: list[str], step: A.O.Step, init: dict, state_schema: str,
              outputs: str, lateness: str = LATENESS, idle_seconds: float | None = None,
@@ -26,7 +82,8 @@ def stateful(stream: DataFrame, keys: list[str], order: list[str], step: A.O.Ste
     """Fold a stream per key; with ``idle_seconds``, the state of a key that idle is dropped.
 
     A drop is exact only where an idle key is back in its initial state. State
-    that is ``final`` is dropped at once: nothing may follow it.
+    that is ``final`` is dropped at once: nothing may follow it. A key's rows
+    of a micro-batch are held as arrays and folded some at a time.
     """
     base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)
     names = [*stream.columns, *[p.split()[0] for p in outputs.split(",")]]
@@ -36,18 +93,22 @@ def stateful(stream: DataFrame, keys: list[str], order: list[str], step: A.O.Ste
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(batches)).sort_values(order, kind="stable").reset_index(drop=True)
-        old = dict(zip(fields, state.get)) if state.exists else dict(init)
-        out, new = step(rows, old)
-        if final is not None and final(new):
-            state.remove()
+        held, latest = _Rows(), None
+        for batch in batches:
+            held.add(batch)
+        now = dict(zip(fields, state.get)) if state.exists else dict(init)
+        for rows in held.in_order(order):
+            out, now = step(rows, now)
+            last = rows["ts"].max()
+            latest = last if latest is None or last > latest else latest
             yield out[names]
+        if final is not None and final(now):
+            state.remove()
             return
-        state.update(tuple(new[f] for f in fields))
+        state.update(tuple(now[f] for f in fields))
         if idle_seconds is not None:
-            last = int(rows["ts"].max().timestamp() * 1000 + idle_seconds * 1000)
+            last = int(latest.timestamp() * 1000 + idle_seconds * 1000)
             state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1))
-        yield out[names]
     timeout = GroupStateTimeout.NoTimeout if idle_seconds is None else GroupStateTimeout.EventTimeTimeout
     return stream.withWatermark("ts", lateness).groupBy(*keys).applyInPandasWithState(
         handle, f"{base}, {outputs}", state_schema, "append", timeout)

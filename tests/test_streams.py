@@ -118,3 +118,29 @@ def test_callbacks(spark, source, tmp_path):
     q = stream.writeStream.foreachBatch(run).option("checkpointLocation", str(tmp_path / "cb")).trigger(availableNow=True).start()
     assert q.awaitTermination(60)
     assert sum(seen) == 120 and len(logged) == len(seen)
+
+
+def test_rows_of_a_key_in_parts(monkeypatch):
+    """Rows come back in stable order, some at a time, with the values and types of one whole frame."""
+    import numpy as np
+    import pandas as pd
+
+    from crawlwright.streaming import streams
+    monkeypatch.setattr(streams, "ROWS_AT_ONCE", 7)
+    rng = np.random.default_rng(3)
+
+    def batch(n, flags, lists=False):
+        return pd.DataFrame({
+            "name": pd.Series([rng.choice(["a", "b", None]) for _ in range(n)], dtype=object), "flag": flags(n),
+            "ts": pd.to_datetime(rng.integers(0, 5, n), unit="s"), "seq": rng.integers(0, 3, n), "n": np.arange(n, dtype="int32"),
+            "value": np.where(np.arange(n) % 4 == 0, np.nan, rng.random(n)), "more": pd.Series([[1, 2]] * n if lists else ["x"] * n, dtype=object)})
+    mixed = lambda n: pd.Series([True, None] * n, dtype=object)[:n]
+    batches = [batch(9, lambda n: np.ones(n, dtype=bool)), batch(12, mixed), batch(5, mixed, lists=True)]
+    held = streams._Rows()
+    for b in batches:
+        held.add(b)
+    got = list(held.in_order(["ts", "seq"]))
+    want = pd.concat(batches).sort_values(["ts", "seq"], kind="stable").reset_index(drop=True)
+    assert [len(g) for g in got] == [7, 7, 7, 5]
+    pd.testing.assert_frame_equal(pd.concat(got, ignore_index=True), want)
+    assert all(list(g.index) == list(range(len(g))) and (g.dtypes == want.dtypes).all() for g in got)
