@@ -88,8 +88,9 @@ def _encoded(docs: DataFrame, tokenizer: str, end: int, id_col: str, text_col: s
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 512):
-                part = batch.slice(first, 512)
+            # as many texts at once as the tokenizer looks up together: what they repeat is looked up once
+            for first, last in textbytes.runs(textbytes.bytes_of(batch.column(1))[1], tokens.RUN_BYTES):
+                part = batch.slice(first, last - first)
                 found = list(tokens.encoded(part.column(1), tokenizer, end))
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), pa.array(curve_keys(found), pa.int64()),
