@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import images as I
 from ..functions import urls as U
+from . import ordered as O
 from .dedupe import keep_last
 
 # Similarity above which two task urls are the same task, and status limits.
@@ -19,6 +20,10 @@ _GRAM = 4
 _ONE_EDIT_MAX = 100
 _SALTS = 16
 _EDIT_STEPS = (1, 2, 4, 8, 16, 32, 64, 256)
+# a beginning that so many known paths share is compared once for all of them, if what follows is no longer than that
+_COMMON_HEAD = 1000
+_TAIL_MAX = 16
+_TAIL_EDITS = 2
 
 
 # ---------------------------------------------------------- existing files
@@ -111,11 +116,64 @@ def _by_rare_grams(probe: DataFrame, known: DataFrame) -> DataFrame:
     on = ["host", "gram", "k_at", "salt"]
     # comparing costs far more than the rows weigh, so the width must not shrink with their size
     width = int(probe.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left, right = looked.repartition(width, *on).alias("l"), index.repartition(width, *on).hint("merge").alias("r")
+    return _semi(looked.repartition(width, *on).alias("l"), index.repartition(width, *on).alias("r"), on)
+
+
+def _with_common_head(known: DataFrame) -> DataFrame:
+    """Known paths cut before their last number, ``head`` and ``tail``, where many share the head."""
+    tail = F.regexp_extract("path", "[0-9]+[^0-9]*$", 0)
+    cut = known.filter(F.length("path") >= 19).withColumn("tail", tail).filter(F.length("tail").between(1, _TAIL_MAX)).withColumn(
+        "head", F.substr("path", F.lit(1), F.length("path") - F.length("tail")))
+    common = cut.groupBy("host", "head").agg(F.count("*").alias("n")).filter(F.col("n") >= _COMMON_HEAD).select("host", "head")
+    return cut.join(common.hint("merge"), ["host", "head"], "left_semi")
+
+
+def _fewer(text: Column, most: Column) -> Column:
+    """The text and what is left of it without one or two of its characters, at most ``most`` of them."""
+    cuts = lambda x: F.when(F.length(x) > 0, F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(
+        F.substr(x, F.lit(1), i - 1), F.substr(x, i + 1)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(
+        F.array(text), F.when(most >= 1, cuts(text)).otherwise(F.array().cast("array<string>")),
+        F.when(most >= 2, F.flatten(F.transform(cuts(text), cuts))).otherwise(F.array().cast("array<string>"))))
+
+
+def _by_heads(probe: DataFrame, members: DataFrame) -> DataFrame:
+    """Paths of the probe side close to a known one of ``members``, whose heads are few.
+
+    Wherever a known path is cut, some cut of a path d edits away splits the d
+    edits into those of the heads and those of the tails. A probe path is
+    compared with each head once. Tails two edits apart share a text that is
+    left without two characters; only a path that may have more edits in its
+    tail, and is close to nothing by then, is compared with a head's members.
+    """
+    width = int(probe.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    heads = members.select("host", "head").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
+    salted = probe.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(width)).cast("int"))
+    most, n, at = _max_edits(F.floor(F.length("path") / 0.9 + 1)), F.length("path"), F.length("head")
+    pairs = salted.repartition(width, "host", "salt").join(
+        heads.repartition(width, "host", "salt").hint("merge"), ["host", "salt"]).filter(n >= at - most)
+    cuts = pairs.select("host", "path", "head", most.alias("most"), F.explode(F.sequence(
+        F.greatest(at - most, F.lit(0)), F.least(at + most, n))).alias("c"))
+    edits = F.call_function("levenshtein", F.substr("path", F.lit(1), F.col("c")), F.col("head"), F.col("most"))
+    near = O.checkpointed(cuts.withColumn("e", edits).filter("e >= 0").select(
+        "host", "path", "head", F.substr("path", F.col("c") + 1).alias("rest"), (F.col("most") - F.col("e")).alias("left")))
+    keys = near.filter(F.length("rest") <= _TAIL_MAX + _TAIL_EDITS).select(
+        "host", "path", "head", F.explode(_fewer(F.col("rest"), F.col("left"))).alias("key")).distinct().alias("l")
+    tails = members.select("host", "head", F.col("path").alias("k_path"), F.explode(_fewer(F.col("tail"), F.lit(_TAIL_EDITS))).alias("key")).alias("r")
+    found = O.checkpointed(_semi(keys, tails, ["host", "head", "key"]))
+    open_ = near.filter(F.col("left") > _TAIL_EDITS).select("host", "path", "head").distinct().join(
+        found.hint("merge"), ["host", "path"], "left_anti").withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(_SALTS)).cast("int"))
+    whole = members.select("host", "head", F.col("path").alias("k_path"), F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
+    on = ["host", "head", "salt"]
+    return found.unionByName(_semi(open_.repartition(width, *on).alias("l"), whole.repartition(width, *on).alias("r"), on))
+
+
+def _semi(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Paths of ``l`` close to a ``k_path`` of ``r`` with the same keys."""
     cond = _close(F.col("l.path"), F.col("r.k_path"))
     for c in on:
         cond = (F.col(f"l.{c}") == F.col(f"r.{c}")) & cond
-    return left.join(right, cond, "left_semi").select("host", "path").distinct()
+    return left.join(right.hint("merge"), cond, "left_semi").select("host", "path").distinct()
 
 
 def _close(a: Column, b: Column) -> Column:
@@ -130,20 +188,26 @@ def _close(a: Column, b: Column) -> Column:
 def with_task_flag(urls: DataFrame, tasks: DataFrame, url: str = "url", task_url: str = "base_url") -> DataFrame:
     """Does a task exist for the url: the same text, the same host and path, or a path above 0.9.
 
-    Three exact steps, each only for what the one before left open: equal
-    paths, one edit (shared texts, no pairs), more edits (rare blocks). All
-    work on distinct paths; a host with a third of the tasks is split by key.
-    No side is ever broadcast: paths are exploded into many keys, which Spark
+    Exact steps, each only for what the one before left open: equal paths, one
+    edit (shared texts, no pairs), more edits (beginnings that many known
+    paths share, rare blocks for the other known paths). All work on distinct
+    paths; a host with a third of the tasks is split by key. What several
+    steps read is checkpointed, so that no plan holds another many times. No side is ever broadcast: paths are exploded into many keys, which Spark
     takes to be as few as the rows of the table that they are made from.
     """
-    known, probe = _paths(tasks, task_url), _paths(urls, url)
+    known, probe = O.checkpointed(_paths(tasks, task_url)), O.checkpointed(_paths(urls, url))
     same = probe.join(known.hint("merge"), ["host", "path"], "left_semi")
     rest = probe.join(known.hint("merge"), ["host", "path"], "left_anti")
-    one = _by_one_edit(rest, known)
+    one = O.checkpointed(_by_one_edit(rest, known))
     # more than one edit needs a path longer than 20, or one beyond the one-edit step
     far = rest.filter(F.length("path") >= 19).join(one.hint("merge"), ["host", "path"], "left_anti")
-    more = _by_rare_grams(far, known)
-    found = same.unionByName(one).unionByName(more).distinct().withColumn("_similar", F.lit(True))
+    found = same.unionByName(one)
+    members = O.checkpointed(_with_common_head(known))
+    if not members.isEmpty():
+        headed = O.checkpointed(_by_heads(far, members))
+        found, far = found.unionByName(headed), far.join(headed.hint("merge"), ["host", "path"], "left_anti")
+        known = known.join(members.select("host", "path").hint("merge"), ["host", "path"], "left_anti")
+    found = found.unionByName(_by_rare_grams(O.checkpointed(far), known)).distinct().withColumn("_similar", F.lit(True))
     exact = tasks.select(F.col(task_url).alias("_task")).distinct().withColumn("_exact", F.lit(True))
     out = (urls.withColumn("host", U.netloc(url)).withColumn("path", U.bare_path(url))
            .join(found.hint("merge"), ["host", "path"], "left").join(exact.hint("merge"), F.col(url) == F.col("_task"), "left"))

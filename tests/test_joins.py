@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from crawlwright.operators import joins, planning
 
 
@@ -51,6 +53,35 @@ def test_similar_tasks_match_brute_force(spark):
     assert not got["http://h1/abcdefghiX"] and got["http://h1/"]
 
 
+def test_paths_with_common_heads_match_brute_force(spark, monkeypatch):
+    """Edits on both sides of the cut, moved across it, and more of them in the number than its shared texts allow."""
+    monkeypatch.setattr(joins, "_COMMON_HEAD", 3)
+    rng = random.Random(5)
+    known = [f"http://h1/gallery/{name}-collection-{rng.randrange(10 ** rng.choice([2, 6, 7]))}{end}"
+             for name in ("small-ring", "red-widget", "blé-noir", "2-red") for end in (".html", "", ".a-long-ending-of-it") for _ in range(8)]
+    urls = [f"http://h1/{mutate(rng, x[10:], n)}" for x in known for n in range(7)]
+    urls += [x.replace("ring", "rod") for x in urls] + [x.replace("-collection-", "-collection-9999") for x in known] + ["http://h1/gallery/small-ring-collection"]
+    urls += [f"http://h1/gallery/small-ring-collection-{n}.html" for n in ("", "9", "7777777", "987654321")] + [known[0].replace("h1", "h2")]
+    u = spark.createDataFrame([(x,) for x in urls], "url string")
+    k = spark.createDataFrame([(x,) for x in known], "base_url string")
+    got = {r["url"]: r["task_exists"] for r in joins.with_task_flag(u, k).collect()}
+    assert got == {x: any(similar(x, y) for y in known) for x in urls}
+    assert not joins._with_common_head(joins._paths(k, "base_url")).isEmpty() and 0 < sum(got.values()) < len(got)
+
+
+def test_a_path_is_compared_with_few_paths_of_a_common_head(spark, monkeypatch):
+    """The plan reads each side a few times, and a near head alone makes no pair of paths."""
+    monkeypatch.setattr(joins, "_COMMON_HEAD", 3)
+    k = spark.createDataFrame([(f"http://h/gallery/small-ring-collection-{100000 + i * 11}.html",) for i in range(300)], "base_url string")
+    u = spark.createDataFrame([(f"http://h/gallery/small-rod-collection-{560000 + i * 7}.html",) for i in range(300)], "url string")
+    compared = []
+    monkeypatch.setattr(joins, "_semi", lambda left, right, on, semi=joins._semi: compared.append(
+        left.join(right, [F.col(f"l.{c}") == F.col(f"r.{c}") for c in on]).count()) or semi(left, right, on))
+    out = joins.with_task_flag(u, k)
+    assert out.filter("task_exists").count() == 0 and sum(compared) < 300 * 300 / 10
+    assert out._jdf.queryExecution().analyzed().toString().count("Generate") <= 8
+
+
 def test_nothing_is_broadcast(spark):
     """Paths make many keys each, so that their joins are far larger than Spark takes them to be."""
     u, k = spark.createDataFrame([("http://h/a",)], "url string"), spark.createDataFrame([("http://h/b",)], "base_url string")
