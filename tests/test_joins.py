@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from crawlwright.operators import joins, planning
+from crawlwright.operators import joins, planning, stats
 
 
 def distance(a, b):
@@ -102,3 +102,14 @@ def test_validation_reasons(spark):
     R = planning.REASONS
     assert got == {"nope": (False, R["format"]), "http://a/dir1.html": (False, R["skipped"]), "http://a/task": (False, R["skipped"]),
                    "http://a/down": (False, R["dead"]), "http://a/plain": (True, R["no_images"]), "http://a/good": (True, "")}
+
+
+def _leaves(spark, operator):
+    frames = [spark.createDataFrame(*x) for x in (
+        ([("http://h/a",)], "url string"), ([("http://h/b",)], "base_url string"), ([("a",)], "directory_name string"),
+        ([("http://h/a", 200, True)], "url string, status int, has_images boolean"))]
+    return operator(planning.validate_tasks(*frames))._jdf.queryExecution().analyzed().collectLeaves().size()
+
+
+def test_the_plan_of_statistics_reads_its_tables_a_few_times(spark):
+    assert _leaves(spark, stats.validation_statistics) <= 15
