@@ -113,3 +113,7 @@ def _leaves(spark, operator):
 
 def test_the_plan_of_statistics_reads_its_tables_a_few_times(spark):
     assert _leaves(spark, stats.validation_statistics) <= 15
+
+
+def test_the_plan_of_previews_reads_its_tables_a_few_times(spark):
+    assert _leaves(spark, planning.preview_tasks) <= 15
