@@ -8,8 +8,10 @@ a piece. Texts may be cut there and the pieces encoded one by one. A piece
 mostly repeats one seen before. Pieces of up to 16 bytes are grouped by a hash
 and each is compared with its group's sample, all its bytes and its length;
 those that differ, and longer pieces, stand for themselves. A sample is looked
-up by its bytes in a table that the worker keeps, and only new ones go through
-the tokenizer.
+up in a table that the worker keeps: arrays in order of the hash that hold all
+bytes and the length, which must be the same. What stands for itself is looked
+up by its bytes in a smaller dictionary. Only new pieces go through the
+tokenizer.
 """
 
 from __future__ import annotations
@@ -22,10 +24,12 @@ import pyarrow as pa
 
 from . import textbytes
 
-#: Pieces that a worker remembers, and the bytes of the longest; the table starts anew when it is full.
-MEMORY = 1_200_000
+#: Pieces that a worker remembers in arrays (some 40 bytes and the ids each) and in a dictionary (some 200 bytes each);
+#: both start anew when one is full.
+MEMORY, OTHERS = 1_200_000, 200_000
 #: Bytes of text whose pieces are looked up together.
-RUN_BYTES = 4 << 20
+RUN_BYTES = 2 << 20
+#: Bytes of the longest piece that is remembered.
 _LONGEST = 64
 _GRAPHIC = np.zeros(256, dtype=bool)
 _GRAPHIC[0x21:0x7F] = True
@@ -51,25 +55,44 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        # hash, first and last eight bytes, length and place of each piece in order of the hash; the first entry is no piece
+        self.known = [np.zeros(1, kind) for kind in (np.uint64, np.uint64, np.uint64, np.uint8, np.int64)]
+        self.others: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
-        self.ends = np.zeros(1 << 16, dtype=np.int64)
         self.used = 0
 
-    def _learn(self, pieces: list[bytes]) -> None:
+    def _encode(self, pieces: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+        """The ids of pieces, in parts, and how many each has."""
+        parts, sizes = [], []
         for first in range(0, len(pieces), 2000):
-            part = pieces[first:first + 2000]
-            found = [x.ids for x in self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False)]
-            n = sum(map(len, found))
-            while self.used + n > len(self.ids):
-                self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-            while len(self.known) + len(part) >= len(self.ends):
-                self.ends = np.concatenate((self.ends, np.zeros_like(self.ends)))
-            for piece, ids in zip(part, found):
-                self.known[piece] = k = len(self.known)
-                self.ids[self.used:self.used + len(ids)] = ids
-                self.used += len(ids)
-                self.ends[k + 1] = self.used
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(
+                [p.decode() for p in pieces[first:first + 2000]], add_special_tokens=False)]
+            parts.append(np.fromiter(itertools.chain.from_iterable(found), np.uint32))
+            sizes.extend(map(len, found))
+        return parts, np.array(sizes, np.int64)
+
+    def _learn(self, pieces: list[bytes]) -> np.ndarray:
+        """The places of new pieces: the first of their ids in the table, shifted, and how many they have."""
+        parts, sizes = self._encode(pieces)
+        places = (self.used + np.cumsum(sizes) - sizes) << 16 | sizes
+        used = self.used + int(sizes.sum())
+        if used > len(self.ids):
+            grown = np.zeros(2 * used, np.uint32)
+            grown[:self.used] = self.ids[:self.used]
+            self.ids = grown
+        self.ids[self.used:used] = np.concatenate((np.zeros(0, np.uint32), *parts))
+        self.used = used
+        return places
+
+    def _remember(self, *columns: np.ndarray) -> None:
+        """Pieces whose hashes are new and in order become known."""
+        at = np.searchsorted(self.known[0], columns[0]) + np.arange(len(columns[0]))
+        old = np.ones(len(self.known[0]) + len(at), dtype=bool)
+        old[at] = False
+        for k, column in enumerate(columns):
+            grown = np.empty(len(old), self.known[k].dtype)
+            grown[old], grown[at] = self.known[k], column
+            self.known[k] = grown
 
     def run(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, first id of each text and the end) of a run of texts given as bytes and offsets."""
@@ -86,7 +109,7 @@ class Encoder:
         cut[offsets[:-1][offsets[:-1] < len(data)]] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(data))
-        if len(self.known) > MEMORY:
+        if len(self.known[0]) > MEMORY or len(self.others) > OTHERS:
             self._forget()
         raw, length = data.tobytes(), ends - starts
         words = np.lib.stride_tricks.as_strided(np.append(data, np.zeros(16, np.uint8)).view(), (len(data) + 9, 8), (1, 1)).view("<u8")[:, 0]
@@ -94,32 +117,47 @@ class Encoder:
         high = words[starts + 8 * (length > 8)] & _FIRST[np.clip(length - 8, 0, 8)]
         short = np.flatnonzero(length <= 16)
         mixed = textbytes.mixed(low[short] + textbytes.mixed(high[short] + length[short].astype(np.uint64)))
-        _, sample, which = np.unique(mixed, return_index=True, return_inverse=True)
+        hashes, sample, which = np.unique(mixed, return_index=True, return_inverse=True)
         sample = short[sample]
         same = sample[which]
         sure = (low[short] == low[same]) & (high[short] == high[same]) & (length[short] == length[same])
-        alone = np.concatenate((short[~sure], np.flatnonzero(length > 16)))
-        asked = np.concatenate((sample, alone))
-        pieces = [raw[s:e] for s, e in zip(starts[asked].tolist(), ends[asked].tolist())]
-        found = np.fromiter(map(self.known.get, pieces, itertools.repeat(-1)), np.int64, len(pieces))
+        del mixed, same
+        keys = (hashes, low[sample], high[sample], length[sample])
+        del low, high
+
+        def cut_out(asked: np.ndarray) -> list[bytes]:
+            return [raw[s:e] for s, e in zip(starts[asked].tolist(), ends[asked].tolist())]
+        at = np.minimum(np.searchsorted(self.known[0], hashes), len(self.known[0]) - 1)
+        taken, *equal = (column[at] == key for column, key in zip(self.known, keys))
+        place = self.known[-1][at]
+        new = np.flatnonzero(~taken)
+        if len(new):
+            place[new] = self._learn(cut_out(sample[new]))
+            self._remember(*(key[new] for key in keys), place[new])
+        odd = np.flatnonzero(taken & ~np.logical_and.reduce(equal))  # the hash is known by another piece
+        alone = np.concatenate((sample[odd], short[~sure], np.flatnonzero(length > 16)))
+        pieces = cut_out(alone)
+        found = np.fromiter(map(self.others.get, pieces, itertools.repeat(-1)), np.int64, len(pieces))
         missing = np.flatnonzero(found < 0).tolist()
-        new = dict.fromkeys(pieces[k] for k in missing)
-        self._learn([p for p in new if len(p) <= _LONGEST])
-        found[missing] = [self.known.get(pieces[k], 0) for k in missing]
-        rows = np.zeros(len(starts), np.int64)
-        rows[short] = found[which]
-        rows[alone] = found[len(sample):]
-        first, size = self.ends[rows], self.ends[rows + 1] - self.ends[rows]
-        table, long = self.ids, [p for p in new if len(p) > _LONGEST]
+        unknown = dict.fromkeys(pieces[k] for k in missing)
+        kept = [p for p in unknown if len(p) <= _LONGEST]
+        self.others.update(zip(kept, self._learn(kept).tolist()))
+        found[missing] = [self.others.get(pieces[k], 0) for k in missing]
+        place[odd] = found[:len(odd)]
+        places = np.zeros(len(starts), np.int64)
+        places[short] = place[which]
+        places[alone[len(odd):]] = found[len(odd):]
+        del short, which, sure
+        first, size = places >> 16, places & 0xFFFF
+        table, long = self.ids, [p for p in unknown if len(p) > _LONGEST]
         if long:
-            own = [x.ids for x in self.tokenizer.encode_batch_fast([p.decode() for p in long], add_special_tokens=False)]
-            table = np.concatenate((self.ids[:self.used], *[np.array(x, np.uint32) for x in own]))
-            counts = np.array(list(map(len, own)))
-            begins = self.used + np.concatenate(([0], np.cumsum(counts)[:-1]))
-            place = {p: k for k, p in enumerate(long)}
+            own, counts = self._encode(long)
+            table = np.concatenate((self.ids[:self.used], *own))
+            begins = self.used + np.cumsum(counts) - counts
+            row = {p: k for k, p in enumerate(long)}
             at = np.array([len(p) > _LONGEST for p in pieces])
-            rest = [place[p] for p in pieces if len(p) > _LONGEST]
-            first[asked[at]], size[asked[at]] = begins[rest], counts[rest]
+            rest = [row[p] for p in pieces if len(p) > _LONGEST]
+            first[alone[at]], size[alone[at]] = begins[rest], counts[rest]
         ends_of = np.cumsum(size)
         at = np.repeat(first - (ends_of - size), size) + np.arange(ends_of[-1])
         total = np.concatenate(([0], ends_of))

@@ -1,6 +1,8 @@
 """Token ids, token files and packing against the tokenizer itself."""
 
+import gc
 import itertools
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -52,6 +54,33 @@ def test_like_hashes(monkeypatch):
     check()
 
 
+def test_known_pieces(monkeypatch):
+    """Pieces met in earlier runs keep their own ids, also where another has their hash or a table is full and starts anew."""
+    texts = ["".join(f" {a}{b}{k}" for a in ("x", "ab", "é") for b in ("", "c" * 14, "d" * 30)) for k in range(60)] * 3
+    want = [TOKENIZER.encode(t, add_special_tokens=False).ids for t in texts]
+    for values, memory, others in ((1 << 64, 1 << 20, 1 << 20), (8, 1 << 20, 1 << 20), (64, 5, 1 << 20), (1 << 64, 1 << 20, 5)):
+        monkeypatch.setattr(tokens.textbytes, "mixed", lambda h: h & np.uint64(values - 1))
+        monkeypatch.setattr(tokens, "RUN_BYTES", 500)
+        monkeypatch.setattr(tokens, "MEMORY", memory)
+        monkeypatch.setattr(tokens, "OTHERS", others, raising=False)
+        monkeypatch.setattr(tokens, "_WORKERS", {})
+        assert [x.tolist() for x in tokens.encoded(pa.array(texts), PATH)] == want
+
+
+def test_memory_of_known_pieces():
+    """The worker's table takes little more than the pieces' bytes and ids, and a run of text a few times its bytes."""
+    encoder = tokens.Encoder(PATH)
+    gc.collect()
+    tracemalloc.start()
+    for first in range(0, 240_000, 60_000):
+        data = "".join(f" w{k * 7919 % 1_000_003}" for k in range(first, first + 60_000)).encode() * 4
+        encoder.run(np.frombuffer(data[:tokens.RUN_BYTES], np.uint8), np.array([0, min(len(data), tokens.RUN_BYTES)]))
+    kept, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert kept < 240_000 * 100
+    assert most - kept < 60e6
+
+
 @pytest.mark.parametrize("bits", [3, 8, 15, 16, 17])
 def test_bits(bits):
     ids = np.random.default_rng(1).integers(0, 1 << bits, 10_000).astype(np.uint32)
