@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import images as I
 from ..functions import urls as U
 from . import ordered as O
+from .columns import computed
 from .dedupe import keep_last
 
 # Similarity above which two task urls are the same task, and status limits.
@@ -17,13 +18,17 @@ REACHABLE_BELOW = 400
 IMAGE_CONTENT_TYPES = ["image/jpeg", "image/png", "image/gif", "image/webp"]
 
 _GRAM = 4
-_ONE_EDIT_MAX = 100
+# paths of 19 characters and more have blocks enough for all their edits; below that there is one edit at most
+_LONG = 19
+_ONE_EDIT_MAX = 20
 _SALTS = 16
 _EDIT_STEPS = (1, 2, 4, 8, 16, 32, 64, 256)
-# a beginning that so many known paths share is compared once for all of them, if what follows is no longer than that
+# a beginning that so many known paths share is compared once for all of them, if what follows is no longer than that; so is an ending
 _COMMON_HEAD = 1000
 _TAIL_MAX = 16
 _TAIL_EDITS = 2
+# up to so many classes of known paths are told apart when their keys are made
+_CLASSES_MAX = 64
 
 
 # ---------------------------------------------------------- existing files
@@ -57,10 +62,22 @@ def _paths(df: DataFrame, url: str) -> DataFrame:
         "path <> ''").distinct()
 
 
-def _one_edit_keys(known: bool) -> Column:
-    """Texts two paths share exactly when one edit turns one into the other."""
+def _matching(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Join by merging; a hash of the keys leads them, as texts with the same beginning take long to sort."""
+    hashed = lambda df: df.withColumn("_hash", F.xxhash64(*on))
+    return hashed(left).join(hashed(right).hint("merge"), ["_hash", *on], how).drop("_hash")
+
+
+def _lengths(paths: DataFrame) -> list[int]:
+    """Lengths of the short paths: a key that no path of the other side has the length for is not made."""
+    return [r[0] for r in paths.filter(F.length("path") <= _ONE_EDIT_MAX).select(F.length("path")).distinct().collect()]
+
+
+def _one_edit_keys(known: bool, others: list[int]) -> Column:
+    """Texts two paths share exactly when one edit turns one into the other; ``others`` are the lengths of the other side."""
     p, n = F.col("path"), F.length("path")
     at = F.sequence(F.lit(1), n)
+    none = F.array().cast("array<struct<kind:string,key:string>>")
     cut = lambda mark: F.transform(at, lambda i: F.struct(
         F.lit(mark).alias("kind"),
         F.concat(F.substr(p, F.lit(1), i - 1), F.lit("\x00" if mark == "masked" else ""),
@@ -68,19 +85,19 @@ def _one_edit_keys(known: bool) -> Column:
     whole = lambda mark: F.array(F.struct(F.lit(mark).alias("kind"), p.alias("key")))
     mine, other = ("known_cut", "probe_cut") if known else ("probe_cut", "known_cut")
     # an insertion makes the longer path the one that is cut, and it must allow an edit
-    return F.concat(F.when(n > 10, cut("masked")).otherwise(F.array().cast("array<struct<kind:string,key:string>>")),
-                    F.when(n > 10, cut(mine)).otherwise(F.array().cast("array<struct<kind:string,key:string>>")),
-                    whole(other))
+    return F.concat(F.when((n > 10) & n.isin(others), cut("masked")).otherwise(none),
+                    F.when((n > 10) & (n - 1).isin(others), cut(mine)).otherwise(none),
+                    F.when((n + 1).isin(others), whole(other)).otherwise(none))
 
 
 def _by_one_edit(probe: DataFrame, known: DataFrame) -> DataFrame:
-    """Paths of the probe side that are one edit away from a known one; no pairs are formed."""
+    """Short paths of the probe side that are one edit away from a known one; no pairs are formed."""
     short = F.length("path") <= _ONE_EDIT_MAX
-    left = probe.filter(short).select("host", "path", F.explode(_one_edit_keys(False)).alias("k")).select(
+    left = probe.filter(short).select("host", "path", F.explode(_one_edit_keys(False, _lengths(known))).alias("k")).select(
         "host", "path", "k.*")
-    right = known.filter(short).select("host", F.explode(_one_edit_keys(True)).alias("k")).select(
-        "host", "k.*").distinct()
-    return left.join(right.hint("merge"), ["host", "kind", "key"], "left_semi").select("host", "path").distinct()
+    right = known.filter(short).select("host", F.explode(_one_edit_keys(True, _lengths(probe))).alias("k")).select(
+        "host", "k.*")
+    return _matching(left, right, ["host", "kind", "key"], "left_semi").select("host", "path").distinct()
 
 
 def _grams(step: int) -> Column:
@@ -96,7 +113,7 @@ def _by_rare_grams(probe: DataFrame, known: DataFrame) -> DataFrame:
     large host are never looked for unless a path has nothing rarer.
     """
     longest = F.floor(F.length("path") / 0.9 + 1)
-    usable = F.length("path") >= 19
+    usable = F.length("path") >= _LONG
     blocks = known.filter(usable).select("host", "path", F.explode(_grams(_GRAM)).alias("b")).select(
         "host", "path", "b.*")
     near = _max_edits(longest)
@@ -119,13 +136,32 @@ def _by_rare_grams(probe: DataFrame, known: DataFrame) -> DataFrame:
     return _semi(looked.repartition(width, *on).alias("l"), index.repartition(width, *on).alias("r"), on)
 
 
+def _around_last_number(paths: DataFrame, head: str) -> DataFrame:
+    """Long paths cut before their last number, ``head`` and ``tail``; without a number the tail is empty."""
+    cut = paths.filter(F.length("path") >= _LONG).withColumn("tail", F.regexp_extract("path", "[0-9]+[^0-9]*$", 0))
+    return cut.withColumn(head, F.substr("path", F.lit(1), F.length("path") - F.length("tail")))
+
+
 def _with_common_head(known: DataFrame) -> DataFrame:
-    """Known paths cut before their last number, ``head`` and ``tail``, where many share the head."""
-    tail = F.regexp_extract("path", "[0-9]+[^0-9]*$", 0)
-    cut = known.filter(F.length("path") >= 19).withColumn("tail", tail).filter(F.length("tail").between(1, _TAIL_MAX)).withColumn(
-        "head", F.substr("path", F.lit(1), F.length("path") - F.length("tail")))
-    common = cut.groupBy("host", "head").agg(F.count("*").alias("n")).filter(F.col("n") >= _COMMON_HEAD).select("host", "head")
-    return cut.join(common.hint("merge"), ["host", "head"], "left_semi")
+    """Known paths whose ``head``, what stands before the last number, many share; ``class`` numbers head and ending.
+
+    A path is ``head``, ``middle`` and ``ending``. The ending is what follows
+    the number where many of the head's paths have it, else empty, so there
+    are far fewer classes than paths.
+    """
+    n = F.length("tail")
+    cut = _around_last_number(known, "head").withColumn("end", F.when(n.between(1, _TAIL_MAX), F.regexp_extract("tail", "[^0-9]*$", 0)))
+    counts = cut.filter("end is not null").groupBy("host", "head", "end").agg(F.count("*").alias("n"))
+    heads = counts.groupBy("host", "head").agg(F.sum("n").alias("n")).filter(F.col("n") >= _COMMON_HEAD).select("host", "head")
+    common = O.checkpointed(_matching(counts, heads, ["host", "head"], "left_semi").select(
+        "host", "head", "end", F.when(F.col("n") >= _COMMON_HEAD, F.col("end")).otherwise("").alias("ending")))
+    classes = O.checkpointed(common.select("host", "head", "ending").distinct().withColumn("class", F.monotonically_increasing_id()))
+    # a head many paths share is spread over salts
+    common = _matching(common, classes, ["host", "head", "ending"], "inner").withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    salted = cut.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(_SALTS)).cast("int"))
+    return _matching(salted, common, ["host", "head", "end", "salt"], "inner").select(
+        "host", "path", "head", "ending", "class", F.substr("tail", F.lit(1), n - F.length("ending")).alias("middle"))
 
 
 def _fewer(text: Column, most: Column) -> Column:
@@ -137,40 +173,162 @@ def _fewer(text: Column, most: Column) -> Column:
         F.when(most >= 2, F.flatten(F.transform(cuts(text), cuts))).otherwise(F.array().cast("array<string>"))))
 
 
+def _range(low: Column, high: Column) -> Column:
+    return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+
+def _edits(a: Column, b: Column, most: Column) -> Column:
+    """Edits from one text to the other, -1 if there are more than ``most``."""
+    return F.call_function("levenshtein", a, b, most)
+
+
+def _most_edits(path: str | Column) -> Column:
+    """Most edits between a path and any known one."""
+    return _max_edits(F.floor(F.length(path) / 0.9 + 1))
+
+
+def _may_begin(own: Column, head: Column, most: Column) -> Column:
+    """May a path that begins with ``own`` be that many edits from one that begins with ``head``: one is close to a beginning of the other."""
+    n, at = F.length(own), F.length(head)
+    both = F.least(n, at)
+    begin = lambda text, c: F.substr(text, F.lit(1), c)
+    shorter = F.exists(_range(F.greatest(at - most, F.lit(0)), F.least(at + most, n)), lambda c: _edits(begin(own, c), head, most) >= 0)
+    longer = F.exists(_range(F.greatest(n - most, F.lit(0)), F.least(n + most, at)), lambda c: _edits(own, begin(head, c), most) >= 0)
+    return (_edits(begin(own, both), begin(head, both), 2 * most) >= 0) & (shorter | longer)
+
+
+def _cuts(low: Column, high: Column, edits) -> Column:
+    """``array<struct<at,e>>``: where a path may be cut, and the edits beside the cut (-1: too many)."""
+    return F.transform(_range(low, high), lambda c: F.struct(c.alias("at"), edits(c).alias("e")))
+
+
+def _best(cuts: Column) -> Column:
+    """Cuts without those that a neighbour is an edit better than: what the neighbour saves pays for moving there."""
+    beside = lambda i: F.coalesce(F.get(cuts, i)["e"], F.lit(-1))
+    return F.filter(cuts, lambda x, i: (x["e"] == 0) | ((x["e"] > 0) & (beside(i - 1) != x["e"] - 1) & (beside(i + 1) != x["e"] - 1)))
+
+
+def _cut_like(probe: DataFrame, members: DataFrame) -> DataFrame:
+    """Paths of the probe side cut as a class of known paths is: ``class, rest, middle, spent``.
+
+    Wherever a known path is cut, some cut of a path d edits away splits the d
+    edits into those of the heads, of the middles and of the endings. ``spent``
+    counts those of heads and endings, ``rest`` the characters of the class's
+    head and ending. Heads are compared once for all paths that share them.
+    """
+    width = int(probe.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    salt = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+    classes = members.select("host", "head", "ending", "class").distinct().groupBy("host", "head").agg(
+        F.collect_list(F.struct("class", "ending")).alias("classes")).withColumn("salt", salts(width))
+    cut = _around_last_number(probe, "own")
+    owns = cut.groupBy("host", "own").agg(F.max(F.length("path")).alias("longest")).withColumn("salt", salt("own", width))
+    most = _max_edits(F.floor(F.col("longest") / 0.9 + 1))
+    pairs = owns.repartition(width, "host", "salt").join(
+        classes.repartition(width, "host", "salt").hint("merge"), ["host", "salt"]).filter(
+        (F.col("longest") >= F.length("head") - most) & _may_begin(F.col("own"), F.col("head"), most))
+    pairs = O.checkpointed(pairs.select("host", "own", "head", "classes")).withColumn("salt", salts(_SALTS))
+    rows = _matching(cut.withColumn("salt", salt("path", _SALTS)), pairs, ["host", "own", "salt"], "inner")
+    n, at, p, most = F.length("path"), F.length("head"), F.col("path"), F.col("most")
+    rows = rows.select("host", "path", "head", "classes", _most_edits("path").alias("most"))
+    rows = computed(rows, first=_cuts(F.greatest(at - most, F.lit(0)), F.least(at + most, n), lambda c: _edits(
+        F.substr(p, F.lit(1), c), F.col("head"), most))).filter(F.exists("first", lambda x: x["e"] >= 0))
+    rows = rows.select("host", "path", "most", "first", at.alias("at"), F.inline("classes"))
+    end = n - F.length("ending")
+    rows = computed(rows, last=_cuts(F.greatest(end - most, F.lit(0)), F.least(end + most, n), lambda c: _edits(
+        F.substr(p, c + 1), F.col("ending"), most))).filter(F.exists("last", lambda x: x["e"] >= 0))
+    rows = computed(rows, firsts=_best(F.col("first")), lasts=_best(F.col("last")))
+    # best cuts that would cross are no pair, and worse ones may be
+    apart = F.array_max("firsts.at") <= F.array_min("lasts.at")
+    either = lambda best, each: F.when(apart, F.col(best)).otherwise(F.filter(each, lambda x: x["e"] >= 0))
+    both = F.flatten(F.transform(either("firsts", "first"), lambda x: F.transform(either("lasts", "last"), lambda y: F.struct(
+        x["at"].alias("low"), y["at"].alias("high"), (x["e"] + y["e"]).alias("spent")))))
+    rows = rows.select("host", "path", "most", "class", (F.col("at") + F.length("ending")).alias("rest"), F.inline(both))
+    return rows.filter("low <= high and spent <= most").select("host", "path", "class", "rest", "spent", F.substr(
+        p, F.col("low") + 1, F.col("high") - F.col("low")).alias("middle"))
+
+
+def _per_class(rows: DataFrame, **values: Column) -> dict[int, tuple] | None:
+    """Aggregates of each class's rows; None if the classes are too many to be told apart."""
+    got = rows.groupBy("class").agg(*[c.alias(n) for n, c in values.items()]).limit(_CLASSES_MAX + 1).collect()
+    return {r["class"]: r for r in got} if len(got) <= _CLASSES_MAX else None
+
+
+def _of_class(of: dict[int, tuple], value, otherwise: Column) -> Column:
+    out = otherwise
+    for k, r in of.items():
+        out = F.when(F.col("class") == k, value(r)).otherwise(out)
+    return out
+
+
+def _shorter_keys(rows: DataFrame, cut: Column) -> DataFrame:
+    """``key``: the middle without its last ``cut`` characters."""
+    return rows.withColumn("cut", cut).withColumn("key", F.substr(
+        "middle", F.lit(1), F.greatest(F.length("middle") - F.col("cut"), F.lit(0))))
+
+
+def _fewer_keys(rows: DataFrame, most: Column) -> DataFrame:
+    """``key``: a hash of the middle and of what is left of it without one or two characters; whoever joins by it compares the middles."""
+    hashes = F.array_distinct(F.transform(_fewer(F.col("middle"), most), lambda x: F.xxhash64("class", x)))
+    return rows.select("*", F.explode(hashes).alias("key"))
+
+
 def _by_heads(probe: DataFrame, members: DataFrame) -> DataFrame:
     """Paths of the probe side close to a known one of ``members``, whose heads are few.
 
-    Wherever a known path is cut, some cut of a path d edits away splits the d
-    edits into those of the heads and those of the tails. A probe path is
-    compared with each head once. Tails two edits apart share a text that is
-    left without two characters; only a path that may have more edits in its
-    tail, and is close to nothing by then, is compared with a head's members.
+    Exact, each step only for what the one before left open: middles that are
+    the same but for as many last characters as there may be edits (a key a
+    path), middles two edits apart (they share a text that is left without two
+    characters), and middles that may be further apart, compared with those of
+    their class that have a length within the edits.
     """
+    near = O.checkpointed(_cut_like(probe, members))
+    size, left = F.length("middle"), _most_edits("path") - F.col("spent")
+    # no more edits than characters that are left out
+    sure = F.least(_max_edits(F.length("path")) - F.col("spent"), F.lit(_TAIL_MAX))
+    of = _per_class(near.filter(sure >= 0), sure=F.collect_set(sure))
+    every = lambda: F.array(*[F.lit(r[0]) for r in near.filter(sure >= 0).select(sure).distinct().collect()]).cast("array<int>")
+    cuts = every() if of is None else _of_class(of, lambda r: F.array(*[F.lit(x) for x in r["sure"]]), F.array().cast("array<int>"))
+    tails = members.withColumn("_cuts", cuts).select("class", "middle", F.explode("_cuts").alias("_cut"))
+    found = O.checkpointed(_matching(
+        _shorter_keys(near.filter(sure >= 0), sure), _shorter_keys(tails, F.col("_cut")).select("class", "cut", "key"),
+        ["key", "class", "cut"], "left_semi").select("host", "path").distinct())
+
+    open_ = O.checkpointed(_matching(near, found, ["host", "path"], "left_anti"))
+    of = _per_class(open_, edits=F.max(F.least(left, F.lit(_TAIL_EDITS))), low=F.min(size - left), high=F.max(size + left))
+    if of == {}:
+        return found
+    wanted = members.select("class", F.col("middle"))
+    if of is not None:
+        wanted = wanted.filter(_of_class(of, lambda r: size.between(r["low"], r["high"]), F.lit(False)))
+    edits = F.lit(_TAIL_EDITS) if of is None else _of_class(of, lambda r: F.lit(r["edits"]), F.lit(0))
+    keys = _fewer_keys(open_.filter(size <= _TAIL_MAX + _TAIL_EDITS), F.least(left, F.lit(_TAIL_EDITS)))
+    texts = _fewer_keys(wanted, edits).select("class", "key", F.col("middle").alias("k_middle"))
+    found = found.unionByName(O.checkpointed(_semi(keys.alias("l"), texts.alias("r"), ["key", "class"])))
+
+    open_ = O.checkpointed(_matching(open_.filter(left > _TAIL_EDITS), found, ["host", "path"], "left_anti"))
+    of = _per_class(open_, low=F.min(size - left), high=F.max(size + left))
+    if of == {}:
+        return found
+    if of is not None:
+        wanted = wanted.filter(_of_class(of, lambda r: size.between(r["low"], r["high"]), F.lit(False)))
+    # the few that are still open meet a share of their class in each of many places
     width = int(probe.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    heads = members.select("host", "head").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
-    salted = probe.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(width)).cast("int"))
-    most, n, at = _max_edits(F.floor(F.length("path") / 0.9 + 1)), F.length("path"), F.length("head")
-    pairs = salted.repartition(width, "host", "salt").join(
-        heads.repartition(width, "host", "salt").hint("merge"), ["host", "salt"]).filter(n >= at - most)
-    cuts = pairs.select("host", "path", "head", most.alias("most"), F.explode(F.sequence(
-        F.greatest(at - most, F.lit(0)), F.least(at + most, n))).alias("c"))
-    edits = F.call_function("levenshtein", F.substr("path", F.lit(1), F.col("c")), F.col("head"), F.col("most"))
-    near = O.checkpointed(cuts.withColumn("e", edits).filter("e >= 0").select(
-        "host", "path", "head", F.substr("path", F.col("c") + 1).alias("rest"), (F.col("most") - F.col("e")).alias("left")))
-    keys = near.filter(F.length("rest") <= _TAIL_MAX + _TAIL_EDITS).select(
-        "host", "path", "head", F.explode(_fewer(F.col("rest"), F.col("left"))).alias("key")).distinct().alias("l")
-    tails = members.select("host", "head", F.col("path").alias("k_path"), F.explode(_fewer(F.col("tail"), F.lit(_TAIL_EDITS))).alias("key")).alias("r")
-    found = O.checkpointed(_semi(keys, tails, ["host", "head", "key"]))
-    open_ = near.filter(F.col("left") > _TAIL_EDITS).select("host", "path", "head").distinct().join(
-        found.hint("merge"), ["host", "path"], "left_anti").withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(_SALTS)).cast("int"))
-    whole = members.select("host", "head", F.col("path").alias("k_path"), F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
-    on = ["host", "head", "salt"]
-    return found.unionByName(_semi(open_.repartition(width, *on).alias("l"), whole.repartition(width, *on).alias("r"), on))
+    lengths = open_.select("*", F.explode(_range(F.greatest(size - left, F.lit(0)), F.least(size + left, F.lit(_TAIL_MAX)))).alias("size"))
+    lengths = lengths.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    whole = wanted.select("class", F.col("middle").alias("k_middle"), size.alias("size"), F.pmod(F.xxhash64("middle"), F.lit(_SALTS)).cast("int").alias("salt"))
+    on = ["class", "size", "salt"]
+    return found.unionByName(O.checkpointed(_semi(lengths.repartition(width, *on).alias("l"), whole.repartition(width, *on).alias("r"), on)))
 
 
 def _semi(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """Paths of ``l`` close to a ``k_path`` of ``r`` with the same keys."""
-    cond = _close(F.col("l.path"), F.col("r.k_path"))
+    """Paths of ``l`` close to a ``k_path`` of ``r`` with the same keys, or their middles to a ``k_middle`` with what edits are left."""
+    if "k_middle" in right.columns:
+        a, b = F.col("l.middle"), F.col("r.k_middle")
+        most = _max_edits(F.greatest(F.length("l.path"), F.col("l.rest") + F.length(b))) - F.col("l.spent")
+        cond = (F.abs(F.length(a) - F.length(b)) <= most) & (_edits(a, b, F.greatest(most, F.lit(0))) >= 0)
+    else:
+        cond = _close(F.col("l.path"), F.col("r.k_path"))
     for c in on:
         cond = (F.col(f"l.{c}") == F.col(f"r.{c}")) & cond
     return left.join(right.hint("merge"), cond, "left_semi").select("host", "path").distinct()
@@ -189,30 +347,36 @@ def with_task_flag(urls: DataFrame, tasks: DataFrame, url: str = "url", task_url
     """Does a task exist for the url: the same text, the same host and path, or a path above 0.9.
 
     Exact steps, each only for what the one before left open: equal paths, one
-    edit (shared texts, no pairs), more edits (beginnings that many known
-    paths share, rare blocks for the other known paths). All work on distinct
-    paths; a host with a third of the tasks is split by key. What several
-    steps read is checkpointed, so that no plan holds another many times. No side is ever broadcast: paths are exploded into many keys, which Spark
-    takes to be as few as the rows of the table that they are made from.
+    edit of short paths (shared texts, no pairs), the edits of longer ones
+    (beginnings that many known paths share, rare blocks for the other known
+    paths). All work on distinct paths; a host with a third of the tasks is
+    split by key. What several steps read is checkpointed, so that no plan
+    holds another many times. No side is ever broadcast: paths are exploded
+    into many keys, which Spark takes to be as few as the rows of the table
+    that they are made from.
     """
-    known, probe = O.checkpointed(_paths(tasks, task_url)), O.checkpointed(_paths(urls, url))
-    same = probe.join(known.hint("merge"), ["host", "path"], "left_semi")
-    rest = probe.join(known.hint("merge"), ["host", "path"], "left_anti")
-    one = O.checkpointed(_by_one_edit(rest, known))
-    # more than one edit needs a path longer than 20, or one beyond the one-edit step
-    far = rest.filter(F.length("path") >= 19).join(one.hint("merge"), ["host", "path"], "left_anti")
-    found = same.unionByName(one)
-    members = O.checkpointed(_with_common_head(known))
-    if not members.isEmpty():
-        headed = O.checkpointed(_by_heads(far, members))
-        found, far = found.unionByName(headed), far.join(headed.hint("merge"), ["host", "path"], "left_anti")
-        known = known.join(members.select("host", "path").hint("merge"), ["host", "path"], "left_anti")
-    found = found.unionByName(_by_rare_grams(O.checkpointed(far), known)).distinct().withColumn("_similar", F.lit(True))
-    exact = tasks.select(F.col(task_url).alias("_task")).distinct().withColumn("_exact", F.lit(True))
-    out = (urls.withColumn("host", U.netloc(url)).withColumn("path", U.bare_path(url))
-           .join(found.hint("merge"), ["host", "path"], "left").join(exact.hint("merge"), F.col(url) == F.col("_task"), "left"))
-    flag = F.coalesce("_similar", F.lit(False)) | F.coalesce("_exact", F.lit(False))
-    return out.withColumn("task_exists", flag).select(*urls.columns, "task_exists")
+    known = O.checkpointed(_paths(tasks, task_url))
+    flagged = known.withColumn("_same", F.lit(True))
+    probe = O.checkpointed(_matching(_paths(urls, url), flagged, ["host", "path"], "left"))
+    same, rest = probe.filter("_same").select("host", "path"), probe.filter("_same is null").select("host", "path")
+    found = same.unionByName(O.checkpointed(_by_one_edit(rest, known)))
+    far, long = rest.filter(F.length("path") >= _LONG), known.filter(F.length("path") >= _LONG)
+    members = O.checkpointed(_with_common_head(long))
+    headed, others = members.count(), long.count()
+    if headed:
+        close = _by_heads(far, members)
+        found = found.unionByName(close)
+        if headed < others:
+            far, long = (_matching(x, y.select("host", "path"), ["host", "path"], "left_anti") for x, y in ((far, close), (long, members)))
+    if headed < others:
+        found = found.unionByName(_by_rare_grams(O.checkpointed(far), long))
+    # a url without a path is known by its text only
+    text = lambda c: F.when(F.col("path") == "", F.col(c)).otherwise("")
+    parted = lambda df, c: df.withColumn("host", U.netloc(c)).withColumn("path", U.bare_path(c)).withColumn("_text", text(c))
+    bare = parted(tasks.select(task_url), task_url).filter("path = ''").select("host", "path", "_text")
+    flags = found.withColumn("_text", F.lit("")).unionByName(bare).distinct().withColumn("_known", F.lit(True))
+    out = _matching(parted(urls, url), flags, ["host", "path", "_text"], "left")
+    return out.withColumn("task_exists", F.coalesce("_known", F.lit(False))).select(*urls.columns, "task_exists")
 
 
 # ------------------------------------------------------------ status tables

@@ -82,16 +82,17 @@ def _task_urls(t: Tables):
     host = F.concat(F.lit("http://t"), (F.col("p_size") % 5).cast("string"), F.lit(".example.com/"))
     long = F.concat(host, F.lit("gallery/"), F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-collection-"), n("p_partkey"), F.lit(".html"))
     short = F.concat(host, F.substr("p_name", F.lit(1), F.lit(1)), (F.col("p_partkey") * 37).cast("string"))
-    return (t.part.select(F.col("p_partkey").alias("id"), long.alias("url"))
-            .unionByName(t.part.select((-F.col("p_partkey") - 1).alias("id"), short.alias("url")))
-            .unionByName(t.part.filter("p_size = 50").select((F.col("p_partkey") + 1000000).alias("id"), F.concat(F.lit("/relative/"), "p_name").alias("url"))))
+    part = t.spread(t.part, "p_partkey")
+    return (part.select(F.col("p_partkey").alias("id"), long.alias("url"))
+            .unionByName(part.select((-F.col("p_partkey") - 1).alias("id"), short.alias("url")))
+            .unionByName(part.filter("p_size = 50").select((F.col("p_partkey") + 1000000).alias("id"), F.concat(F.lit("/relative/"), "p_name").alias("url"))))
 
 
 def _known_tasks(t: Tables):
     host = F.concat(F.lit("http://t"), (F.col("c_nationkey") % 5).cast("string"), F.lit(".example.com/"))
     n = lambda k: (F.col("c_custkey") * k).cast("string")
     name = F.when(F.col("c_custkey") % 2 == 0, "small-ring").otherwise("red-widget")
-    return t.customer.select(F.explode(F.array(
+    return t.spread(t.customer, "c_custkey").select(F.explode(F.array(
         F.concat(host, F.lit("gallery/"), name, F.lit("-collection-"), n(11), F.lit(".html")),
         F.concat(host, F.lit("s"), n(1000)),
         F.concat(host, F.lit("gallery/blue-bolts-colection-"), n(7), F.lit(".htm")))).alias("base_url"))

@@ -82,6 +82,40 @@ def test_a_path_is_compared_with_few_paths_of_a_common_head(spark, monkeypatch):
     assert out._jdf.queryExecution().analyzed().toString().count("Generate") <= 8
 
 
+def test_heads_and_endings_that_repeat_match_brute_force(spark, monkeypatch):
+    """Three letters only, so that best cuts cross, endings hold the head's end, and classes are few or too many to be told apart."""
+    monkeypatch.setattr(joins, "_COMMON_HEAD", 3)
+    rng = random.Random(11)
+    some = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    known, urls = [], []
+    for n in (17, 20, 28, 40):
+        for _ in range(4):
+            head, ends = some("ab1", n - 1) + "a", ["", "ba", some("ab", 4)]
+            paths = [head + some("12", rng.choice([1, 2, 3, 7])) + rng.choice(ends) for _ in range(14)]
+            known += [f"http://h/{x}" for x in paths]
+            urls += [f"http://h/{mutate(rng, x, e)}" for x in paths[:7] for e in (0, 1, 2, n // 10, n // 10 + 1, n // 10 + 2)]
+            urls += [f"http://h/{head}{end}" for end in ends]
+    u = spark.createDataFrame([(x,) for x in urls], "url string")
+    k = spark.createDataFrame([(x,) for x in known], "base_url string")
+    want = {x: any(similar(x, y) for y in known) for x in urls}
+    for classes in (1000, 2):
+        monkeypatch.setattr(joins, "_CLASSES_MAX", classes)
+        assert {r["url"]: r["task_exists"] for r in joins.with_task_flag(u, k).collect()} == want
+    assert 0 < sum(want.values()) < len(want)
+
+
+def test_numbers_that_differ_at_their_end_form_no_pairs(spark, monkeypatch):
+    """A key a path finds them; known paths that all have common heads are not looked up by their blocks, and long ones make no one-edit keys."""
+    monkeypatch.setattr(joins, "_COMMON_HEAD", 3)
+    k = spark.createDataFrame([(f"http://h/gallery/small-ring-collection-{i}0000.html",) for i in range(1000, 1100)], "base_url string")
+    u = spark.createDataFrame([(f"http://h/gallery/small-ring-collection-{i}7177.html",) for i in (*range(1000, 1100), *range(9900, 10000))], "url string")
+    semi, keys, compared = joins._semi, joins._one_edit_keys, []
+    monkeypatch.setattr(joins, "_semi", lambda left, right, on: compared.append(left.select("path").distinct().count()) or semi(left, right, on))
+    monkeypatch.setattr(joins, "_by_rare_grams", None)
+    monkeypatch.setattr(joins, "_one_edit_keys", lambda *a: F.when(F.length("path") > 20, F.raise_error(F.lit("long"))).otherwise(keys(*a)))
+    assert joins.with_task_flag(u, k).filter("task_exists").count() == 100 and sum(compared) <= 2 * 100
+
+
 def test_nothing_is_broadcast(spark):
     """Paths make many keys each, so that their joins are far larger than Spark takes them to be."""
     u, k = spark.createDataFrame([("http://h/a",)], "url string"), spark.createDataFrame([("http://h/b",)], "base_url string")
