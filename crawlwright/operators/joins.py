@@ -27,10 +27,19 @@ _EDIT_STEPS = (1, 2, 4, 8, 16, 32, 64, 256)
 _COMMON_HEAD = 1000
 _TAIL_MAX = 16
 _TAIL_EDITS = 2
+# known paths whose many keys go to one task
+_KEYED_PER_TASK = 50_000
 # up to so many classes of known paths are told apart when their keys are made
 _CLASSES_MAX = 64
 
 
+def matching(left: DataFrame, right: DataFrame, on: list[str], how: str, width: int | None = None) -> DataFrame:
+    """Join by merging; a hash of the keys leads them, as texts with the same beginning take long to sort."""
+    dealt = lambda df: df if width is None else df.repartition(width, "_hash", *on)
+    hashed = lambda df: dealt(df.withColumn("_hash", F.xxhash64(*on)))
+    return hashed(left).join(hashed(right).hint("merge"), ["_hash", *on], how).drop("_hash")
+
+
 # ---------------------------------------------------------- existing files
 
 def without_existing_files(images: DataFrame, files: DataFrame) -> DataFrame:
@@ -46,7 +55,7 @@ def with_directory_flag(urls: DataFrame, directories: DataFrame, name: str = "di
     """Is there a directory of that name? ``directories(directory_name)``."""
     known = directories.select(F.col("directory_name").alias(name)).distinct().withColumn(
         "directory_exists", F.lit(True))
-    return urls.join(known.hint("merge"), name, "left").withColumn(
+    return matching(urls, known, [name], "left").withColumn(
         "directory_exists", F.coalesce("directory_exists", F.lit(False)))
 
 
@@ -62,42 +71,41 @@ def _paths(df: DataFrame, url: str) -> DataFrame:
         "path <> ''").distinct()
 
 
-def _matching(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
-    """Join by merging; a hash of the keys leads them, as texts with the same beginning take long to sort."""
-    hashed = lambda df: df.withColumn("_hash", F.xxhash64(*on))
-    return hashed(left).join(hashed(right).hint("merge"), ["_hash", *on], how).drop("_hash")
+def _width(rows: DataFrame, keyed: int) -> int:
+    """Partitions for the keys of so many paths: Spark takes the keys to be as few as the paths."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-keyed // _KEYED_PER_TASK))
 
 
-def _lengths(paths: DataFrame) -> list[int]:
-    """Lengths of the short paths: a key that no path of the other side has the length for is not made."""
-    return [r[0] for r in paths.filter(F.length("path") <= _ONE_EDIT_MAX).select(F.length("path")).distinct().collect()]
+def _lengths(paths: DataFrame) -> dict[int, int]:
+    """How many short paths have which length."""
+    n = F.length("path")
+    return {r["n"]: r["count"] for r in paths.filter(n <= _ONE_EDIT_MAX).groupBy(n.alias("n")).count().collect()}
 
 
-def _one_edit_keys(known: bool, others: list[int]) -> Column:
-    """Texts two paths share exactly when one edit turns one into the other; ``others`` are the lengths of the other side."""
-    p, n = F.col("path"), F.length("path")
-    at = F.sequence(F.lit(1), n)
-    none = F.array().cast("array<struct<kind:string,key:string>>")
-    cut = lambda mark: F.transform(at, lambda i: F.struct(
-        F.lit(mark).alias("kind"),
-        F.concat(F.substr(p, F.lit(1), i - 1), F.lit("\x00" if mark == "masked" else ""),
-                 F.substr(p, i + 1)).alias("key")))
-    whole = lambda mark: F.array(F.struct(F.lit(mark).alias("kind"), p.alias("key")))
-    mine, other = ("known_cut", "probe_cut") if known else ("probe_cut", "known_cut")
-    # an insertion makes the longer path the one that is cut, and it must allow an edit
-    return F.concat(F.when((n > 10) & n.isin(others), cut("masked")).otherwise(none),
-                    F.when((n > 10) & (n - 1).isin(others), cut(mine)).otherwise(none),
-                    F.when((n + 1).isin(others), whole(other)).otherwise(none))
+def _one_edit_keys(paths: DataFrame, kind: str, lengths: list[int]) -> DataFrame:
+    """``key``: the path itself, without one of its characters, or with one masked."""
+    rows, p, n = paths.filter(F.length("path").isin(lengths)), F.col("path"), F.length("path")
+    if kind == "whole":
+        return rows.select("host", "path", p.alias("key"))
+    return rows.select("host", "path", F.explode(F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(
+        F.substr(p, F.lit(1), i - 1), F.lit("\x00" if kind == "masked" else ""), F.substr(p, i + 1)))).alias("key"))
 
 
 def _by_one_edit(probe: DataFrame, known: DataFrame) -> DataFrame:
-    """Short paths of the probe side that are one edit away from a known one; no pairs are formed."""
-    short = F.length("path") <= _ONE_EDIT_MAX
-    left = probe.filter(short).select("host", "path", F.explode(_one_edit_keys(False, _lengths(known))).alias("k")).select(
-        "host", "path", "k.*")
-    right = known.filter(short).select("host", F.explode(_one_edit_keys(True, _lengths(probe))).alias("k")).select(
-        "host", "k.*")
-    return _matching(left, right, ["host", "kind", "key"], "left_semi").select("host", "path").distinct()
+    """Short paths of the probe side that are one edit away from a known one; no pairs are formed.
+
+    Two paths share a key exactly when one edit turns one into the other. Keys
+    that no path of the other side has the length for are not made.
+    """
+    of_probe, of_known = _lengths(probe), _lengths(known)
+    width, found = _width(known, sum(of_known.values())), probe.select("host", "path").filter(F.lit(False))
+    for mine, other, longer in (("masked", "masked", 0), ("whole", "cut", 1), ("cut", "whole", -1)):
+        # an insertion makes the longer path the one that is cut, and it must allow an edit
+        both = [n for n in of_probe if n + longer in of_known and n + max(longer, 0) > 10]
+        if both:
+            keys = _one_edit_keys(known, other, [n + longer for n in both]).select("host", "key")
+            found = found.unionByName(matching(_one_edit_keys(probe, mine, both), keys, ["key", "host"], "left_semi", width).select("host", "path"))
+    return found.distinct()
 
 
 def _grams(step: int) -> Column:
@@ -153,14 +161,14 @@ def _with_common_head(known: DataFrame) -> DataFrame:
     cut = _around_last_number(known, "head").withColumn("end", F.when(n.between(1, _TAIL_MAX), F.regexp_extract("tail", "[^0-9]*$", 0)))
     counts = cut.filter("end is not null").groupBy("host", "head", "end").agg(F.count("*").alias("n"))
     heads = counts.groupBy("host", "head").agg(F.sum("n").alias("n")).filter(F.col("n") >= _COMMON_HEAD).select("host", "head")
-    common = O.checkpointed(_matching(counts, heads, ["host", "head"], "left_semi").select(
+    common = O.checkpointed(matching(counts, heads, ["host", "head"], "left_semi").select(
         "host", "head", "end", F.when(F.col("n") >= _COMMON_HEAD, F.col("end")).otherwise("").alias("ending")))
     classes = O.checkpointed(common.select("host", "head", "ending").distinct().withColumn("class", F.monotonically_increasing_id()))
     # a head many paths share is spread over salts
-    common = _matching(common, classes, ["host", "head", "ending"], "inner").withColumn(
+    common = matching(common, classes, ["host", "head", "ending"], "inner").withColumn(
         "salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
     salted = cut.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(_SALTS)).cast("int"))
-    return _matching(salted, common, ["host", "head", "end", "salt"], "inner").select(
+    return matching(salted, common, ["host", "head", "end", "salt"], "inner").select(
         "host", "path", "head", "ending", "class", F.substr("tail", F.lit(1), n - F.length("ending")).alias("middle"))
 
 
@@ -228,7 +236,7 @@ def _cut_like(probe: DataFrame, members: DataFrame) -> DataFrame:
         classes.repartition(width, "host", "salt").hint("merge"), ["host", "salt"]).filter(
         (F.col("longest") >= F.length("head") - most) & _may_begin(F.col("own"), F.col("head"), most))
     pairs = O.checkpointed(pairs.select("host", "own", "head", "classes")).withColumn("salt", salts(_SALTS))
-    rows = _matching(cut.withColumn("salt", salt("path", _SALTS)), pairs, ["host", "own", "salt"], "inner")
+    rows = matching(cut.withColumn("salt", salt("path", _SALTS)), pairs, ["host", "own", "salt"], "inner")
     n, at, p, most = F.length("path"), F.length("head"), F.col("path"), F.col("most")
     rows = rows.select("host", "path", "head", "classes", _most_edits("path").alias("most"))
     rows = computed(rows, first=_cuts(F.greatest(at - most, F.lit(0)), F.least(at + most, n), lambda c: _edits(
@@ -273,8 +281,8 @@ def _fewer_keys(rows: DataFrame, most: Column) -> DataFrame:
     return rows.select("*", F.explode(hashes).alias("key"))
 
 
-def _by_heads(probe: DataFrame, members: DataFrame) -> DataFrame:
-    """Paths of the probe side close to a known one of ``members``, whose heads are few.
+def _by_heads(probe: DataFrame, members: DataFrame, headed: int) -> DataFrame:
+    """Paths of the probe side close to a known one of ``members``, so many, whose heads are few.
 
     Exact, each step only for what the one before left open: middles that are
     the same but for as many last characters as there may be edits (a key a
@@ -282,7 +290,7 @@ def _by_heads(probe: DataFrame, members: DataFrame) -> DataFrame:
     characters), and middles that may be further apart, compared with those of
     their class that have a length within the edits.
     """
-    near = O.checkpointed(_cut_like(probe, members))
+    near = O.stored(_cut_like(probe, members))
     size, left = F.length("middle"), _most_edits("path") - F.col("spent")
     # no more edits than characters that are left out
     sure = F.least(_max_edits(F.length("path")) - F.col("spent"), F.lit(_TAIL_MAX))
@@ -290,11 +298,11 @@ def _by_heads(probe: DataFrame, members: DataFrame) -> DataFrame:
     every = lambda: F.array(*[F.lit(r[0]) for r in near.filter(sure >= 0).select(sure).distinct().collect()]).cast("array<int>")
     cuts = every() if of is None else _of_class(of, lambda r: F.array(*[F.lit(x) for x in r["sure"]]), F.array().cast("array<int>"))
     tails = members.withColumn("_cuts", cuts).select("class", "middle", F.explode("_cuts").alias("_cut"))
-    found = O.checkpointed(_matching(
+    found = O.checkpointed(matching(
         _shorter_keys(near.filter(sure >= 0), sure), _shorter_keys(tails, F.col("_cut")).select("class", "cut", "key"),
         ["key", "class", "cut"], "left_semi").select("host", "path").distinct())
 
-    open_ = O.checkpointed(_matching(near, found, ["host", "path"], "left_anti"))
+    open_ = O.stored(matching(near, found, ["host", "path"], "left_anti"))
     of = _per_class(open_, edits=F.max(F.least(left, F.lit(_TAIL_EDITS))), low=F.min(size - left), high=F.max(size + left))
     if of == {}:
         return found
@@ -304,9 +312,11 @@ def _by_heads(probe: DataFrame, members: DataFrame) -> DataFrame:
     edits = F.lit(_TAIL_EDITS) if of is None else _of_class(of, lambda r: F.lit(r["edits"]), F.lit(0))
     keys = _fewer_keys(open_.filter(size <= _TAIL_MAX + _TAIL_EDITS), F.least(left, F.lit(_TAIL_EDITS)))
     texts = _fewer_keys(wanted, edits).select("class", "key", F.col("middle").alias("k_middle"))
-    found = found.unionByName(O.checkpointed(_semi(keys.alias("l"), texts.alias("r"), ["key", "class"])))
+    on = ["key", "class"]
+    keys, texts = (x.repartition(_width(probe, headed), *on) for x in (keys, texts))
+    found = found.unionByName(O.checkpointed(_semi(keys.alias("l"), texts.alias("r"), on)))
 
-    open_ = O.checkpointed(_matching(open_.filter(left > _TAIL_EDITS), found, ["host", "path"], "left_anti"))
+    open_ = O.checkpointed(matching(open_.filter(left > _TAIL_EDITS), found, ["host", "path"], "left_anti"))
     of = _per_class(open_, low=F.min(size - left), high=F.max(size + left))
     if of == {}:
         return found
@@ -355,27 +365,28 @@ def with_task_flag(urls: DataFrame, tasks: DataFrame, url: str = "url", task_url
     into many keys, which Spark takes to be as few as the rows of the table
     that they are made from.
     """
-    known = O.checkpointed(_paths(tasks, task_url))
+    known = O.stored(_paths(tasks, task_url))
     flagged = known.withColumn("_same", F.lit(True))
-    probe = O.checkpointed(_matching(_paths(urls, url), flagged, ["host", "path"], "left"))
+    probe = O.stored(matching(_paths(urls, url), flagged, ["host", "path"], "left"))
     same, rest = probe.filter("_same").select("host", "path"), probe.filter("_same is null").select("host", "path")
-    found = same.unionByName(O.checkpointed(_by_one_edit(rest, known)))
+    found = O.checkpointed(_by_one_edit(rest, known))
     far, long = rest.filter(F.length("path") >= _LONG), known.filter(F.length("path") >= _LONG)
-    members = O.checkpointed(_with_common_head(long))
+    members = O.stored(_with_common_head(long))
     headed, others = members.count(), long.count()
     if headed:
-        close = _by_heads(far, members)
+        close = _by_heads(far, members, headed)
         found = found.unionByName(close)
         if headed < others:
-            far, long = (_matching(x, y.select("host", "path"), ["host", "path"], "left_anti") for x, y in ((far, close), (long, members)))
+            far, long = (matching(x, y.select("host", "path"), ["host", "path"], "left_anti") for x, y in ((far, close), (long, members)))
     if headed < others:
         found = found.unionByName(_by_rare_grams(O.checkpointed(far), long))
     # a url without a path is known by its text only
     text = lambda c: F.when(F.col("path") == "", F.col(c)).otherwise("")
     parted = lambda df, c: df.withColumn("host", U.netloc(c)).withColumn("path", U.bare_path(c)).withColumn("_text", text(c))
     bare = parted(tasks.select(task_url), task_url).filter("path = ''").select("host", "path", "_text")
-    flags = found.withColumn("_text", F.lit("")).unionByName(bare).distinct().withColumn("_known", F.lit(True))
-    out = _matching(parted(urls, url), flags, ["host", "path", "_text"], "left")
+    flags = found.withColumn("_text", F.lit("")).unionByName(bare).distinct().unionByName(
+        same.withColumn("_text", F.lit(""))).withColumn("_known", F.lit(True))
+    out = matching(parted(urls, url), flags, ["host", "path", "_text"], "left")
     return out.withColumn("task_exists", F.coalesce("_known", F.lit(False))).select(*urls.columns, "task_exists")
 
 

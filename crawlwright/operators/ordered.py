@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -52,6 +53,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder: for large ones of which each reader wants some rows or columns."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def chunked(df: DataFrame, keys: list[str], order: list[str],
             rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame | None:
     """Rows in range chunks of (keys, order), numbered by ``_chunk``; None when one chunk is enough.

@@ -11,7 +11,7 @@ from ..functions import urls as U
 from . import ordered as O
 from .columns import computed
 from .dedupe import keep_first
-from .joins import with_directory_flag, with_task_flag
+from .joins import matching, with_directory_flag, with_task_flag
 
 # Plan sizes and texts.
 SEED_PAGES, PAGES_PER_SEED = 3, 20
@@ -101,11 +101,10 @@ def validate_tasks(urls: DataFrame, tasks: DataFrame, directories: DataFrame, st
     ``status(url, status, has_images)`` stands for the network check; a url
     that is not in it is unreachable.
     """
-    rows = urls.select("url").distinct().withColumn("directory_name", U.task_directory("url"))
-    rows = with_directory_flag(rows, directories)
-    rows = with_task_flag(rows, tasks)
-    s = status.select(F.col("url").alias("_u"), (F.col("status") < 400).alias("_up"), F.col("has_images").alias("_img"))
-    rows = rows.join(s.hint("merge"), F.col("url") == F.col("_u"), "left").drop("_u")
+    rows = with_task_flag(O.stored(urls.select("url").distinct()), tasks)
+    rows = with_directory_flag(rows.withColumn("directory_name", U.task_directory("url")), directories)
+    s = status.select("url", (F.col("status") < 400).alias("_up"), F.col("has_images").alias("_img"))
+    rows = matching(rows, s, ["url"], "left")
     ok = U.is_absolute("url")
     up = ok & F.coalesce("_up", F.lit(False))
     img = up & F.coalesce("_img", F.lit(False))
